@@ -52,7 +52,7 @@ def lower_bytes(data: np.ndarray, latin: bool = False) -> np.ndarray:
     return out
 
 
-def _chunk(data: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunk(data: np.ndarray, word: np.ndarray, first: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one chunk; ``first`` marks bytes at which a text starts."""
     begins = word.copy()
     begins[1:] &= ~word[:-1] | first[1:]
@@ -65,15 +65,19 @@ def _chunk(data: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.nd
     lengths = ends - starts
     inside = np.flatnonzero(word)
     places = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    if prefix:
+        kept = places < prefix
+        inside, places, lengths = inside[kept], places[kept], np.minimum(lengths, prefix)
     terms = BYTE_VALUE[data[inside]] * _powers(int(lengths.max()))[places]
     hashes = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
     return starts, ends, mix(hashes + lengths.astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: bool = False, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts ``data[offsets[i]:offsets[i + 1]]``, small letters: ``(starts, ends, hashes, bounds)``.
 
-    Word ``j`` is one of text ``i`` if ``bounds[i] <= j < bounds[i + 1]``. Words are runs of bytes in ``is_word``.
+    Word ``j`` is one of text ``i`` if ``bounds[i] <= j < bounds[i + 1]``. Words are runs of bytes in ``is_word``;
+    with ``prefix`` only their first so many bytes are hashed.
     """
     parts, at, n = [], 0, len(data)
     while at < n:
@@ -88,7 +92,7 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: boo
         first = np.zeros(len(piece), bool)
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)]
         first[inner - at] = True
-        s, e, h = _chunk(lower_bytes(piece, latin), is_word[piece], first)
+        s, e, h = _chunk(lower_bytes(piece, latin), is_word[piece], first, prefix)
         parts.append((s + at, e + at, h))
         at = end
     if parts:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .bsi_topk import top_k
 from .common import table
 from .quality import score_quality
+from .secrets import oracle as secrets_sql, scan_secrets
+from .sentencepiece_codec import encode_documents
 from .sharding import shard_documents
 from .toxicity import score_toxicity
 
@@ -21,6 +23,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
+#: A public SentencePiece model of 32,000 pieces.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -30,17 +35,27 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), model_path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_exact_topk": op3_exact_topk,
         "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
+        "op8_secrets": op8_secrets,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op8_secrets": secrets_sql()}
 
 
 OP3_SQL = """

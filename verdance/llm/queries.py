@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bsi_topk import top_k
 from .common import table
+from .html_wrappers import extract_pages
 from .quality import score_quality
 from .secrets import oracle as secrets_sql, scan_secrets
 from .sentencepiece_codec import encode_documents
@@ -35,6 +36,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_topk": op3_exact_topk,
         "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
+        "op7_html_text": op7_html_text,
         "op8_secrets": op8_secrets,
         "op10_sentencepiece": op10_sentencepiece,
     }

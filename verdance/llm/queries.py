@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bsi_topk import top_k
 from .common import table
 from .html_wrappers import extract_pages
+from .pii import surrogate_documents
 from .quality import score_quality
 from .secrets import oracle as secrets_sql, scan_secrets
 from .sentencepiece_codec import encode_documents
@@ -26,6 +27,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A public SentencePiece model of 32,000 pieces.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+#: Anyone who knows the key can undo the surrogates: pass your own, kept secret, for real texts.
+PII_KEY = b"example key for the registered queries"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +47,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = PII_KEY) -> DataFrame:
+    return surrogate_documents(table(spark, sf_dir, "documents"), key)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model_path)
 
@@ -56,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_html_text": op7_html_text,
         "op8_secrets": op8_secrets,
+        "op9_pii_surrogates": op9_pii_surrogates,
         "op10_sentencepiece": op10_sentencepiece,
     }
 

@@ -57,7 +57,7 @@ FULL_NAME = re.compile(rf"\b([A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]{{2,11}})(?=\x20[^\W\d_
 #: Anything that starts like a number; what it is gets settled by the patterns below.
 NUMBERLIKE = re.compile(r"(?<![^\W_])(?:\+\x20?)?\(?\d[\d().:\x20-]*\d(?![^\W_])")
 IPV4 = re.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)")
-CARD = re.compile(r"(?<![\d+(-])\d(?:[\x20-]?\d){12,18}(?![\d-])")
+CARD = re.compile(r"(?<![\d+(-])(?:\d{13,19}|\d{4}([\x20-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([\x20-])\d{6}\2\d{5})(?![\d-])")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 PHONE = re.compile(r"(?<![\d(+])(?:\+\x20?\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{4}(?![\d-])|(?<![\d(+])\+\d{8,15}(?!\d)|(?<![\d(+])\+\d{1,3}(?:[\x20.-]\d{2,4}){3,5}(?![\d-])")
 IBAN = re.compile(r"(?<![^\W_])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![^\W_])")
@@ -236,19 +236,11 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
             for m in pattern.finditer(text, run.start(), run.end()):
                 if kind == "ipv4" and any(int(g) > 255 or (len(g) > 1 and g[0] == "0") for g in m.groups()):
                     continue
-                if kind == "card" and not _card_form(m[0]):
-                    continue
                 if all(m.end() <= a or m.start() >= b for a, b in taken):
                     taken.append((m.start(), m.end()))
                     yield m.start(), m.end(), kind
 
 
-def _card_form(text: str) -> bool:
-    """One run of 13 to 19 digits, or groups set apart by the same sign, none shorter than two."""
-    signs = {c for c in text if not c.isdigit()}
-    return not signs or (len(signs) == 1 and all(2 <= len(g) <= 7 for g in re.split(r"[\x20-]", text)) and len(re.split(r"[\x20-]", text)) <= 5)
-
-
 def _names(text: str) -> Iterator[tuple[int, int, str]]:
     """Names after a form of address or that start with a known first name; then the same surnames wherever else they stand."""
     found = [m.span(1) for m in TITLED.finditer(text)]

@@ -8,9 +8,11 @@ The result is verified against the SentencePiece library.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE_MODEL = 1, 2
 #: Characters encoded in one call; bounds the memory that the library's results take.
 CALL_CHARS = 1 << 19
+#: Threads of the library in one Python worker; more than the cores of an executor only wait for each other.
+THREADS = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -175,6 +179,7 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
 
     ``verify``: of every call, so many texts are compared with the SentencePiece library (-1: all); the others' parity is null.
     """
+    os.environ["RAYON_NUM_THREADS"] = str(THREADS)  # read when the library first starts its threads
     tokenizer = build(parse_model(model_bytes))
     judge = None
     if verify:
@@ -192,7 +197,7 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
             if judge is not None:
                 n = len(call) if verify < 0 else min(verify, len(call))
                 parity[:n] = [a == b for a, b in zip(ids, judge.encode(call[:n], num_threads=1), strict=False)]
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -228,6 +233,7 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", row_
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["RAYON_NUM_THREADS"] = str(THREADS)
         tokenizer = build(parse_model(model.value))
         for batch in batches:
             rows = batch.column(1).to_pylist()

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .bsi_topk import top_k
 from .common import table
+from .decontaminate import find_leaks
 from .html_wrappers import extract_pages
+from .ngram_join import near_duplicate_classes
 from .pii import surrogate_documents
 from .quality import score_quality
 from .secrets import oracle as secrets_sql, scan_secrets
@@ -18,6 +20,10 @@ from .sharding import shard_documents
 from .toxicity import score_toxicity
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +41,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -58,7 +68,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_decontamination": op2_decontamination,
         "op3_exact_topk": op3_exact_topk,
+        "op4_ngram_join": op4_ngram_join,
         "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
         "op7_html_text": op7_html_text,
@@ -69,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op8_secrets": secrets_sql()}
+    return {"op3_exact_topk": OP3_SQL, "op4_ngram_join": OP4_SQL, "op8_secrets": secrets_sql()}
 
 
 OP3_SQL = """
@@ -86,3 +98,21 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 3), ' ') END AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT f.doc_id AS a, h.doc_id AS b FROM p JOIN n f ON f.r = x JOIN n h ON h.r = y WHERE 100 * c >= 85 * (f.n + h.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+m AS (SELECT a, min(b) AS b FROM t GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (r) LEFT JOIN m ON m.a = w.doc_id
+"""

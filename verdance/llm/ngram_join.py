@@ -1,13 +1,15 @@
 """Exact Jaccard join of word n-gram sets by filtering under multiple global token orders.
 
-Two sets of similarity ``t`` share a token among the first ``n - ceil(t * n) + 1`` of each, under any one order of all tokens.
-So candidates must share such prefix tokens under several orders, and only what passes all filters is verified:
+Two sets of similarity ``t`` have ``k`` tokens in common among the first ``n - ceil(t * n) + k`` of each, under any one order of all
+tokens; here ``k`` is a twentieth of the smaller set. So candidates must share that many prefix tokens under several orders, and
+only what passes all filters is verified:
 
 1. one pass gives each text's set size and digest, and the tokens frequent in any slice of the corpus. Texts with equal
    sets are one class from here on. Every order has the frequent tokens last, by frequency, and the others in a random sequence of its own;
-2. prefix tokens under the first order are dealt by token; tokens of a single class drop out, which leaves few classes;
-3. the remaining classes form blocks by their least shared token (large ones are split), and blocks that share a
-   token are paired. The pairs of blocks must also share tokens under the second and the third order;
+2. prefix tokens under the first order are dealt by token; tokens of a single class drop out, and so do classes left with
+   fewer than they must share, until little changes;
+3. the remaining classes form blocks by their least shared token (large ones are split), and blocks that share enough
+   tokens are paired. The pairs of blocks must also share enough under the second and the third order;
 4. the sets of the classes left are sent once for each pair of blocks and compared there. Of the links found a
    spanning forest goes on to the connected components.
 
@@ -36,6 +38,10 @@ MOST_FREQUENT, BROADCAST_IDS = 1 << 20, 1_000_000
 #: Classes in a block at most, on average. Pairs of blocks are compared in dense columns of so many tokens.
 BLOCK, COLUMNS = 64, 8192
 ORDERS = 3
+#: How often classes and tokens are thinned out.
+THINNINGS = 2
+#: Prefix tokens in common that are asked for, in hundredths of a set.
+SHARED_PERCENT = 5
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +76,15 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def prefix_size(n: np.ndarray | int, percent: int) -> np.ndarray | int:
-    return n - (-(-percent * n // 100)) + 1
+def prefix_size(n: int, percent: int) -> int:
+    """Tokens of a set that hold what it must share with any set like it."""
+    return min(n, n - (-(-percent * n // 100)) + max(1, n * SHARED_PERCENT // 100))
+
+
+def least_shared(n, percent: int):
+    """Prefix tokens that a set of ``n`` tokens shares at least with any set like it, as a column."""
+    smallest = F.floor((n * percent + 99) / 100)
+    return F.greatest(F.lit(1), F.floor(smallest * SHARED_PERCENT / 100))
 
 
 class Orders:
@@ -285,15 +298,26 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _block_pairs(shared: DataFrame) -> DataFrame:
-    """``p, q``: blocks that hold a token of one order in common; a block and itself if two of its classes share one.
+def _thinned(shared: DataFrame, percent: int) -> DataFrame:
+    """``(token, d1, n)`` without classes that share too few tokens with others, and then without tokens of a single class."""
+    counts = shared.groupBy("d1", "n").agg(F.count(F.lit(1)).alias("c"))
+    shared = shared.join(counts.where(F.col("c") >= least_shared(F.col("n"), percent)).select("d1", "n"), ["d1", "n"], "left_semi")
+    several = shared.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("token")
+    return cut(shared.join(several, "token", "left_semi"))
+
+
+def _block_pairs(shared: DataFrame, least: DataFrame) -> DataFrame:
+    """``p, q``: blocks that have as many tokens of one order in common as any of their classes must; a block and itself likewise.
 
     For each token only its different blocks count, so the pairs grow with blocks and not with classes.
     """
     each = shared.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"))
     own = each.where("n > 1").select(F.col("block").alias("p"), F.col("block").alias("q"))
     other = each.select("token", F.col("block").alias("p")).join(each.select("token", F.col("block").alias("q")), "token").where("p < q").select("p", "q")
-    return own.unionAll(other).distinct()
+    counted = own.unionAll(other).groupBy("p", "q").agg(F.count(F.lit(1)).alias("c"))
+    for side in ("p", "q"):
+        counted = counted.join(least.select(F.col("block").alias(side), F.col("least").alias(f"least_{side}")), side)
+    return counted.where("c >= least_p AND c >= least_q").select("p", "q")
 
 
 def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text", row_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -309,30 +333,33 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
     orders = spark.sparkContext.broadcast(Orders(frequent["a"].to_numpy().view(np.uint64), frequent["n"].to_numpy()))
     classes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")).select("d1", "id")
 
-    # First order, all rows: the classes that share a prefix token with another one.
+    # First order, all rows: the classes that share enough prefix tokens with others.
     schema = "ord int, token long, d1 long, n int"
-    first = rows.mapInArrow(lambda b: _postings(b, size, percent, orders.value, [0]), schema).select("token", "d1").repartition("token")
+    first = rows.mapInArrow(lambda b: _postings(b, size, percent, orders.value, [0]), schema).select("token", "d1", "n").repartition("token")
     of_token = Window.partitionBy("token")
     shared = cut(
         first.withColumn("low", F.min("d1").over(of_token))
         .withColumn("high", F.max("d1").over(of_token))
         .where("low <> high")
-        .select("token", "d1")
+        .select("token", "d1", "n")
         .distinct()
     )
+    for _ in range(THINNINGS):
+        shared = _thinned(shared, percent)
     # Blocks: classes by their least shared token, large ones in parts.
-    home = shared.groupBy("d1").agg(F.min("token").alias("home"))
+    home = shared.groupBy("d1").agg(F.min("token").alias("home"), F.min(least_shared(F.col("n"), percent)).alias("least"))
     sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
     part = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("d1"), F.ceil(F.col("n") / BLOCK)))
-    blocks = cut(home.join(sizes, "home").select("d1", F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")).join(classes, "d1"))
-    pairs = _block_pairs(shared.join(blocks.select("d1", "block"), "d1"))
+    blocks = cut(home.join(sizes, "home").select("d1", "least", F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")).join(classes, "d1"))
+    least = blocks.groupBy("block").agg(F.min("least").alias("least"))
+    pairs = cut(_block_pairs(shared.join(blocks.select("d1", "block").distinct(), "d1"), least))
 
     # The other orders, of those classes only.
     few = _only(rows, blocks.select("id").distinct())
     later = few.mapInArrow(lambda b: _postings(b, size, percent, orders.value, list(range(1, ORDERS))), schema)
     later = cut(later.join(blocks.select("d1", "block").distinct(), "d1").select("ord", "token", "d1", "block").distinct())
     for which in range(1, ORDERS):
-        pairs = pairs.join(_block_pairs(later.where(F.col("ord") == which)), ["p", "q"], "left_semi")
+        pairs = pairs.join(_block_pairs(later.where(F.col("ord") == which), least), ["p", "q"], "left_semi")
     pairs = cut(pairs)
 
     # Verification where all filters agree.

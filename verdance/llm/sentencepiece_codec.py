@@ -162,6 +162,25 @@ def build(model: PieceModel):
     return tokenizer
 
 
+def piece_bytes(model: PieceModel) -> list[bytes]:
+    """What each id stands for in a decoded text."""
+    out = []
+    for piece, _, kind in model.pieces:
+        if kind == BYTE:
+            out.append(bytes([int(piece[3:5], 16)]))
+        elif kind == CONTROL:
+            out.append(b"")
+        else:
+            out.append(" ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode())
+    return out
+
+
+def decode_ids(ids: list[int], table: list[bytes], add_dummy_prefix: bool) -> str:
+    """The text of some ids: the pieces' bytes joined, without the dummy prefix."""
+    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
+    return text[1:] if add_dummy_prefix and text.startswith(" ") else text
+
+
 def _calls(texts: list[str]) -> Iterator[list[str]]:
     call, size = [], 0
     for t in texts:
@@ -180,7 +199,8 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
     ``verify``: of every call, so many texts are compared with the SentencePiece library (-1: all); the others' parity is null.
     """
     os.environ["RAYON_NUM_THREADS"] = str(THREADS)  # read when the library first starts its threads
-    tokenizer = build(parse_model(model_bytes))
+    parsed = parse_model(model_bytes)
+    tokenizer, table = build(parsed), piece_bytes(parsed)
     judge = None
     if verify:
         import sentencepiece
@@ -192,7 +212,7 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
         for call in _calls([t or "" for t in batch.column(1).to_pylist()]):
             ids = [e.ids for e in encode(call, add_special_tokens=False)]
             lengths = np.array([len(x) for x in ids], np.int32)
-            back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+            back = [decode_ids(x, table, parsed.add_dummy_prefix) for x in ids]
             parity: list[bool | None] = [None] * len(call)
             if judge is not None:
                 n = len(call) if verify < 0 else min(verify, len(call))

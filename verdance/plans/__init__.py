@@ -1 +1 @@
-
+"""Registered queries and the roles that tables play in them."""

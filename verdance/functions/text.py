@@ -30,10 +30,10 @@ def natural_key(c: Column | str) -> Column:
 
 
 def timestamp_token(c: Column | str) -> Column:
-    """TIMESTAMP_NTZ of ``20240131_235959``-like tokens: 14 digits, or six groups with any of `` .-_`` between; years 20xx."""
+    """TIMESTAMP_NTZ of ``20240131_235959``-like tokens: 14 digits in six groups with or without any of `` .-_`` between; years 20xx."""
     raw = F.trim(_c(c).cast("string"))
     joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"[ .-]+", "_"), "_+", "_"), "^_|_$", "")
-    digits = F.when(raw.rlike(r"^20\d{12}$"), raw).when(joined.rlike(r"^20\d{2}_\d{2}_\d{2}_\d{2}_\d{2}_\d{2}$"), F.regexp_replace(joined, "_", ""))
+    digits = F.when(joined.rlike(r"^20\d{2}(_?\d{2}){5}$"), F.regexp_replace(joined, "_", ""))
     return F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 

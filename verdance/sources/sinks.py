@@ -28,7 +28,8 @@ def report(df: DataFrame, **figures: Column) -> DataFrame:
 
 def rsml(tracks: DataFrame, plant: str, points: str) -> DataFrame:
     """``plant, rsml``: one scene element for each plant, with a polyline for each row of ``points`` (``array<array<double>>``)."""
-    point = lambda p: F.concat(F.lit('<point x="'), F.format_number(F.element_at(p, 1), "0.###"), F.lit('" y="'), F.format_number(F.element_at(p, 2), "0.###"), F.lit('"/>'))
+    short = lambda c: F.regexp_replace(F.round(c, 3).cast("string"), r"\.0$", "")
+    point = lambda p: F.concat(F.lit('<point x="'), short(F.element_at(p, 1)), F.lit('" y="'), short(F.element_at(p, 2)), F.lit('"/>'))
     line = F.concat(F.lit("<root><geometry><polyline>"), F.array_join(F.transform(F.col(points), point), ""), F.lit("</polyline></geometry></root>"))
     each = tracks.select(F.col(plant).alias("plant"), line.alias("line")).groupBy("plant").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("plant").cast("string"), "&", "&amp;"), "<", "&lt;"), '"', "&quot;")

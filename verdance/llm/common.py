@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder; each can be dropped as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or FALLBACK_CHECKPOINT_DIR
+        self.folder = f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.written = 0
+
+    def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """``df`` as read back from a written table, and the table's place."""
+        place = f"{self.folder}/{self.written}"
+        self.written += 1
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place), place
+
+    def drop(self, place: str | None = None) -> None:
+        """Deletes one table, or all."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(place or self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows in an Arrow batch where the session leaves it at Spark's default: whole texts take more room than numbers.
+BATCH_ROWS = "1000"
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches that fit texts."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

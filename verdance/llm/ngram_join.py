@@ -8,8 +8,9 @@ only what passes all filters is verified:
    sets are one class from here on. Every order has the frequent tokens last, by frequency, and the others in a random sequence of its own;
 2. prefix tokens under the first order are dealt by token; tokens of a single class drop out, and so do classes left with
    fewer than they must share, until little changes;
-3. the remaining classes form blocks by their least shared token (large ones are split), and blocks that share enough
-   tokens are paired. The pairs of blocks must also share enough under the second and the third order;
+3. of what a class shares only its rarest tokens are needed, as many as are sure to hold one of those in common. Classes form
+   blocks by the most common of them (large ones are split), and blocks that share one are paired. The pairs of blocks
+   must also share one under the second and the third order;
 4. the sets of the classes left are sent once for each pair of blocks and compared there. Of the links found a
    spanning forest goes on to the connected components.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship_by_value, text_slices
+from .common import Scratch, cut, map_arrow, ship_by_value, text_slices
 from .components import components
 from .textkernel import SPACE, mix, words
 
@@ -132,9 +133,13 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
     def frequent() -> pa.RecordBatch:
         nonlocal total, texts
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= max(FREQUENT, texts * FREQUENT_SHARE)
+        tokens = np.concatenate(held)
         held.clear()
+        tokens.sort()
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        counts = np.diff(np.append(starts, len(tokens)))
+        tokens = tokens[starts]
+        often = counts >= max(FREQUENT, texts * FREQUENT_SHARE)
         seen.clear()
         total = texts = 0
         return _rows(1, tokens[often].view(np.int64), counts[often], None, None)
@@ -298,26 +303,42 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """``(ord, token, d1, n)`` of the tokens that several classes have."""
+    of_token = Window.partitionBy("ord", "token")
+    ends = postings.withColumn("low", F.min("d1").over(of_token)).withColumn("high", F.max("d1").over(of_token))
+    return ends.where("low <> high").select("ord", "token", "d1", "n").distinct()
+
+
 def _thinned(shared: DataFrame, percent: int) -> DataFrame:
-    """``(token, d1, n)`` without classes that share too few tokens with others, and then without tokens of a single class."""
-    counts = shared.groupBy("d1", "n").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.join(counts.where(F.col("c") >= least_shared(F.col("n"), percent)).select("d1", "n"), ["d1", "n"], "left_semi")
-    several = shared.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("token")
-    return cut(shared.join(several, "token", "left_semi"))
+    """``shared`` without classes that share too few tokens with others, and then without tokens of a single class."""
+    counts = shared.groupBy("ord", "d1", "n").agg(F.count(F.lit(1)).alias("c"))
+    shared = shared.join(counts.where(F.col("c") >= least_shared(F.col("n"), percent)).select("ord", "d1", "n"), ["ord", "d1", "n"], "left_semi")
+    several = shared.groupBy("ord", "token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("ord", "token")
+    return shared.join(several, ["ord", "token"], "left_semi")
+
 
+def _rarest(shared: DataFrame, percent: int) -> DataFrame:
+    """``(ord, token, d1, df)``: of each class's shared tokens the rarest, as many as hold one of those it must share.
 
-def _block_pairs(shared: DataFrame, least: DataFrame) -> DataFrame:
-    """``p, q``: blocks that have as many tokens of one order in common as any of their classes must; a block and itself likewise.
+    Of ``m`` tokens of which ``k`` are in common with another class, at least one is among the first ``m - k + 1`` of both, here in order of
+    the exact number of classes that have it.
+    """
+    sized = shared.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("ord", "token")))
+    of_class = Window.partitionBy("ord", "d1")
+    placed = sized.withColumn("place", F.row_number().over(of_class.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(of_class))
+    return placed.where(F.col("place") <= F.col("m") - least_shared(F.col("n"), percent) + 1).select("ord", "token", "d1", "df")
+
+
+def _block_pairs(rarest: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``p, q``: blocks that have a token of one order in common; a block and itself if two of its classes do.
 
     For each token only its different blocks count, so the pairs grow with blocks and not with classes.
     """
-    each = shared.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"))
+    each = rarest.join(blocks.select("d1", "block").distinct(), "d1").groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"))
     own = each.where("n > 1").select(F.col("block").alias("p"), F.col("block").alias("q"))
     other = each.select("token", F.col("block").alias("p")).join(each.select("token", F.col("block").alias("q")), "token").where("p < q").select("p", "q")
-    counted = own.unionAll(other).groupBy("p", "q").agg(F.count(F.lit(1)).alias("c"))
-    for side in ("p", "q"):
-        counted = counted.join(least.select(F.col("block").alias(side), F.col("least").alias(f"least_{side}")), side)
-    return counted.where("c >= least_p AND c >= least_q").select("p", "q")
+    return own.unionAll(other).distinct()
 
 
 def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text", row_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -326,8 +347,9 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
     A class is all texts with one set; its id is the smallest of theirs.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    described = cut(rows.mapInArrow(lambda b: _describe(b, size), "kind int, a long, n long, d1 long, d2 long"))
+    described = cut(map_arrow(rows, lambda b: _describe(b, size), "kind int, a long, n long, d1 long, d2 long"))
     meta = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n"), "d1", "d2")
     frequent = described.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(MOST_FREQUENT).toArrow()
     orders = spark.sparkContext.broadcast(Orders(frequent["a"].to_numpy().view(np.uint64), frequent["n"].to_numpy()))
@@ -335,47 +357,36 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
 
     # First order, all rows: the classes that share enough prefix tokens with others.
     schema = "ord int, token long, d1 long, n int"
-    first = rows.mapInArrow(lambda b: _postings(b, size, percent, orders.value, [0]), schema).select("token", "d1", "n").repartition("token")
-    of_token = Window.partitionBy("token")
-    shared = cut(
-        first.withColumn("low", F.min("d1").over(of_token))
-        .withColumn("high", F.max("d1").over(of_token))
-        .where("low <> high")
-        .select("token", "d1", "n")
-        .distinct()
-    )
+    shared, place = scratch.keep(_shared(map_arrow(rows, lambda b: _postings(b, size, percent, orders.value, [0]), schema)))
     for _ in range(THINNINGS):
-        shared = _thinned(shared, percent)
-    # Blocks: classes by their least shared token, large ones in parts.
-    home = shared.groupBy("d1").agg(F.min("token").alias("home"), F.min(least_shared(F.col("n"), percent)).alias("least"))
+        before = place
+        shared, place = scratch.keep(_thinned(shared, percent))
+        scratch.drop(before)
+    rarest, _ = scratch.keep(_rarest(shared, percent))
+    scratch.drop(place)
+    # Blocks: classes by the most common of those tokens, large ones in parts.
+    home = rarest.groupBy("d1").agg(F.max(F.struct("df", "token"))["token"].alias("home"))
     sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
     part = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("d1"), F.ceil(F.col("n") / BLOCK)))
-    blocks = cut(home.join(sizes, "home").select("d1", "least", F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")).join(classes, "d1"))
-    least = blocks.groupBy("block").agg(F.min("least").alias("least"))
-    pairs = cut(_block_pairs(shared.join(blocks.select("d1", "block").distinct(), "d1"), least))
+    blocks, _ = scratch.keep(home.join(sizes, "home").select("d1", F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")).join(classes, "d1"))
+    pairs, _ = scratch.keep(_block_pairs(rarest, blocks))
 
     # The other orders, of those classes only.
     few = _only(rows, blocks.select("id").distinct())
-    later = few.mapInArrow(lambda b: _postings(b, size, percent, orders.value, list(range(1, ORDERS))), schema)
-    later = cut(later.join(blocks.select("d1", "block").distinct(), "d1").select("ord", "token", "d1", "block").distinct())
+    later = _shared(map_arrow(few, lambda b: _postings(b, size, percent, orders.value, list(range(1, ORDERS))), schema))
+    later, _ = scratch.keep(_rarest(later, percent))
     for which in range(1, ORDERS):
-        pairs = pairs.join(_block_pairs(later.where(F.col("ord") == which), least), ["p", "q"], "left_semi")
-    pairs = cut(pairs)
-
-    # Verification where all filters agree.
-    ends = pairs.select(F.col("p").alias("block")).unionAll(pairs.select(F.col("q").alias("block"))).distinct()
-    members = cut(blocks.join(ends, "block", "left_semi"))
-    sets = cut(
-        _only(rows, members.select("id").distinct())
-        .mapInArrow(lambda b: _sets(b, size), "id long, d1 long, tokens binary")
-        .join(members.select("id", "d1", "block"), ["id", "d1"])
-        .dropDuplicates(["id", "d1", "block"])
-        .select("block", "id", "tokens")
-    )
-    left = pairs.join(sets, F.col("p") == F.col("block")).select("p", "q", F.lit(0).alias("side"), "id", "tokens")
-    right = pairs.where("p <> q").join(sets, F.col("q") == F.col("block")).select("p", "q", F.lit(1).alias("side"), "id", "tokens")
-    dealt = left.unionAll(right).repartition("p", "q").sortWithinPartitions("p", "q", "side")
-    links = cut(dealt.mapInArrow(lambda b: _compare_pairs(b, percent), "a long, b long"))
+        pairs = pairs.join(_block_pairs(later.where(F.col("ord") == which), blocks), ["p", "q"], "left_semi")
+    pairs, _ = scratch.keep(pairs)
+
+    # Verification where all filters agree: each set goes to the pairs of its block.
+    left = pairs.join(blocks, F.col("p") == F.col("block")).select("id", "d1", "p", "q", F.lit(0).alias("side"))
+    right = pairs.where("p <> q").join(blocks, F.col("q") == F.col("block")).select("id", "d1", "p", "q", F.lit(1).alias("side"))
+    asked, _ = scratch.keep(left.unionAll(right))
+    sets = map_arrow(_only(rows, asked.select("id").distinct()), lambda b: _sets(b, size), "id long, d1 long, tokens binary").dropDuplicates(["id", "d1"])
+    dealt = asked.join(sets, ["id", "d1"]).select("p", "q", "side", "id", "tokens").repartition("p", "q").sortWithinPartitions("p", "q", "side")
+    links = cut(map_arrow(dealt, lambda b: _compare_pairs(b, percent), "a long, b long"))
+    scratch.drop()
     found = components(links, "a", "b")
     return meta, found.select(F.col("node").alias("id"), "component")
 

@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value
+from .common import map_arrow, ship_by_value
 
 MARK = "▁"
+#: A noncharacter, which no text holds.
+HIDDEN = "\U0010fffe"
 #: Kinds of pieces and of models in the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE_MODEL = 1, 2
@@ -126,13 +128,14 @@ def _merges(model: PieceModel) -> list[tuple[str, str]]:
 
 
 def build(model: PieceModel):
-    """The tokenizer of the model; kinds of pieces that the rebuilt form can't express are refused."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    """The encoder of the model; kinds of pieces that the rebuilt form can't express are refused. Ids are decoded by ``decode_ids``."""
+    from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     if any(kind in (USER_DEFINED, UNUSED) for _, _, kind in model.pieces) or model.treat_whitespace_as_suffix or not model.escape_whitespaces:
         raise ValueError("user-defined or unused pieces, suffix spaces and plain spaces are not supported")
     if model.model_type == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback)
+        # The names of control pieces and of the unknown one are no text; byte pieces are looked up by name and keep theirs.
+        core = models.Unigram([(HIDDEN + p if kind in (CONTROL, UNKNOWN) else p, s) for p, s, kind in model.pieces], model.unk_id, model.byte_fallback)
     elif model.model_type == BPE_MODEL:
         core = models.BPE(
             {p: i for i, (p, _, _) in enumerate(model.pieces)},
@@ -153,12 +156,11 @@ def build(model: PieceModel):
     tokenizer.normalizer = normalizers.Sequence(steps)
     # Where no piece runs on past a space, words can be cut apart before the model sees them: the same pieces, much sooner.
     inner = any(MARK in piece.lstrip(MARK) for piece, _, kind in model.pieces if kind == NORMAL)
-    if not inner:
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    ends = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if model.add_dummy_prefix:
-        ends.append(decoders.Strip(" ", 1, 0))
-    tokenizer.decoder = decoders.Sequence(ends)
+    cuts = [] if inner else [pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")]
+    if model.model_type == UNIGRAM and model.byte_fallback and not any("<0" in piece for piece, _, kind in model.pieces if kind == NORMAL):
+        cuts.append(pre_tokenizers.Split(Regex("<(?=0x[0-9A-F]{2}>)"), "isolated"))  # nor is the name of a byte piece in a text
+    if cuts:
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence(cuts)
     return tokenizer
 
 
@@ -242,7 +244,7 @@ def encode_documents(docs: DataFrame, model_path: str, verify: int = 4, text: st
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(
+    return map_arrow(rows, 
         lambda batches: encode_batches(model.value, batches, verify), "doc_id long, ids array<int>, n_ids int, round_trip boolean, parity boolean"
     )
 
@@ -253,14 +255,15 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", row_
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["RAYON_NUM_THREADS"] = str(THREADS)
-        tokenizer = build(parse_model(model.value))
+        parsed = parse_model(model.value)
+        table = piece_bytes(parsed)
         for batch in batches:
             rows = batch.column(1).to_pylist()
-            some = iter(tokenizer.decode_batch([[i for i in x if i is not None] for x in rows if x is not None], skip_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else next(some) for x in rows], pa.string())], ["doc_id", "text"])
+            known = [None if x is None else [i for i in x if i is not None and 0 <= i < len(table)] for x in rows]
+            texts = [None if x is None else decode_ids(x, table, parsed.add_dummy_prefix) for x in known]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(row_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(decode, "doc_id long, text string")
+    return map_arrow(encoded.select(F.col(row_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")), decode, "doc_id long, text string")
 
 
 ship_by_value(__name__)

@@ -84,3 +84,13 @@ def test_hook_and_features(spark):
     r = trackers.image_features(df, ["i"]).first()
     assert r.colour and r.green > 0.3 and 0.4 < r.dark_top < 0.6
     assert trackers.image_features(df.where(F.lit(False)), ["i"]).count() == 0
+
+
+def test_readings_and_slots(spark):
+    from verdance.operators import selection
+
+    rows = [("i", "A1", 0.9, 0.1, 0.1), ("i", "A1", 0.8, 0.12, 0.1), ("i", "B2", 0.95, 0.8, 0.8), ("i", "A7", 0.3, 0.1, 0.11)]
+    r = selection.clustered_readings(spark.createDataFrame(rows, "image string, text string, confidence double, x double, y double"), ["image"]).first()
+    assert (r.text, r.votes) == ("A1", 2) and 0.89 < r.score <= 1
+    parts = spark.createDataFrame([(0, 1, 50.0), (0, 2, 10.0)], "frame int, component int, cx double")
+    assert [x.s for x in parts.withColumn("s", selection.slots(parts, ["frame"], "cx")).orderBy("component").collect()] == [2, 1]

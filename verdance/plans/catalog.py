@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import plant_queries, series_queries, table_queries
+from . import plant_queries, selection_queries, series_queries, table_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**series_queries.QUERIES, **table_queries.QUERIES, **plant_queries.QUERIES}
+    return {**series_queries.QUERIES, **table_queries.QUERIES, **plant_queries.QUERIES, **selection_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**series_queries.SQL, **table_queries.SQL, **plant_queries.SQL}
+    return {**series_queries.SQL, **table_queries.SQL, **plant_queries.SQL, **selection_queries.SQL}

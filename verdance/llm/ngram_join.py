@@ -7,10 +7,10 @@ only what passes all filters is verified:
 1. one pass gives each text's set size and digest, and the tokens frequent in any slice of the corpus. Texts with equal
    sets are one class from here on. Every order has the frequent tokens last, by frequency, and the others in a random sequence of its own;
 2. prefix tokens under the first order are dealt by token; tokens of a single class drop out, and so do classes left with
-   fewer than they must share, until little changes;
+   fewer than they must share;
 3. of what a class shares only its rarest tokens are needed, as many as are sure to hold one of those in common. Classes form
    blocks by the most common of them (large ones are split), and blocks that share one are paired. The pairs of blocks
-   must also share one under the second and the third order;
+   must also share one under each further order;
 4. the sets of the classes left are sent once for each pair of blocks and compared there. Of the links found a
    spanning forest goes on to the connected components.
 
@@ -33,14 +33,12 @@ from .textkernel import SPACE, mix, words
 
 #: Bytes of text worked on at once; tokens counted together while looking for frequent ones, and what frequent means: so often
 #: in such a slice, and in so large a share of its texts.
-SLICE, COUNTED_TOKENS, FREQUENT, FREQUENT_SHARE = 1 << 22, 4_000_000, 4, 1 / 5000
+SLICE, COUNTED_TOKENS, FREQUENT, FREQUENT_SHARE = 1 << 20, 4_000_000, 4, 1 / 5000
 #: Frequent tokens that are broadcast at most (the most frequent), and ids that are broadcast at most; more ids are joined.
 MOST_FREQUENT, BROADCAST_IDS = 1 << 20, 1_000_000
 #: Classes in a block at most, on average. Pairs of blocks are compared in dense columns of so many tokens.
 BLOCK, COLUMNS = 64, 8192
-ORDERS = 3
-#: How often classes and tokens are thinned out.
-THINNINGS = 2
+ORDERS = 2
 #: Prefix tokens in common that are asked for, in hundredths of a set.
 SHARED_PERCENT = 5
 
@@ -136,13 +134,14 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         tokens = np.concatenate(held)
         held.clear()
         tokens.sort()
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        counts = np.diff(np.append(starts, len(tokens)))
-        tokens = tokens[starts]
-        often = counts >= max(FREQUENT, texts * FREQUENT_SHARE)
+        # In order, a token that occurs so often is the same some places on.
+        least = int(max(FREQUENT, np.ceil(texts * FREQUENT_SHARE)))
+        tokens = np.unique(tokens[least - 1 :][tokens[least - 1 :] == tokens[: len(tokens) - least + 1]]), tokens
+        counts = np.searchsorted(tokens[1], tokens[0], "right") - np.searchsorted(tokens[1], tokens[0])
+        tokens = tokens[0]
         seen.clear()
         total = texts = 0
-        return _rows(1, tokens[often].view(np.int64), counts[often], None, None)
+        return _rows(1, tokens.view(np.int64), counts, None, None)
 
     for batch in batches:
         for row, data, offsets in text_slices(batch.column(1), SLICE):
@@ -184,7 +183,7 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, orders
                 if k is not None and k not in seen:
                     seen.add(k)
                     fresh[i] = True
-            if len(seen) > 2_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             n = np.diff(bounds)
             first = np.array([k[0] if k else 0 for k in keys], np.int64)
@@ -203,13 +202,25 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, orders
                 )
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """The low 48 bits of each hash: enough to tell apart the tokens of two sets, and a quarter less to send."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack(data: pa.Buffer | bytes) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :6] = narrow
+    return wide.view(np.uint64).ravel()
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in text_slices(batch.column(1), SLICE):
             tokens, bounds = token_sets(data, offsets, size)
             each = [tokens[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
             ids = batch.column(0).slice(row, len(each))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(x)[0] for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())], ["id", "d1", "tokens"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(x)[0] for x in each], pa.int64()), pa.array([pack(x) for x in each], pa.binary())], ["id", "d1", "tokens"])
 
 
 class _Forest:
@@ -290,7 +301,7 @@ def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             if (p[i], q[i]) != key:
                 finish()
                 key, sides = (p[i], q[i]), [[], []]
-            sides[side[i]].append((ids[i], np.frombuffer(tokens[i].as_buffer(), np.uint64).copy()))
+            sides[side[i]].append((ids[i], unpack(tokens[i].as_buffer())))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
             out = []
@@ -303,31 +314,17 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """``(ord, token, d1, n)`` of the tokens that several classes have."""
-    of_token = Window.partitionBy("ord", "token")
-    ends = postings.withColumn("low", F.min("d1").over(of_token)).withColumn("high", F.max("d1").over(of_token))
-    return ends.where("low <> high").select("ord", "token", "d1", "n").distinct()
-
-
-def _thinned(shared: DataFrame, percent: int) -> DataFrame:
-    """``shared`` without classes that share too few tokens with others, and then without tokens of a single class."""
-    counts = shared.groupBy("ord", "d1", "n").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.join(counts.where(F.col("c") >= least_shared(F.col("n"), percent)).select("ord", "d1", "n"), ["ord", "d1", "n"], "left_semi")
-    several = shared.groupBy("ord", "token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("ord", "token")
-    return shared.join(several, ["ord", "token"], "left_semi")
-
-
-def _rarest(shared: DataFrame, percent: int) -> DataFrame:
-    """``(ord, token, d1, df)``: of each class's shared tokens the rarest, as many as hold one of those it must share.
+def _rarest(postings: DataFrame, percent: int) -> DataFrame:
+    """``(ord, token, d1, n, df)``: of the prefix tokens that a class shares with others the rarest, as many as hold one of those it must share.
 
-    Of ``m`` tokens of which ``k`` are in common with another class, at least one is among the first ``m - k + 1`` of both, here in order of
-    the exact number of classes that have it.
+    Tokens of a single class drop out, and so do classes left with fewer than they must share. Of ``m`` tokens of which ``k``
+    are in common with another class, at least one is among the first ``m - k + 1`` of both, here in order of how often they occur.
     """
-    sized = shared.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("ord", "token")))
-    of_class = Window.partitionBy("ord", "d1")
-    placed = sized.withColumn("place", F.row_number().over(of_class.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(of_class))
-    return placed.where(F.col("place") <= F.col("m") - least_shared(F.col("n"), percent) + 1).select("ord", "token", "d1", "df")
+    of_token, of_class = Window.partitionBy("ord", "token"), Window.partitionBy("ord", "d1")
+    sized = postings.withColumns({"low": F.min("d1").over(of_token), "high": F.max("d1").over(of_token), "df": F.count(F.lit(1)).over(of_token)})
+    shared = sized.where("low <> high").select("ord", "token", "d1", "n", "df").distinct()
+    placed = shared.withColumn("place", F.row_number().over(of_class.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(of_class))
+    return placed.where(F.col("place") <= F.col("m") - least_shared(F.col("n"), percent) + 1).select("ord", "token", "d1", "n", "df")
 
 
 def _block_pairs(rarest: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -357,31 +354,26 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
 
     # First order, all rows: the classes that share enough prefix tokens with others.
     schema = "ord int, token long, d1 long, n int"
-    shared, place = scratch.keep(_shared(map_arrow(rows, lambda b: _postings(b, size, percent, orders.value, [0]), schema)))
-    for _ in range(THINNINGS):
-        before = place
-        shared, place = scratch.keep(_thinned(shared, percent))
-        scratch.drop(before)
-    rarest, _ = scratch.keep(_rarest(shared, percent))
-    scratch.drop(place)
+    rarest, _ = scratch.keep(_rarest(map_arrow(rows, lambda b: _postings(b, size, percent, orders.value, [0]), schema), percent))
     # Blocks: classes by the most common of those tokens, large ones in parts.
-    home = rarest.groupBy("d1").agg(F.max(F.struct("df", "token"))["token"].alias("home"))
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    part = F.when(F.col("n") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("d1"), F.ceil(F.col("n") / BLOCK)))
-    blocks, _ = scratch.keep(home.join(sizes, "home").select("d1", F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")).join(classes, "d1"))
+    home = rarest.groupBy("d1").agg(F.max(F.struct("df", "token"))["token"].alias("home"), F.min("n").alias("n"))
+    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
+    part = F.when(F.col("c") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("d1"), F.ceil(F.col("c") / BLOCK)))
+    blocks, _ = scratch.keep(home.join(sizes, "home").select("d1", "n", F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")).join(classes, "d1"))
     pairs, _ = scratch.keep(_block_pairs(rarest, blocks))
 
     # The other orders, of those classes only.
     few = _only(rows, blocks.select("id").distinct())
-    later = _shared(map_arrow(few, lambda b: _postings(b, size, percent, orders.value, list(range(1, ORDERS))), schema))
-    later, _ = scratch.keep(_rarest(later, percent))
+    later, _ = scratch.keep(_rarest(map_arrow(few, lambda b: _postings(b, size, percent, orders.value, list(range(1, ORDERS))), schema), percent))
     for which in range(1, ORDERS):
         pairs = pairs.join(_block_pairs(later.where(F.col("ord") == which), blocks), ["p", "q"], "left_semi")
-    pairs, _ = scratch.keep(pairs)
 
-    # Verification where all filters agree: each set goes to the pairs of its block.
-    left = pairs.join(blocks, F.col("p") == F.col("block")).select("id", "d1", "p", "q", F.lit(0).alias("side"))
-    right = pairs.where("p <> q").join(blocks, F.col("q") == F.col("block")).select("id", "d1", "p", "q", F.lit(1).alias("side"))
+    # Verification where all filters agree: each set goes to the pairs of its block in which some size suits its own.
+    ranges = blocks.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sized = pairs.join(ranges.toDF("p", "least_p", "most_p"), "p").join(ranges.toDF("q", "least_q", "most_q"), "q")
+    suits = lambda side: (F.col("n") * 100 >= F.col(f"least_{side}") * percent) & (F.col(f"most_{side}") * 100 >= F.col("n") * percent)
+    left = sized.join(blocks, F.col("p") == F.col("block")).where(suits("q")).select("id", "d1", "p", "q", F.lit(0).alias("side"))
+    right = sized.where("p <> q").join(blocks, F.col("q") == F.col("block")).where(suits("p")).select("id", "d1", "p", "q", F.lit(1).alias("side"))
     asked, _ = scratch.keep(left.unionAll(right))
     sets = map_arrow(_only(rows, asked.select("id").distinct()), lambda b: _sets(b, size), "id long, d1 long, tokens binary").dropDuplicates(["id", "d1"])
     dealt = asked.join(sets, ["id", "d1"]).select("p", "q", "side", "id", "tokens").repartition("p", "q").sortWithinPartitions("p", "q", "side")

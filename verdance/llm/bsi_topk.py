@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship_by_value
+from .common import cut, map_arrow, ship_by_value
 
 #: Rows in a block, and queries sent to the executors at once (with 64 attributes 2 MB).
 BLOCK_ROWS, QUERY_BLOCK = 16384, 4096
@@ -200,7 +200,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, step: float = 256.0,
 
     def ask(block: list[tuple[int, np.ndarray]], whole: bool) -> None:
         sent = spark.sparkContext.broadcast(block)
-        out = rows.mapInArrow(lambda batches: search(batches, sent.value, k, step), "query_id long, vec_id long, score long")
+        out = map_arrow(rows, lambda batches: search(batches, sent.value, k, step), "query_id long, vec_id long, score long")
         found.append(out if whole else cut(out))
 
     block: list[tuple[int, np.ndarray]] = []

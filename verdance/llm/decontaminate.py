@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_by_value, text_slices
+from .common import cut, map_arrow, ship_by_value, text_slices
 from .textkernel import ALNUM, mix, words
 
 #: Words between windows of a document; sizes of windows; samples in a signature; bytes of a word's beginning.
@@ -31,7 +31,7 @@ COMMON_BYTES, EVIDENCE, BESIDE = 10, 8, 3
 #: Chance that one sampled place agrees in texts that are as alike as asked, which sets how often sampling is repeated.
 AGREE = 0.8
 #: Items and their words sent to the executors at once; bytes of text worked on at once.
-BLOCK_ITEMS, BLOCK_WORDS, SLICE = 4096, 400_000, 1 << 22
+BLOCK_ITEMS, BLOCK_WORDS, SLICE = 4096, 400_000, 1 << 20
 
 
 def repetitions(recall: float) -> int:
@@ -284,7 +284,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
                     numbers = [pa.array([getattr(x, c) for x in out], t) for c, t in (("item_id", pa.int64()), ("distance", pa.int32()), ("item_chars", pa.int32()))]
                     yield pa.RecordBatch.from_arrays([ids, *numbers], ["doc_id", "item_id", "distance", "item_chars"])
 
-        each = rows.mapInArrow(search, schema)
+        each = map_arrow(rows, search, schema)
         found = each if n == 0 else (cut(found) if n == 1 else found).unionAll(cut(each))
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -303,7 +303,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                     keep[[row + x.row for x in leaks(data, offsets, index, similarity, True)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_arrow(docs, clean, docs.schema)
     return docs
 
 

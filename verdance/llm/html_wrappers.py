@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship_by_value
+from .common import cut, map_arrow, ship_by_value
 
 #: Different expressions from which a host's wrapper is inferred at most (the most frequent ones), a long slot's code points,
 #: and bytes of wrappers that are broadcast at most; beyond that they are joined.
@@ -358,7 +358,7 @@ def _infer_host(rows: pd.DataFrame) -> pd.DataFrame:
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``host, wrapper, region``: each host's wrapper and the path to the article in it, from its most frequent expressions."""
-    shapes = pages.select(host_of(url).alias("host"), F.col(page).alias("html")).mapInArrow(_shapes, "host string, shape string")
+    shapes = map_arrow(pages.select(host_of(url).alias("host"), F.col(page).alias("html")), _shapes, "host string, shape string")
     counted = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("host").orderBy(F.desc("n"), "shape")
     chosen = counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIT_SHAPES)
@@ -399,7 +399,7 @@ def extract_pages(pages: DataFrame, row_id: str = "page_id", url: str = "url", p
             )
 
     id_type = dict(rows.dtypes)["page_id"]
-    return rows.mapInArrow(texts, f"page_id {id_type}, url string, text string, n_chars long")
+    return map_arrow(rows, texts, f"page_id {id_type}, url string, text string, n_chars long")
 
 
 ship_by_value(__name__)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value
+from .common import map_arrow, ship_by_value
 
 ROUNDS = 6
 #: Alphabets within which a character may change (fixed values); all others, and capitals of none of them, stay.
@@ -342,7 +342,7 @@ def surrogate_documents(docs: DataFrame, key: bytes, text: str = "text", row_id:
             )
 
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, text string, n_entities int, entities array<struct<kind:string,start:int,end:int,source_key:string,surrogate:string>>")
+    return map_arrow(rows, work, "doc_id long, text string, n_entities int, entities array<struct<kind:string,start:int,end:int,source_key:string,surrogate:string>>")
 
 
 def replace_texts(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
@@ -355,7 +355,7 @@ def replace_texts(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
             texts = [replace(t, find(t, surrogates)) if t else t for t in batch.column(place).to_pylist()]
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_arrow(docs, work, docs.schema)
 
 
 def collisions(replaced: DataFrame) -> DataFrame:

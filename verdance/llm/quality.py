@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, text_slices
+from .common import map_arrow, ship_by_value, text_slices
 from .linear import ftrl, labelled_ids, remainder, sigmoid
 from .textkernel import SPACE, mix, words
 
 #: Size of the hash table; labelled rows learned from at most; bytes of text worked on at once.
-TABLE_BITS, SAMPLE_ROWS, SLICE = 20, 6000, 1 << 22
+TABLE_BITS, SAMPLE_ROWS, SLICE = 20, 4000, 1 << 20
 BIAS = 1 << TABLE_BITS
 #: Counts over words are multiplied by this, so that the bias and the other weights learn at like speed.
 SCALE = 8.0
@@ -107,12 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     chosen = labelled_ids(labels, "quality", row_id, remainder(row_id, 3) != 1, sample_rows)
     # Bounded by sample_rows; the texts stay where they are.
     joined = docs.select(F.col(row_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_id")
-    sent = joined.select("label", "text").mapInArrow(_rows, "label int, places binary, weights binary").collect()
-    sent.sort(key=lambda r: (r["label"], r["places"], r["weights"]))
-    targets = np.array([r["label"] for r in sent], float)
-    rows = [
-        (np.append(np.frombuffer(r["places"], np.int32), BIAS).astype(np.int64), np.append(np.frombuffer(r["weights"], np.float32), 1.0).astype(float)) for r in sent
-    ]
+    sent = map_arrow(joined.select("label", "text"), _rows, "label int, places binary, weights binary").toArrow()
+    rows = sorted(
+        zip(sent["label"].to_pylist(), (x.as_buffer() for x in sent["places"]), (x.as_buffer() for x in sent["weights"]), strict=True),
+        key=lambda r: (r[0], r[1].to_pybytes(), r[2].to_pybytes()),
+    )
+    targets = np.array([label for label, _, _ in rows], float)
+    rows = [(np.append(np.frombuffer(at, np.int32), np.int32(BIAS)), np.append(np.frombuffer(x, np.float32), np.float32(1))) for _, at, x in rows]
+    del sent
     if len(set(targets)) < 2:
         weights = np.zeros(BIAS + 1)
         weights[BIAS] = np.clip(targets.sum() * 8 - 4, -4, 4) if len(targets) else 0.0
@@ -135,7 +137,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), (remainder(row_id, 3) == 1).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -148,7 +150,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
             parts = [score_texts(data, offsets, weights.value) for _, data, offsets in text_slices(batch.column(place), SLICE)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *parts]) >= 0.5))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_arrow(docs, kept, docs.schema)
 
 
 ship_by_value(__name__)

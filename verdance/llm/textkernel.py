@@ -12,7 +12,7 @@ from .common import ship_by_value
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bytes worked on at a time; bounds the memory at about 60 times this.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, text_slices
+from .common import map_arrow, ship_by_value, text_slices
 from .linear import ftrl, labelled_ids, remainder, sigmoid
 from .textkernel import ALNUM, mix, words
 
 #: Labelled rows learned from at most; length of a word's beginning in bytes; bytes worked on at once.
-SAMPLE_ROWS, PREFIX, SLICE = 8000, 5, 1 << 22
+SAMPLE_ROWS, PREFIX, SLICE = 8000, 5, 1 << 20
 MINED_LISTS = 6
 #: Least hashes in a band, and bands, by which copies are told while mining.
 BAND, BANDS = 3, 4
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
     chosen = labelled_ids(labels, "toxic", row_id, remainder(row_id, 5) != 0, sample_rows)
     # Bounded by sample_rows; the texts stay where they are.
     joined = docs.select(F.col(row_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_id")
-    sent = joined.select("label", "text").mapInArrow(_rows, "label int, words binary, counts binary, n long, shouting double").collect()
+    sent = map_arrow(joined.select("label", "text"), _rows, "label int, words binary, counts binary, n long, shouting double").toArrow().to_pylist()
     sent.sort(key=lambda r: (r["label"], r["words"], r["counts"]))
     y = np.array([r["label"] for r in sent])
     if len(set(y)) < 2:
@@ -242,7 +242,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), (remainder(row_id, 5) == 0).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 ship_by_value(__name__)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import sys
 import uuid
@@ -58,12 +60,24 @@ class Scratch:
 BATCH_ROWS = "1000"
 
 
+def release_memory() -> None:
+    """Give what the allocators hold in reserve back to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches that fit texts."""
+    """``df.mapInArrow`` with batches that fit texts; a task's memory is given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release_memory()
+
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -220,31 +220,73 @@ def unpack(h: int, w: int, bits: bytes) -> np.ndarray:
 COMPONENT_FIELDS = "component int, area int, x int, y int, w int, h int, cx double, cy double, pixels int, length double, tips int, nodes int"
 
 
+def component_table(mask: np.ndarray) -> pd.DataFrame:
+    """One row for each connected part. The whole mask is thinned at once: parts that don't touch don't matter to each other."""
+    labels = components(mask)
+    k = int(labels.max(initial=0))
+    ys, xs = np.nonzero(labels)
+    own = labels[ys, xs]
+    count = lambda at, weights=None: np.bincount(labels[at], weights, k + 1)[1:]
+    area = count((ys, xs))
+    ends = {}
+    for name, v in (("x", xs), ("y", ys)):
+        low, high = np.full(k + 1, np.iinfo(np.int64).max), np.full(k + 1, -1)
+        np.minimum.at(low, own, v)
+        np.maximum.at(high, own, v)
+        ends[name] = low[1:], high[1:]
+    lines = skeleton(mask)
+    n = neighbours(lines)
+    pixels = count(np.nonzero(lines))
+    length = np.zeros(k)
+    h, w = lines.shape
+    for dy, dx, weight in EDGES:
+        here, there = lines[: h - dy, max(0, -dx) : w - max(0, dx)], lines[dy:, max(0, dx) : w - max(0, -dx)]
+        at_y, at_x = np.nonzero(here & there)
+        length += weight * count((at_y, at_x + max(0, -dx)))
+    return pd.DataFrame(
+        {
+            "component": np.arange(1, k + 1),
+            "area": area,
+            "x": ends["x"][0],
+            "y": ends["y"][0],
+            "w": ends["x"][1] - ends["x"][0] + 1,
+            "h": ends["y"][1] - ends["y"][0] + 1,
+            "cx": count((ys, xs), xs) / np.maximum(area, 1),
+            "cy": count((ys, xs), ys) / np.maximum(area, 1),
+            "pixels": pixels,
+            "length": np.where(pixels == 1, 1.0, length),
+            "tips": count(np.nonzero(n == 1)),
+            "nodes": count(np.nonzero(n >= 3)),
+        }
+    )
+
+
 def measure_components(rasters: DataFrame, keys: list[str], classes: list[int], least: int = 1) -> DataFrame:
     """Each connected part, of ``least`` pixels or more, of the given classes: area, box, centroid, skeleton pixels and length, tips, nodes."""
-    schema = rasters.select(*keys).schema
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), COMPONENT_FIELDS])
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*keys).schema), COMPONENT_FIELDS])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for r in batch.itertuples(index=False):
-                labels = components(np.isin(unpack(r.h, r.w, r.bits), classes))
-                for k in range(1, int(labels.max(initial=0)) + 1):
-                    ys, xs = np.nonzero(labels == k)
-                    if len(ys) < least:
-                        continue
-                    y0, x0 = int(ys.min()), int(xs.min())
-                    part = np.zeros((int(ys.max()) - y0 + 1, int(xs.max()) - x0 + 1), bool)
-                    part[ys - y0, xs - x0] = True
-                    lines = skeleton(part)
-                    n = neighbours(lines)
-                    rows.append((*(getattr(r, c) for c in keys), k, len(ys), x0, y0, part.shape[1], part.shape[0], float(xs.mean()), float(ys.mean()), int(lines.sum()), mask_edge_length(lines), int((n == 1).sum()), int((n >= 3).sum())))
-            yield pd.DataFrame(rows, columns=[*keys, "component", "area", "x", "y", "w", "h", "cx", "cy", "pixels", "length", "tips", "nodes"])
+                parts = component_table(np.isin(unpack(r.h, r.w, r.bits), classes))
+                parts = parts[parts["area"] >= least]
+                yield pd.concat([pd.DataFrame({c: [getattr(r, c)] * len(parts) for c in keys}, index=parts.index), parts], axis=1)
 
     return rasters.select(*keys, "h", "w", "bits").mapInPandas(measure, fields)
 
 
+def packed_masks(pixels: DataFrame, keys: list[str], label: str, height: int, width: int) -> DataFrame:
+    """``*keys, h, w, bits``: masks of ``height`` by ``width`` from a pixel table; the pixels of one raster meet in one task."""
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.select(*keys).schema), "h int, w int, bits binary"])
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((height, width), np.uint8)
+        mask[rows["y"].to_numpy(), rows["x"].to_numpy()] = rows[label].to_numpy()
+        return pd.DataFrame([(*(rows[c].iloc[0] for c in keys), height, width, mask.tobytes())], columns=[*keys, "h", "w", "bits"])
+
+    return pixels.select(*keys, "y", "x", label).groupBy(*keys).applyInPandas(fill, fields)
+
+
 def pixel_table(rasters: DataFrame, keys: list[str]) -> DataFrame:
     """``*keys, y, x, class`` of every pixel that isn't background."""
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*keys).schema), "y int, x int, class int"])

@@ -65,20 +65,19 @@ def compartments(df: DataFrame, keys: list[str], plant: str, metrics: list[str])
 def describe(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     """``scope, metric`` and count, mean, std, min, quartiles, max: over all rows (scope ``all``) and each group. std of one row is 0."""
     long = df.unpivot([group], metrics, "metric", "value").where("value IS NOT NULL")
-    q = lambda p: F.percentile("value", p)
+    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = [
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.min("value").alias("least"),
-        q(0.25).alias("q25"),
-        q(0.5).alias("median"),
-        q(0.75).alias("q75"),
+        quartiles.alias("q"),
         F.max("value").alias("most"),
     ]
     level = F.grouping_id()
     out = long.groupingSets([["metric"], ["metric", group]], "metric", group).agg(level.alias("level"), *stats)
-    return out.select(F.when(F.col("level") == 0, F.col(group)).otherwise("all").alias("scope"), "metric", "n", "mean", "std", "least", "q25", "median", "q75", "most")
+    q = [F.col("q")[k].alias(name) for k, name in enumerate(("q25", "median", "q75"))]
+    return out.select(F.when(F.col("level") == 0, F.col(group)).otherwise("all").alias("scope"), "metric", "n", "mean", "std", "least", *q, "most")
 
 
 def distinct_reasons(listed: str, order: Column) -> Column:

@@ -502,10 +502,7 @@ def merged_classes(spark, d):
 
 def packed(spark, d) -> DataFrame:
     """The rasters of ``pixels`` as packed masks: one byte for each pixel."""
-    rows = pixels(spark, d).groupBy("frame").agg(F.collect_list(F.struct((F.col("y") * 64 + F.col("x")).alias("at"), "class")).alias("p"))
-    cells = F.map_from_entries("p")
-    text_ = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(cells, i), F.lit(0)).cast("long")), 2, "0")), "")
-    return rows.select("frame", F.lit(64).alias("h"), F.lit(64).alias("w"), F.unhex(text_).alias("bits"))
+    return raster.packed_masks(pixels(spark, d), ["frame"], "class", 64, 64)
 
 
 @query()

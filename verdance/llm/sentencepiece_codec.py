@@ -177,12 +177,17 @@ def piece_bytes(model: PieceModel) -> list[bytes]:
     return out
 
 
-def decode_ids(ids: list[int], table: list[bytes], add_dummy_prefix: bool) -> str:
-    """The text of some ids: the pieces' bytes joined, without the dummy prefix."""
-    text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
+def joined(pieces: list[bytes], add_dummy_prefix: bool) -> str:
+    """The text of some pieces, without the dummy prefix."""
+    text = b"".join(pieces).decode("utf-8", "replace")
     return text[1:] if add_dummy_prefix and text.startswith(" ") else text
 
 
+def decode_ids(ids: list[int], table: list[bytes], add_dummy_prefix: bool) -> str:
+    """The text of some ids."""
+    return joined([table[i] for i in ids], add_dummy_prefix)
+
+
 def _calls(texts: list[str]) -> Iterator[list[str]]:
     call, size = [], 0
     for t in texts:
@@ -202,7 +207,7 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
     """
     os.environ["RAYON_NUM_THREADS"] = str(THREADS)  # read when the library first starts its threads
     parsed = parse_model(model_bytes)
-    tokenizer, table = build(parsed), piece_bytes(parsed)
+    tokenizer, table = build(parsed), np.array(piece_bytes(parsed), object)
     judge = None
     if verify:
         import sentencepiece
@@ -214,13 +219,14 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
         for call in _calls([t or "" for t in batch.column(1).to_pylist()]):
             ids = [e.ids for e in encode(call, add_special_tokens=False)]
             lengths = np.array([len(x) for x in ids], np.int32)
-            back = [decode_ids(x, table, parsed.add_dummy_prefix) for x in ids]
             parity: list[bool | None] = [None] * len(call)
             if judge is not None:
                 n = len(call) if verify < 0 else min(verify, len(call))
                 parity[:n] = [a == b for a, b in zip(ids, judge.encode(call[:n], num_threads=1), strict=False)]
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            pieces, ends = table[flat].tolist(), offsets.tolist()
+            back = [joined(pieces[a:b], parsed.add_dummy_prefix) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(start, len(call)),

@@ -12,7 +12,7 @@ the best fitting piece of the text around the window.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, ship_by_value, text_slices
-from .textkernel import ALNUM, mix, words
+from .textkernel import ALNUM, mix, words_and_beginnings
 
 #: Words between windows of a document; sizes of windows; samples in a signature; bytes of a word's beginning.
 STRIDE, CLASSES, SAMPLES, PREFIX = 4, (4, 8, 16), 4, 3
@@ -90,14 +90,14 @@ class Item:
     whole: np.ndarray
     start: np.ndarray
     lengths: np.ndarray
+    masks: dict[str, int]
 
 
 def normal_words(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     """The text as small words with one space between, their hashes, the hashes of their beginnings and their bytes."""
     data = np.frombuffer(text.encode(), np.uint8)
     offsets = np.array([0, len(data)])
-    s, e, whole, _ = words(data, offsets, ALNUM, latin=True)
-    start = words(data, offsets, ALNUM, latin=True, prefix=PREFIX)[2]
+    s, e, whole, start, _ = words_and_beginnings(data, offsets, ALNUM, PREFIX, latin=True)
     return _normal(data, s, e), whole, start, e - s
 
 
@@ -109,7 +109,10 @@ class ItemIndex:
     """Signatures of all windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], recall: float):
-        self.items = [Item(i, *normal_words(t)) for i, t in items]
+        self.items = []
+        for i, t in items:
+            text, whole, start, lengths = normal_words(t)
+            self.items.append(Item(i, text, whole, start, lengths, places_of(text)))
         self.walks = []
         for size, stride in [(CLASSES[0], 1), *((c, STRIDE) for c in CLASSES)]:
             mine = [(k, x) for k, x in enumerate(self.items) if _class(len(x.whole)) == (size, stride)]
@@ -133,6 +136,8 @@ class ItemIndex:
                 tables = self._tables(mine, walk, places, size)
                 self.walks.append((walk, stride, places, tables, found[order], owners[order], offsets[order], evidence[order]))
 
+        self.strides = {stride for _, stride, *_ in self.walks}
+
     def _tables(self, mine: list[tuple[int, Item]], walk: int, places: list[int], size: int) -> list[np.ndarray]:
         tables = [np.zeros(1 << 20, bool) for _ in places]
         for _, x in mine:
@@ -142,7 +147,7 @@ class ItemIndex:
                 tables[k][(signature & np.uint64(0xFFFFF)).astype(np.int64)] = True
         return tables
 
-    def candidates(self, whole: np.ndarray, start: np.ndarray, windows: Callable[[int], np.ndarray]) -> np.ndarray:
+    def candidates(self, whole: np.ndarray, start: np.ndarray, windows: dict[int, np.ndarray]) -> np.ndarray:
         """``(item, word at which the item would start)`` without repeats.
 
         Signatures of few and short words are found all over; they count together with others of the item beside them.
@@ -150,7 +155,7 @@ class ItemIndex:
         rows = []
         for walk, stride, places, tables, signatures, owners, offsets, evidence in self.walks:
             symbols = start if walk % 2 else whole
-            at = windows(stride)
+            at = windows[stride]
             found, which, _, _ = _signatures(symbols, _steps(symbols, walk), at, places, tables)
             low, high = np.searchsorted(signatures, found), np.searchsorted(signatures, found, "right")
             counts = high - low
@@ -170,38 +175,43 @@ class ItemIndex:
         return np.unique(np.stack([item[enough], at[enough] // (BESIDE + 1) * (BESIDE + 1) + BESIDE // 2]), axis=1)
 
 
-def fit_distance(item: str, text: str, most: int) -> int:
+def places_of(item: str) -> dict[str, int]:
+    """For each character a number whose bits are its places in the item."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(item):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def fit_distance(item: str, text: str, most: int, masks: dict[str, int] | None = None) -> int:
     """The least edit distance between ``item`` and any piece of ``text``, or ``most + 1`` if that is larger.
 
     Bit vectors over the item's characters (Myers); a column for each character of the text.
     """
     if item in text:
         return 0
-    n = len(item)
-    masks: dict[str, int] = {}
-    for i, c in enumerate(item):
-        masks[c] = masks.get(c, 0) | 1 << i
+    masks = masks or places_of(item)
+    n, known = len(item), masks.get
     full, top = (1 << n) - 1, 1 << (n - 1)
     up, down, score, best = full, 0, n, n
-    left = len(text)
-    for c in text:
-        left -= 1
-        if score - left > most + 1 and best > most:  # a column lowers the score by 1 at most
+    for at in range(0, len(text), 16):
+        if score - (len(text) - at) > most and best > most:  # a column lowers the score by 1 at most
             return most + 1
-        eq = masks.get(c, 0)
-        same = eq | down
-        zero = (((eq & up) + up) ^ up) | eq
-        plus = down | ~(zero | up) & full
-        minus = up & zero
-        if plus & top:
-            score += 1
-        elif minus & top:
-            score -= 1
-        plus = plus << 1 & full
-        minus = minus << 1 & full
-        up = minus | ~(same | plus) & full
-        down = plus & same
-        best = min(best, score)
+        for c in text[at : at + 16]:
+            eq = known(c, 0)
+            same = eq | down
+            zero = (((eq & up) + up) ^ up) | eq
+            plus = down | ~(zero | up) & full
+            minus = up & zero
+            if plus & top:
+                score += 1
+            elif minus & top:
+                score -= 1
+                if score < best:
+                    best = score
+            plus = plus << 1 & full
+            up = minus << 1 & full | ~(same | plus) & full
+            down = plus & same
     return min(best, most + 1)
 
 
@@ -215,13 +225,13 @@ class Leak:
 
 def leaks(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, similarity: float, first_only: bool) -> list[Leak]:
     """Items found in the texts ``data[offsets[i]:offsets[i + 1]]``; with ``first_only`` any one for each text."""
-    starts, ends, whole, bounds = words(data, offsets, ALNUM, latin=True)
+    starts, ends, whole, start, bounds = words_and_beginnings(data, offsets, ALNUM, PREFIX, latin=True)
     if not len(whole):
         return []
-    start = words(data, offsets, ALNUM, latin=True, prefix=PREFIX)[2]
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     place = np.arange(len(whole)) - bounds[text]
-    found = index.candidates(whole, start, lambda stride: np.flatnonzero(place % stride == 0))
+    windows = {stride: np.flatnonzero(place % stride == 0) for stride in index.strides}
+    found = index.candidates(whole, start, windows)
     best: dict[tuple[int, int], int] = {}
     done: set[int] = set()
     for k, at in found.T.tolist():
@@ -238,7 +248,7 @@ def leaks(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, similarity: f
             if b <= a:
                 continue
             most = int((1 - similarity) * len(item.text) + 1e-9)
-            distance = fit_distance(item.text, _normal(data, starts[a:b], ends[a:b]), most)
+            distance = fit_distance(item.text, _normal(data, starts[a:b], ends[a:b]), most, item.masks)
             if distance <= most:
                 best[r, k] = min(distance, best.get((r, k), distance))
                 done.add(r)

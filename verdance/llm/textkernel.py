@@ -52,33 +52,39 @@ def lower_bytes(data: np.ndarray, latin: bool = False) -> np.ndarray:
     return out
 
 
-def _chunk(data: np.ndarray, word: np.ndarray, first: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of one chunk; ``first`` marks bytes at which a text starts."""
+def _chunk(data: np.ndarray, word: np.ndarray, first: np.ndarray, prefix: int) -> tuple[np.ndarray, ...]:
+    """Starts, ends, hashes and hashes of the beginnings of the words of one chunk; ``first`` marks bytes at which a text starts."""
     begins = word.copy()
     begins[1:] &= ~word[:-1] | first[1:]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        return starts, starts, none, none
     ends_at = word.copy()
     ends_at[:-1] &= ~word[1:] | first[1:]
     ends = np.flatnonzero(ends_at) + 1
     lengths = ends - starts
     inside = np.flatnonzero(word)
     places = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    if prefix:
-        kept = places < prefix
-        inside, places, lengths = inside[kept], places[kept], np.minimum(lengths, prefix)
     terms = BYTE_VALUE[data[inside]] * _powers(int(lengths.max()))[places]
-    hashes = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
-    return starts, ends, mix(hashes + lengths.astype(np.uint64))
+    hashes = mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    if not prefix:
+        return starts, ends, hashes, hashes
+    short = np.minimum(lengths, prefix)
+    return starts, ends, hashes, mix(np.add.reduceat(terms[places < prefix], np.cumsum(short) - short) + short.astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: bool = False, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts ``data[offsets[i]:offsets[i + 1]]``, small letters: ``(starts, ends, hashes, bounds)``.
 
-    Word ``j`` is one of text ``i`` if ``bounds[i] <= j < bounds[i + 1]``. Words are runs of bytes in ``is_word``;
-    with ``prefix`` only their first so many bytes are hashed.
+    Word ``j`` is one of text ``i`` if ``bounds[i] <= j < bounds[i + 1]``. Words are runs of bytes in ``is_word``.
     """
+    starts, ends, hashes, _, bounds = words_and_beginnings(data, offsets, is_word, 0, latin)
+    return starts, ends, hashes, bounds
+
+
+def words_and_beginnings(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, prefix: int, latin: bool = False) -> tuple[np.ndarray, ...]:
+    """As ``words``, with the hashes of the words' first ``prefix`` bytes before the bounds."""
     parts, at, n = [], 0, len(data)
     while at < n:
         end = min(n, at + CHUNK)
@@ -92,15 +98,15 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: boo
         first = np.zeros(len(piece), bool)
         inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)]
         first[inner - at] = True
-        s, e, h = _chunk(lower_bytes(piece, latin), is_word[piece], first, prefix)
-        parts.append((s + at, e + at, h))
+        s, e, h, p = _chunk(lower_bytes(piece, latin), is_word[piece], first, prefix)
+        parts.append((s + at, e + at, h, p))
         at = end
     if parts:
-        starts, ends, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts, ends, hashes, beginnings = (np.concatenate(x) for x in zip(*parts, strict=True))
     else:
         starts = ends = np.zeros(0, np.int64)
-        hashes = np.zeros(0, np.uint64)
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+        hashes = beginnings = np.zeros(0, np.uint64)
+    return starts, ends, hashes, beginnings, np.searchsorted(starts, offsets)
 
 
 ship_by_value(__name__)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, ship_by_value, text_slices
 from .linear import ftrl, labelled_ids, remainder, sigmoid
-from .textkernel import ALNUM, mix, words
+from .textkernel import ALNUM, mix, words, words_and_beginnings
 
 #: Labelled rows learned from at most; length of a word's beginning in bytes; bytes worked on at once.
 SAMPLE_ROWS, PREFIX, SLICE = 8000, 5, 1 << 20
@@ -49,8 +49,7 @@ class Texts:
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of words and of beginnings (for each word), bounds of the texts, share of capitals among ASCII letters."""
-    _, _, whole, bounds = words(data, offsets, ALNUM, latin=True)
-    _, _, start, _ = words(data, offsets, ALNUM, latin=True, prefix=PREFIX)
+    _, _, whole, start, bounds = words_and_beginnings(data, offsets, ALNUM, PREFIX, latin=True)
     upper = np.concatenate([[0], np.cumsum((data >= 0x41) & (data <= 0x5A))])
     lower = np.concatenate([[0], np.cumsum((data >= 0x61) & (data <= 0x7A))])
     up, low = (x[offsets[1:]] - x[offsets[:-1]] for x in (upper, lower))

@@ -272,6 +272,15 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(texts))) - {k for k, _ in want})
 
 
+def test_leaks_of_short_words_and_without_spaces(spark):
+    rng = random.Random(8)
+    items = ["What is 12 + 7 * 3 ?", "a b c d e f", " ".join(rng.choice("abcdefghij") + rng.choice(["", "x"]) for _ in range(40)), "机器学习模型的训练数据不应包含测试题目", "x = 3 ; y = 40 ; z = x * y ; z ?"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{prose(rng, 50)} {t} {prose(rng, 50)}" for t in items]
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs(spark, texts), benchmark).collect()} >= {(i, i) for i in range(len(items))}
+    assert drop_leaked(docs(spark, texts), benchmark).count() == 0
+
+
 # ---- classifiers -------------------------------------------------------------------------------------------------------
 
 

@@ -1,19 +1,18 @@
 """Benchmark decontamination by edit distance.
 
-The CGK embedding walks over a string with random steps of 0 or 1 that depend on the symbol under it, so that strings at small edit
-distance meet again and become strings at small Hamming distance. Here symbols are words (whole, or their beginnings, which forgives typing
-errors). Each item is cut to windows as large as its size class, at every offset; documents have windows at every
-``STRIDE``-th word, so each occurrence of an item holds some that line up with the item's. Windows are compared by bit sampling: a
-signature is made of a few random places of the embedding, again for several walks, until the target recall is reached. Windows whose first samples
-no item has are given up at once. Every candidate is verified by the exact edit distance between the item and
-the best fitting piece of the text around the window.
+Texts and items are compared as characters. An item's runs of ``q`` characters are looked up at the places of a text; runs that both hold
+vote for where the item would start, and starts with enough votes within the drift that the allowed edits can cause are verified by the exact
+edit distance between the item and the best fitting piece of the text around them. Up to ``SHORT`` characters the votes asked for are
+those that no allowed edits can take away (the q-gram lemma), so nothing is missed. Longer items use longer runs at every ``STRIDE``-th place
+of the text; the votes asked for are those that a share ``recall`` of copies keeps whose characters are changed at random as often as allowed.
 """
 
 from __future__ import annotations
 
-import math
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,158 +20,166 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, ship_by_value, text_slices
-from .textkernel import ALNUM, mix, words_and_beginnings
-
-#: Words between windows of a document; sizes of windows; samples in a signature; bytes of a word's beginning.
-STRIDE, CLASSES, SAMPLES, PREFIX = 4, (4, 8, 16), 4, 3
-#: A signature's evidence is the bytes of its words beyond the first of these numbers; candidates need the second,
-#: in signatures of one item that place it within so many words.
-COMMON_BYTES, EVIDENCE, BESIDE = 10, 8, 3
-#: Chance that one sampled place agrees in texts that are as alike as asked, which sets how often sampling is repeated.
-AGREE = 0.8
+from .textkernel import ALNUM
+
+#: Items below this many characters are searched without loss; places of a text between lookups for the others.
+SHORT, STRIDE = 64, 1
+#: Characters in a run, longest first, for short and longer items; votes below which a shorter run is taken; copies simulated.
+SHORT_RUNS, RUNS, FEW_VOTES, DRAWS = (4, 3, 2, 1), (6, 5, 4), 3, 400
+#: Items below four words are searched from this many characters on: scripts without spaces have few words.
+LEAST_CHARS = 10
+#: Bits of a run's hash; runs of items looked up at once; votes held at once.
+BITS, PART_RUNS, VOTES = 20, 1 << 17, 4_000_000
 #: Items and their words sent to the executors at once; bytes of text worked on at once.
 BLOCK_ITEMS, BLOCK_WORDS, SLICE = 4096, 400_000, 1 << 20
 
-
-def repetitions(recall: float) -> int:
-    """Walks after which a window is found with the chance ``recall``, half of them on whole words and half on beginnings."""
-    return 2 * math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLES) / 2)
-
-
-def _places(size: int, walk: int) -> list[int]:
-    """Random places of the embedding, one in each of as many parts; within 1.5 steps a word a walk rarely leaves its window."""
-    rng = np.random.default_rng([size, walk])
-    edges = np.linspace(0, size + size // 2, SAMPLES + 1).astype(int)
-    return [int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def _steps(symbols: np.ndarray, walk: int) -> np.ndarray:
-    """Bit ``j``: whether the walk's step ``j`` leaves this symbol."""
-    return mix(symbols * np.uint64(2 * walk + 3) + np.uint64(walk + 1))
-
-
-def _signatures(
-    symbols: np.ndarray, steps: np.ndarray, at: np.ndarray, places: list[int], tables: list[np.ndarray] | None, lengths: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of the windows that start ``at``, which windows they are, the last word that each looked at, and how many bytes of words.
-
-    ``tables``: by sample, what the low bits of a signature so far may be.
-    """
-    which = np.arange(len(at))
-    signature = np.zeros(len(at), np.uint64)
-    seen, before = np.zeros(len(at), np.int64), np.full(len(at), -1)
-    last, j = len(symbols) - 1, 0
-    for k, place in enumerate(places):
-        while j < place:
-            at = np.minimum(at + ((steps[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64), last)
-            j += 1
-        signature = mix((signature + symbols[at]) * np.uint64(0x9E3779B97F4A7C15))
-        if lengths is not None:
-            seen += np.where(at != before, lengths[at], 0)
-            before = at
-        if tables is not None:
-            kept = tables[k][(signature & np.uint64(0xFFFFF)).astype(np.int64)]
-            at, signature, which = at[kept], signature[kept], which[kept]
-    return signature, which, at, seen
-
-
-def _class(n: int) -> tuple[int, int]:
-    """Size of the windows of an item of ``n`` words, and the stride at which two of them at least line up with it."""
-    if n < CLASSES[0]:
-        return 0, 0
-    return max([(c, STRIDE) for c in CLASSES if n >= c + 2 * STRIDE - 1], default=(CLASSES[0], 1))
+#: Bytes of words as they are, all others as spaces.
+_SPACED = np.where(ALNUM, np.arange(256), 0x20).astype(np.uint8)
+
+
+def allowed(n: int, similarity: float) -> int:
+    """Edits within which a piece of text counts as an item of ``n`` characters."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+@lru_cache(maxsize=None)
+def _kept_votes(n: int, edits: int, q: int, missed: float) -> int:
+    """Votes that all but a share ``missed`` of copies keep that have ``edits`` of ``n`` characters changed at random."""
+    rng = np.random.default_rng([n, q])
+    changed = np.zeros((DRAWS, n + 1), np.int32)
+    np.put_along_axis(changed, 1 + rng.random((DRAWS, n)).argpartition(max(edits - 1, 0), axis=1)[:, :edits], 1, axis=1)
+    before = changed.cumsum(axis=1)
+    intact = before[:, q:] == before[:, : n + 1 - q]
+    looked_up = (np.arange(intact.shape[1]) + rng.integers(0, STRIDE, (DRAWS, 1))) % STRIDE == 0
+    return int(np.quantile((intact & looked_up).sum(axis=1), missed, method="lower"))
+
+
+def search_plan(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """Characters in a run, places between lookups and votes asked for, for an item of ``n`` characters."""
+    if n < SHORT:
+        edits = allowed(n, similarity)
+        for q in SHORT_RUNS:
+            votes = n - q + 1 - edits * q
+            if votes >= max(1, n // 8):
+                break
+        return q, 1, max(votes, 1)
+    n -= n % 8
+    for q in RUNS:
+        # Most of the misses allowed are left for what the simulated copies don't show.
+        votes = _kept_votes(n, allowed(n, similarity), q, (1 - recall) / 10)
+        if votes >= FEW_VOTES:
+            break
+    return q, STRIDE, max(votes, 1)
+
+
+def normalised(data: np.ndarray, offsets: np.ndarray) -> str:
+    """The texts ``data[offsets[i]:offsets[i + 1]]`` as small words with one space between, and a line feed after each text."""
+    if not len(data):
+        return "\n" * (len(offsets) - 1)
+    keep = ALNUM[data]
+    keep[1:] |= keep[:-1].copy()
+    ends = np.concatenate([[0], np.cumsum(keep)])[offsets[1:]]
+    return np.insert(_SPACED[data[keep]], ends, 0x0A).tobytes().decode("utf-8", "replace").lower()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    """Of all runs of ``q`` characters."""
+    n = max(len(codes) - q + 1, 0)
+    h = np.zeros(n, np.uint32)
+    for k in range(q):
+        h *= np.uint32(0x01000193)
+        h += codes[k : k + n]
+    h *= np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    return h >> np.uint32(32 - BITS)
 
 
 @dataclass
 class Item:
     item_id: int
     text: str
-    whole: np.ndarray
-    start: np.ndarray
-    lengths: np.ndarray
+    edits: int
+    votes: int
     masks: dict[str, int]
 
 
-def normal_words(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The text as small words with one space between, their hashes, the hashes of their beginnings and their bytes."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    offsets = np.array([0, len(data)])
-    s, e, whole, start, _ = words_and_beginnings(data, offsets, ALNUM, PREFIX, latin=True)
-    return _normal(data, s, e), whole, start, e - s
-
-
-def _normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
-    return b" ".join(data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)).decode("utf-8", "replace").lower()
+class Part:
+    """The runs of some items, all of ``q`` characters, by hash."""
+
+    def __init__(self, items: list[tuple[int, Item]], q: int, stride: int):
+        self.q, self.stride = q, stride
+        found = [_hashes(_codes(x.text), q) for _, x in items]
+        hashes = np.concatenate(found)
+        order = np.argsort(hashes, kind="stable")
+        self.counts = np.bincount(hashes, minlength=1 << BITS).astype(np.int32)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.owners = np.repeat(np.arange(len(items)), [len(x) for x in found])[order]
+        self.offsets = np.concatenate([np.arange(len(x)) for x in found])[order]
+        self.numbers = np.array([k for k, _ in items])
+        self.votes = np.array([x.votes for _, x in items])
+        self.edits = np.array([x.edits for _, x in items])
+        self.chars = np.array([len(x.text) for _, x in items])
+        #: Starts are counted in bins at least as wide as the drift, so two bins side by side hold all votes of a copy.
+        self.shift = np.array([max(x.edits, 4).bit_length() for _, x in items])
+        self.span = int((self.chars + 2 * self.edits).max()) + q
+
+    def spans(self, codes: np.ndarray, at: int = 0) -> list[np.ndarray]:
+        """``(item, first, last)``: pieces of ``codes``, which starts at place ``at``, that may hold an item."""
+        hashes = _hashes(codes, self.q)[:: self.stride]
+        counts = self.counts[hashes]
+        total = int(counts.sum())
+        if total > VOTES and len(codes) > 4 * self.span:
+            middle = len(codes) // 2 // self.stride * self.stride
+            return self.spans(codes[: middle + self.span], at) + self.spans(codes[middle:], at + middle)
+        hit = np.flatnonzero(counts)
+        counts = counts[hit]
+        which = np.repeat(self.first[hashes[hit]] - (np.cumsum(counts) - counts), counts) + np.arange(total)
+        owner = self.owners[which]
+        # Places before the text make no negative bins.
+        start = np.repeat(hit * self.stride + (1 << 20), counts) - self.offsets[which]
+        key = np.sort((owner << 40) | (start >> self.shift[owner]))
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        votes, key = np.diff(new, append=len(key)), key[new]
+        both = votes.copy()
+        both[:-1] += np.where(key[1:] == key[:-1] + 1, votes[1:], 0)
+        key = key[both >= self.votes[key >> 40]]
+        if not len(key):
+            return []
+        runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1] + 1]))
+        a, b = key[runs], key[np.append(runs[1:], len(key)) - 1]
+        owner, mask = a >> 40, (1 << 40) - 1
+        first = ((a & mask) << self.shift[owner]) - (1 << 20) - self.edits[owner]
+        last = (((b & mask) + 2) << self.shift[owner]) - (1 << 20) + self.chars[owner] + self.edits[owner]
+        return [np.stack([self.numbers[owner], first + at, last + at])]
 
 
 class ItemIndex:
-    """Signatures of all windows of a block of items."""
+    """The runs of a block of items, in parts of one plan and bounded size."""
 
-    def __init__(self, items: list[tuple[int, str]], recall: float):
-        self.items = []
+    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float):
+        self.items: list[Item] = []
+        plans: dict[tuple[int, int], list[list[tuple[int, Item]]]] = {}
+        sizes: dict[tuple[int, int], int] = {}
         for i, t in items:
-            text, whole, start, lengths = normal_words(t)
-            self.items.append(Item(i, text, whole, start, lengths, places_of(text)))
-        self.walks = []
-        for size, stride in [(CLASSES[0], 1), *((c, STRIDE) for c in CLASSES)]:
-            mine = [(k, x) for k, x in enumerate(self.items) if _class(len(x.whole)) == (size, stride)]
-            for walk in range(repetitions(recall) if mine else 0):
-                places = _places(size, walk)
-                found, owners, offsets, evidence = [], [], [], []
-                for k, x in mine:
-                    symbols = x.start if walk % 2 else x.whole
-                    # One word more than there are, at which a walk that leaves the item stops.
-                    ended = np.append(symbols, np.uint64(0))
-                    signature, which, last, seen = _signatures(
-                        ended, _steps(ended, walk), np.arange(len(symbols) - size + 1), places, None, np.append(x.lengths, 0)
-                    )
-                    ok = last < len(symbols)
-                    evidence.append(np.maximum(seen[ok] - COMMON_BYTES, 0))
-                    found.append(signature[ok])
-                    offsets.append(which[ok])
-                    owners.append(np.full(int(ok.sum()), k))
-                found, owners, offsets, evidence = (np.concatenate(y) for y in (found, owners, offsets, evidence))
-                order = np.argsort(found, kind="stable")
-                tables = self._tables(mine, walk, places, size)
-                self.walks.append((walk, stride, places, tables, found[order], owners[order], offsets[order], evidence[order]))
-
-        self.strides = {stride for _, stride, *_ in self.walks}
-
-    def _tables(self, mine: list[tuple[int, Item]], walk: int, places: list[int], size: int) -> list[np.ndarray]:
-        tables = [np.zeros(1 << 20, bool) for _ in places]
-        for _, x in mine:
-            symbols = np.append(x.start if walk % 2 else x.whole, np.uint64(0))
-            for k in range(len(places)):
-                signature, _, _, _ = _signatures(symbols, _steps(symbols, walk), np.arange(len(symbols) - size), places[: k + 1], None)
-                tables[k][(signature & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        return tables
-
-    def candidates(self, whole: np.ndarray, start: np.ndarray, windows: dict[int, np.ndarray]) -> np.ndarray:
-        """``(item, word at which the item would start)`` without repeats.
-
-        Signatures of few and short words are found all over; they count together with others of the item beside them.
-        """
-        rows = []
-        for walk, stride, places, tables, signatures, owners, offsets, evidence in self.walks:
-            symbols = start if walk % 2 else whole
-            at = windows[stride]
-            found, which, _, _ = _signatures(symbols, _steps(symbols, walk), at, places, tables)
-            low, high = np.searchsorted(signatures, found), np.searchsorted(signatures, found, "right")
-            counts = high - low
-            if not counts.any():
+            raw = np.frombuffer(t.encode(), np.uint8)
+            text = normalised(raw, np.array([0, len(raw)])).strip()
+            n = len(text)
+            if not n or n < LEAST_CHARS and len(text.split()) < 4:
                 continue
-            hit = np.repeat(low, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            rows.append(np.stack([owners[hit], np.repeat(at[which], counts) - offsets[hit], evidence[hit]]))
-        if not rows:
-            return np.zeros((2, 0), np.int64)
-        item, at, evidence = np.concatenate(rows, axis=1)
-        order = np.lexsort((at, item))
-        item, at, evidence = item[order], at[order], evidence[order]
-        apart = np.ones(len(item), bool)
-        apart[1:] = (item[1:] != item[:-1]) | (at[1:] - at[:-1] > BESIDE)
-        enough = (np.add.reduceat(evidence, np.flatnonzero(apart)) >= EVIDENCE)[np.cumsum(apart) - 1]
-        # One look at the text serves all starts within a few words.
-        return np.unique(np.stack([item[enough], at[enough] // (BESIDE + 1) * (BESIDE + 1) + BESIDE // 2]), axis=1)
+            q, stride, votes = search_plan(n, similarity, recall)
+            item = Item(i, text, allowed(n, similarity), votes, places_of(text))
+            if (q, stride) not in plans or sizes[q, stride] + n > PART_RUNS:
+                plans.setdefault((q, stride), []).append([])
+                sizes[q, stride] = 0
+            plans[q, stride][-1].append((len(self.items), item))
+            sizes[q, stride] += n
+            self.items.append(item)
+        self.parts = [Part(x, *plan) for plan, parts in plans.items() for x in parts]
 
 
 def places_of(item: str) -> dict[str, int]:
@@ -223,35 +230,24 @@ class Leak:
     item_chars: int
 
 
-def leaks(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, similarity: float, first_only: bool) -> list[Leak]:
+def leaks(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, first_only: bool) -> list[Leak]:
     """Items found in the texts ``data[offsets[i]:offsets[i + 1]]``; with ``first_only`` any one for each text."""
-    starts, ends, whole, start, bounds = words_and_beginnings(data, offsets, ALNUM, PREFIX, latin=True)
-    if not len(whole):
-        return []
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    place = np.arange(len(whole)) - bounds[text]
-    windows = {stride: np.flatnonzero(place % stride == 0) for stride in index.strides}
-    found = index.candidates(whole, start, windows)
+    text = normalised(data, offsets)
+    codes = _codes(text)
+    ends = np.flatnonzero(codes == 0x0A).tolist()
     best: dict[tuple[int, int], int] = {}
     done: set[int] = set()
-    for k, at in found.T.tolist():
-        item = index.items[k]
-        row = int(text[min(max(at, 0), len(text) - 1)])
-        if at < bounds[row]:  # the item would start before the text in which the window is
-            row = int(text[max(at, 0)]) if at >= 0 else 0
-        slack = len(item.whole) // 4 + 2 + BESIDE
-        # The window is after the item's start; of two texts that meet in the span the one that holds the window counts.
-        for r in {row, int(text[min(max(at, 0) + len(item.whole) - 1, len(text) - 1)])}:
-            if first_only and r in done or best.get((r, k)) == 0:
-                continue
-            a, b = max(int(bounds[r]), at - slack), min(int(bounds[r + 1]), at + len(item.whole) + slack + 1)
-            if b <= a:
-                continue
-            most = int((1 - similarity) * len(item.text) + 1e-9)
-            distance = fit_distance(item.text, _normal(data, starts[a:b], ends[a:b]), most, item.masks)
-            if distance <= most:
-                best[r, k] = min(distance, best.get((r, k), distance))
-                done.add(r)
+    for part in index.parts:
+        for k, first, last in (x for spans in part.spans(codes) for x in spans.T.tolist()):
+            item = index.items[k]
+            r = bisect.bisect_left(ends, first)
+            while r < len(ends) and (begin := ends[r - 1] + 1 if r else 0) < last:
+                if not (first_only and r in done or best.get((r, k)) == 0):
+                    distance = fit_distance(item.text, text[max(first, begin) : min(last, ends[r])], item.edits, item.masks)
+                    if distance <= item.edits:
+                        best[r, k] = min(distance, best.get((r, k), distance))
+                        done.add(r)
+                r += 1
     return [Leak(r, index.items[k].item_id, d, len(index.items[k].text)) for (r, k), d in sorted(best.items())]
 
 
@@ -273,9 +269,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     """``doc_id, item_id, distance, item_chars``: each benchmark item that a text holds, and how closely.
 
     Texts and items are compared as small words with single spaces. A text holds an item if some piece of it is within
-    an edit distance of ``(1 - similarity)`` times the item's length. Candidates are found with a chance of ``recall``
-    at least where edits are spread as assumed in ``AGREE``, and always where a run of words that a window sees is intact. Items of fewer than
-    four words would be found in any text and are never reported; null texts and items hold nothing; repeated rows are reported each; an empty
+    an edit distance of ``(1 - similarity)`` times the item's length. Items below ``SHORT`` characters are always found; longer ones with a
+    chance of ``recall`` where as many characters as allowed are changed at random, more often where fewer are, always where none is. Items of fewer than
+    four words and ``LEAST_CHARS`` characters would be found in any text and are never reported; null texts and items hold nothing; repeated rows are reported each; an empty
     table on either side gives no rows. Each block of items is one pass over the documents.
     """
     spark = docs.sparkSession
@@ -286,10 +282,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, recall)
+            index = ItemIndex(sent.value, similarity, recall)
             for batch in batches:
                 for row, data, offsets in text_slices(batch.column(1), SLICE):
-                    out = leaks(data, offsets, index, similarity, False)
+                    out = leaks(data, offsets, index, False)
                     ids = batch.column(0).take(pa.array([row + x.row for x in out], pa.int64()))
                     numbers = [pa.array([getattr(x, c) for x in out], t) for c, t in (("item_id", pa.int64()), ("distance", pa.int32()), ("item_chars", pa.int32()))]
                     yield pa.RecordBatch.from_arrays([ids, *numbers], ["doc_id", "item_id", "distance", "item_chars"])
@@ -306,11 +302,11 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, recall)
+            index = ItemIndex(sent.value, similarity, recall)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for row, data, offsets in text_slices(batch.column(place), SLICE):
-                    keep[[row + x.row for x in leaks(data, offsets, index, similarity, True)]] = False
+                    keep[[row + x.row for x in leaks(data, offsets, index, True)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = map_arrow(docs, clean, docs.schema)

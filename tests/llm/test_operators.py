@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from verdance.llm import queries as llm
 from verdance.llm.bsi_topk import BitSlices, top_k
 from verdance.llm.components import components
-from verdance.llm.decontaminate import drop_leaked, find_leaks, fit_distance
+from verdance.llm.decontaminate import ItemIndex, drop_leaked, find_leaks, fit_distance, leaks
 from verdance.llm.html_wrappers import extract_pages, infer_wrappers, main_text
 from verdance.llm.linear import ftrl
 from verdance.llm.ngram_join import drop_near_duplicates, near_duplicate_classes
@@ -281,6 +281,25 @@ def test_leaks_of_short_words_and_without_spaces(spark):
     assert drop_leaked(docs(spark, texts), benchmark).count() == 0
 
 
+def test_leaks_reach_their_recall():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for n in (12, 24, 38):
+        for share in (0.1, 0.15, 0.2):
+            items = [(i, text(n)) for i in range(40)]
+            copies = []
+            for _, t in items:
+                t = list(t)
+                for at in rng.sample(range(len(t)), int(share * len(t) + 1e-9)):
+                    t[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+                copies.append(f"{text(9)} {''.join(t)} {text(9)}".encode())
+            index = ItemIndex(items, 0.8, 0.95)
+            found = leaks(np.frombuffer(b"".join(copies), np.uint8), np.cumsum([0] + [len(c) for c in copies]), index, False)
+            # Changed characters are letters, so every copy is within the limit.
+            assert len({(x.row, x.item_id) for x in found} & {(i, i) for i in range(40)}) >= 38, (n, share)
+
+
 # ---- classifiers -------------------------------------------------------------------------------------------------------
 
 

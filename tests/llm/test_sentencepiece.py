@@ -62,3 +62,12 @@ def test_documents(spark):
     assert got[len(PROBES)].n_ids == 0
     back = {r.doc_id: r.text for r in decode_documents(out, MODEL_PATH).collect()}
     assert [back[i] for i in range(len(PROBES))] == PROBES
+
+
+def test_registered_users_check_every_text(spark, sf_dir):
+    import corpus_pipeline
+    from verdance.llm.queries import op10_sentencepiece
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for out in (op10_sentencepiece(spark, sf_dir), corpus_pipeline.encoding(spark, docs, sf_dir)):
+        assert out.where("parity").count() == docs.count()

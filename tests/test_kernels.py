@@ -235,6 +235,15 @@ def test_fpca_separates_two_shapes(spark):
     assert signal.functional_components(df.where("t = 't0'"), ["g"], "t", "i", "v").count() == 0
 
 
+def test_growth_components_take_whole_tracks(spark, sf_dir):
+    from verdance.plans import catalog
+    from verdance.plans.roles import frames
+
+    f = frames(spark, sf_dir).where("total_mm IS NOT NULL").groupBy("series", "petri", "plant_id").count().where("count >= 2")
+    out = catalog.queries()["growth_components"](spark, sf_dir)
+    assert {r.track for r in out.select("track").distinct().collect()} == {f"{r.petri}/{r.plant_id}" for r in f.collect()}
+
+
 def test_tips_keep_their_tracks(spark):
     rows = [(1, f, 10 * f + n, 20.0 * n + f, 5.0 * f, 0.0) for f in range(4) for n in range(3) if not (f == 2 and n == 1)]
     df = spark.createDataFrame(rows, "plant int, frame int, tip_id int, x double, y double, angle double")

@@ -527,13 +527,12 @@ def dominant_periods(spark, d):
 
 @query()
 def growth_components(spark, d):
-    """SIG2: functional components of the first ten frames of each track, by series."""
-    from ..operators.windows import series
-
-    f = frames(spark, d).withColumn("i", F.row_number().over(series(TRACK, ORDER)) - 1).where("i < 10")
-    f = f.withColumn("track", F.concat_ws("/", "petri", "plant_id"))
-    full = f.groupBy("series", "track").agg(F.count(F.lit(1)).alias("n")).where("n = 10").select("series", "track")
-    return signal.functional_components(f.join(full, ["series", "track"], "left_semi"), ["series"], "track", "i", "total_mm")
+    """SIG2: functional components of whole tracks on the frames of their plates, by series; gaps are the operator's to fill."""
+    f = frames(spark, d).withColumn("track", F.concat_ws("/", "petri", "plant_id"))
+    ends = f.groupBy("series").agg(F.max("frame_index").alias("last"))
+    grid = f.select("series", "track").distinct().join(ends, "series").select("series", "track", F.explode(F.sequence(F.lit(0), "last")).alias("frame_index"))
+    rows = grid.join(f.select("series", "track", "frame_index", "total_mm"), ["series", "track", "frame_index"], "left")
+    return signal.functional_components(rows, ["series"], "track", "frame_index", "total_mm")
 
 
 @query()

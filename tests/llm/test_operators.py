@@ -17,7 +17,7 @@ from verdance.llm.decontaminate import ItemIndex, drop_leaked, find_leaks, fit_d
 from verdance.llm.html_wrappers import extract_pages, infer_wrappers, main_text
 from verdance.llm.linear import ftrl
 from verdance.llm.ngram_join import drop_near_duplicates, near_duplicate_classes
-from verdance.llm.pii import Surrogates, collisions, find, luhn, replace_texts, surrogate_documents
+from verdance.llm.pii import Surrogates, checked, collisions, find, luhn, replace_texts, surrogate_documents
 from verdance.llm.quality import keep_good, score_quality
 from verdance.llm.secrets import scan_secrets
 from verdance.llm.sharding import shard_documents
@@ -460,6 +460,25 @@ def test_surrogates(spark):
     assert [r.text for r in replace_texts(docs(spark, texts), b"key").orderBy("doc_id").collect()] == [out[i].text for i in range(8)]
 
 
+def test_surrogates_of_later_mentions_and_short_addresses(spark):
+    texts = [
+        "Mr Lee came. Later Lee left with Linda Wu; Wu and Linda stayed.",
+        "Mary Smith wrote. Mary signed, SMITH did not; mary is small.",
+        "From 2001:db8::1 and 2001:0db8:0000:0000:0000:0000:0000:0001, ::ffff:192.0.2.1 or fe80::a1%eth0/64.",
+        "std::vector, a::b, 12:30:45, x :: y and 1:2:3 stay.",
+    ]
+    rows = surrogate_documents(docs(spark, texts), b"key").orderBy("doc_id").collect()
+    assert not re.search(r"\b(Lee|Wu|Linda|Mary|SMITH)\b", rows[0].text + rows[1].text)
+    assert [rows[k].n_entities for k in (0, 1)] == [5, 3]
+    assert [texts[2][e.start : e.end] for e in rows[2].entities] == ["2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "::ffff:192.0.2.1", "fe80::a1"]
+    a, b = rows[2].entities[:2]
+    assert a.surrogate == b.surrogate and a.source_key == b.source_key
+    assert rows[3].text == texts[3]
+    same = spark.createDataFrame([("email", "k1", "s"), ("email", "k2", "s")], "kind string, source_key string, surrogate string")
+    with pytest.raises(ValueError):
+        checked(same.selectExpr("array(struct(kind, source_key, surrogate)) AS entities"))
+
+
 def test_surrogates_stay_distinct():
     rng = random.Random(7)
     s = Surrogates(b"k")

@@ -14,6 +14,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,6 +63,9 @@ SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 PHONE = re.compile(r"(?<![\d(+])(?:\+\x20?\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?|\d{2,4}[\x20.-])\d{3,4}[\x20.-]\d{4}(?![\d-])|(?<![\d(+])\+\d{8,15}(?!\d)|(?<![\d(+])\+\d{1,3}(?:[\x20.-]\d{2,4}){3,5}(?![\d-])")
 IBAN = re.compile(r"(?<![^\W_])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![^\W_])")
 IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_H, _V4 = "[0-9A-Fa-f]{1,4}", r"\d{1,3}(?:\.\d{1,3}){3}"
+#: With zeros left out by two colons, or ending like an address of the older form; the library for addresses has the last word.
+SHORT_IPV6 = re.compile(rf"(?<![\w:])(?:(?:{_H}(?::{_H})*)?::(?:(?:{_H}:)*{_V4}(?!\.?\d)|{_H}(?::{_H})*)?|(?:{_H}:){{6}}{_V4}(?!\.?\d))(?![\w:])")
 LETTERS = re.compile(r"[^\W\d_]+")
 DOMAIN = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 LOCAL_SIGNS = frozenset("._%+-")
@@ -173,7 +177,7 @@ class Surrogates:
             x = int.from_bytes(bytes(map(int, source.split("."))), "big")
             return ".".join(map(str, self.permute(kind, x, 1 << 32).to_bytes(4, "big")))
         if kind == "ipv6":
-            x = self.permute(kind, int("".join(g.zfill(4) for g in source.split(":")), 16), 1 << 128)
+            x = self.permute(kind, int(IPv6Address(source)), 1 << 128)
             return ":".join(f"{x:032x}"[i : i + 4] for i in range(0, 32, 4))
         if kind == "card":
             return self.digits(kind, source, last=luhn)
@@ -242,12 +246,13 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str]]:
-    """Names after a form of address or that start with a known first name; then the same surnames wherever else they stand."""
+    """Names after a form of address or that start with a known first name; then each of their parts wherever else it stands."""
     found = [m.span(1) for m in TITLED.finditer(text)]
     found += [m.span() for m in FULL_NAME.finditer(text) if m[1].lower() in FIRST_NAME_OF]
-    surnames = {w.lower() for a, b in found for w in LETTERS.findall(text[a:b]) if len(w) >= 4 and w.lower() not in FIRST_NAME_OF}
-    if surnames:
-        found += [m.span() for m in LETTERS.finditer(text) if m[0][0].isupper() and m[0].lower() in surnames]
+    # The O of O'Brien is no name by itself; a surname of one character is.
+    parts = {w.lower() for a, b in found for name in text[a:b].split() for w in LETTERS.findall(name) if len(w) > 1 or w == name}
+    if parts:
+        found += [m.span() for m in LETTERS.finditer(text) if m[0][0].isupper() and m[0].lower() in parts]
     for a, b in found:
         yield a, b, "name"
 
@@ -256,12 +261,24 @@ def _others(text: str) -> Iterator[tuple[int, int, str]]:
     if ":" in text:
         for m in IPV6.finditer(text):
             yield m.start(), m.end(), "ipv6"
+        for m in SHORT_IPV6.finditer(text) if "::" in text or "." in text else ():
+            # Names in programs (a::b) have two parts and no digit.
+            if (m[0].count(":") > 2 or any(c.isdigit() for c in m[0])) and _is_ipv6(m[0]):
+                yield m.start(), m.end(), "ipv6"
     for m in IBAN.finditer(text):
         plain = m[0].replace(" ", "")
         if 15 <= len(plain) <= 34 and _mod97(plain[4:] + plain[:4]) == 1:
             yield m.start(), m.end(), "iban"
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
 def find(text: str, surrogates: Surrogates) -> list[Entity]:
     """The entities of a text from left to right; of overlapping ones the kind found first counts."""
     spans: list[tuple[int, int, str]] = []
@@ -306,6 +323,8 @@ def canonical(kind: str, source: str) -> str:
         return "".join(c for c in source if c.isdigit())
     if kind == "phone":
         return "".join(c for c in source if c.isdigit())[-10:]
+    if kind == "ipv6":
+        return IPv6Address(source).exploded
     return source.replace(" ", "").lower() if kind == "iban" else source.lower()
 
 
@@ -358,6 +377,14 @@ def replace_texts(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     return map_arrow(docs, work, docs.schema)
 
 
+def checked(replaced: DataFrame) -> DataFrame:
+    """``replaced`` after a look at all of it for ``collisions``, which are an error. Computed twice rather than kept on disk."""
+    found = collisions(replaced).limit(5).collect()
+    if found:
+        raise ValueError(f"surrogates that stand for more than one entity: {[(r['kind'], r['sources']) for r in found]}")
+    return replaced
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
     """``kind, surrogate_key, sources``: surrogates that stand for more than one entity; none are expected. Counted after partial sums."""
     pairs = replaced.select(F.explode("entities").alias("e")).select("e.kind", F.lower("e.surrogate").alias("surrogate"), "e.source_key")

@@ -12,7 +12,7 @@ from .common import table
 from .decontaminate import find_leaks
 from .html_wrappers import extract_pages
 from .ngram_join import near_duplicate_classes
-from .pii import surrogate_documents
+from .pii import checked, surrogate_documents
 from .quality import score_quality
 from .secrets import oracle as secrets_sql, scan_secrets
 from .sentencepiece_codec import encode_documents
@@ -59,7 +59,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = PII_KEY) -> DataFrame:
-    return surrogate_documents(table(spark, sf_dir, "documents"), key)
+    return checked(surrogate_documents(table(spark, sf_dir, "documents"), key))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:

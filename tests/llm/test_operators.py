@@ -300,6 +300,13 @@ def test_leaks_reach_their_recall():
             assert len({(x.row, x.item_id) for x in found} & {(i, i) for i in range(40)}) >= 38, (n, share)
 
 
+def test_wrapper_holds_all_shapes_of_a_host(spark):
+    tags = [f"k{a}{b}x" for a in "abcdefghijkl" for b in "abcdefghijkl"]
+    pages = [(i, "http://a.org/x", f"<html><body><{t}><p>{'word ' * 30}</p></{t}></body></html>") for i, t in enumerate(tags)]
+    (row,) = infer_wrappers(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(f'"{t}"' in row.wrapper for t in tags)
+
+
 # ---- classifiers -------------------------------------------------------------------------------------------------------
 
 

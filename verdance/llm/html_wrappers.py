@@ -19,14 +19,14 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, ship_by_value
 
-#: Different expressions from which a host's wrapper is inferred at most (the most frequent ones), a long slot's code points,
+#: Parts in which a host's expressions are merged before the parts are, a long slot's code points,
 #: and bytes of wrappers that are broadcast at most; beyond that they are joined.
-FIT_SHAPES, LONG_SLOT, BROADCAST_BYTES = 64, 80, 32 << 20
+HOST_PARTS, LONG_SLOT, BROADCAST_BYTES = 64, 80, 32 << 20
 
 #: Elements nested deeper are part of what holds them, as far as the wrapper goes; their texts are whole all the same.
 MAX_DEPTH = 100
@@ -350,6 +350,27 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.string())], ["host", "shape"])
 
 
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(host, part, n, shape)`` in order of host and part: each part as one expression, only one of which is held at a time."""
+    key, merged, total = None, None, 0
+
+    def row() -> pa.RecordBatch:
+        packed = json.dumps(merged.pack(), separators=(",", ":"))
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([total], pa.int64()), pa.array([packed], pa.string())], ["host", "n", "shape"])
+
+    for batch in batches:
+        for host, part, n, shape in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            g = unpack(json.loads(shape))
+            if (host, part) == key:
+                merged, total = merge(merged, g), total + n
+            else:
+                if key is not None:
+                    yield row()
+                key, merged, total = (host, part), g, n
+    if key is not None:
+        yield row()
+
+
 def _infer_host(rows: pd.DataFrame) -> pd.DataFrame:
     ordered = rows.sort_values(["n", "shape"], ascending=[False, True])["shape"]
     wrapper = infer([unpack(json.loads(s)) for s in ordered])
@@ -357,12 +378,16 @@ def _infer_host(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, wrapper, region``: each host's wrapper and the path to the article in it, from its most frequent expressions."""
+    """``host, wrapper, region``: each host's wrapper and the path to the article in it, from all its expressions.
+
+    They are merged in ``HOST_PARTS`` parts by hash, the most frequent first, and then the parts, so no task holds all of a host.
+    """
     shapes = map_arrow(pages.select(host_of(url).alias("host"), F.col(page).alias("html")), _shapes, "host string, shape string")
     counted = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("host").orderBy(F.desc("n"), "shape")
-    chosen = counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIT_SHAPES)
-    return chosen.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, region string")
+    parts = counted.select("host", F.pmod(F.xxhash64("shape"), F.lit(HOST_PARTS)).alias("part"), "n", "shape")
+    ordered = parts.repartition("host", "part").sortWithinPartitions("host", "part", F.desc("n"), "shape")
+    merged = map_arrow(ordered, _merge_parts, "host string, n long, shape string")
+    return merged.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, region string")
 
 
 def host_of(url: str):

@@ -281,23 +281,30 @@ def test_leaks_of_short_words_and_without_spaces(spark):
     assert drop_leaked(docs(spark, texts), benchmark).count() == 0
 
 
-def test_leaks_reach_their_recall():
-    rng = random.Random(3)
+@pytest.mark.parametrize("n_words", [3, 6, 9, 12, 16, 25, 60])
+def test_leaks_reach_their_recall(n_words):
+    """Against brute force, for replaced characters and for replaced, dropped and inserted ones, up to the limit."""
+    rng = random.Random(n_words)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    for n in (12, 24, 38):
-        for share in (0.1, 0.15, 0.2):
-            items = [(i, text(n)) for i in range(40)]
-            copies = []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for share in (0.0, 0.03, 0.1, 0.15, 0.2):
+        for mixed in (False, True):
+            items = [(i, text(n_words)) for i in range(50)]
+            edited = []
             for _, t in items:
                 t = list(t)
-                for at in rng.sample(range(len(t)), int(share * len(t) + 1e-9)):
-                    t[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
-                copies.append(f"{text(9)} {''.join(t)} {text(9)}".encode())
-            index = ItemIndex(items, 0.8, 0.95)
-            found = leaks(np.frombuffer(b"".join(copies), np.uint8), np.cumsum([0] + [len(c) for c in copies]), index, False)
-            # Changed characters are letters, so every copy is within the limit.
-            assert len({(x.row, x.item_id) for x in found} & {(i, i) for i in range(40)}) >= 38, (n, share)
+                for at in sorted(rng.sample(range(len(t)), int(share * len(t) + 1e-9)), reverse=True):
+                    how = rng.randrange(3) if mixed else 0
+                    t[at : at + (how != 2)] = [rng.choice(letters)] if how != 1 else []
+                edited.append("".join(t))
+            copies = [f"{text(9)} {t} {text(9)}".encode() for t in edited]
+            index = ItemIndex(items, 0.8)
+            found = {(x.row, x.item_id) for x in leaks(np.frombuffer(b"".join(copies), np.uint8), np.cumsum([0] + [len(c) for c in copies]), index, False)}
+            known = {i: t for i, t in items if len(t) >= 10}
+            near = {i for i, t in known.items() if fit_distance(t, edited[i].strip(), len(t)) <= int(0.2 * len(t) + 1e-9)}
+            caught = len(found & {(i, i) for i in near})
+            assert caught >= (0.95 * len(near) if share else len(near)), (n_words, share, mixed, caught, len(near))
 
 
 def test_wrapper_holds_all_shapes_of_a_host(spark):

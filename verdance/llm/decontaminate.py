@@ -1,10 +1,16 @@
-"""Benchmark decontamination by edit distance.
-
-Texts and items are compared as characters. An item's runs of ``q`` characters are looked up at the places of a text; runs that both hold
-vote for where the item would start, and starts with enough votes within the drift that the allowed edits can cause are verified by the exact
-edit distance between the item and the best fitting piece of the text around them. Up to ``SHORT`` characters the votes asked for are
-those that no allowed edits can take away (the q-gram lemma), so nothing is missed. Longer items use longer runs at every ``STRIDE``-th place
-of the text; the votes asked for are those that a share ``recall`` of copies keeps whose characters are changed at random as often as allowed.
+"""Benchmark decontamination: CGK embedding, bit sampling, exact edit distance.
+
+Texts and items are compared as characters. From the places at which an item's copy may be in step with a text (the starts of words; every
+character in scripts without spaces) a random walk runs over the characters: at each step it emits the character under it and, by a random bit of
+step and character, stays or goes on (the CGK embedding). Two strings of small edit distance are emitted alike in most steps, so their images
+are close in Hamming distance. Coordinates of the images are sampled, several samples for each of several walks; windows of a text that agree with
+a window of an item in all coordinates of a sample, and then in enough of all steps, are candidates. What a candidate covers is verified by
+the exact edit distance between the item and the best fitting piece of the text around it.
+
+A window has the item's size, up to ``STEPS`` steps; longer items have a window at each of their words, so the longer an item, the more chances
+its copies have. The samples repeat until the measured recall at the limit is reached: a test holds it against brute force by size of item and share of
+characters changed. Items below ``SHORT`` characters have too few steps to sample from: their runs of characters are looked up at all
+places of the text, with as many votes asked for as no allowed edits can take away (the q-gram lemma), so nothing is missed.
 """
 
 from __future__ import annotations
@@ -22,16 +28,23 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, ship_by_value, text_slices
 from .textkernel import ALNUM
 
-#: Items below this many characters are searched without loss; places of a text between lookups for the others.
-SHORT, STRIDE = 64, 1
-#: Characters in a run, longest first, for short and longer items; votes below which a shorter run is taken; copies simulated.
-SHORT_RUNS, RUNS, FEW_VOTES, DRAWS = (4, 3, 2, 1), (6, 5, 4), 3, 400
+#: Items below this many characters are searched without loss by runs of characters, longest first.
+SHORT, SHORT_RUNS = 32, (4, 3, 2, 1)
+#: Steps of a walk, independent walks, half samples drawn of each walk (each two make a sample).
+STEPS, WALKS, HALVES = 64, 4, 6
+#: For items of so many characters at least: steps sampled from, coordinates in half a sample, walks, and the share of
+#: steps in which a candidate must agree.
+CLASSES = ((32, 32, 3, 4, 0.4), (64, 48, 5, 3, 0.55), (112, 64, 6, 3, 0.6))
+#: Windows embedded at once, and candidates compared at once.
+WINDOWS, PAIRS = 1 << 15, 1 << 16
+#: Words longer than this hold window starts of their own; scripts from this character on have a start at each character.
+LONG_WORD, UNSPACED = 24, 0x0E00
 #: Items below four words are searched from this many characters on: scripts without spaces have few words.
 LEAST_CHARS = 10
 #: Bits of a run's hash; runs of items looked up at once; votes held at once.
 BITS, PART_RUNS, VOTES = 20, 1 << 17, 4_000_000
-#: Items and their words sent to the executors at once; bytes of text worked on at once.
-BLOCK_ITEMS, BLOCK_WORDS, SLICE = 4096, 400_000, 1 << 20
+#: Items and their characters sent to the executors at once; bytes of text worked on at once.
+BLOCK_ITEMS, BLOCK_CHARS, SLICE = 4096, 400_000, 1 << 20
 
 #: Bytes of words as they are, all others as spaces.
 _SPACED = np.where(ALNUM, np.arange(256), 0x20).astype(np.uint8)
@@ -42,34 +55,14 @@ def allowed(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-@lru_cache(maxsize=None)
-def _kept_votes(n: int, edits: int, q: int, missed: float) -> int:
-    """Votes that all but a share ``missed`` of copies keep that have ``edits`` of ``n`` characters changed at random."""
-    rng = np.random.default_rng([n, q])
-    changed = np.zeros((DRAWS, n + 1), np.int32)
-    np.put_along_axis(changed, 1 + rng.random((DRAWS, n)).argpartition(max(edits - 1, 0), axis=1)[:, :edits], 1, axis=1)
-    before = changed.cumsum(axis=1)
-    intact = before[:, q:] == before[:, : n + 1 - q]
-    looked_up = (np.arange(intact.shape[1]) + rng.integers(0, STRIDE, (DRAWS, 1))) % STRIDE == 0
-    return int(np.quantile((intact & looked_up).sum(axis=1), missed, method="lower"))
-
-
-def search_plan(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
-    """Characters in a run, places between lookups and votes asked for, for an item of ``n`` characters."""
-    if n < SHORT:
-        edits = allowed(n, similarity)
-        for q in SHORT_RUNS:
-            votes = n - q + 1 - edits * q
-            if votes >= max(1, n // 8):
-                break
-        return q, 1, max(votes, 1)
-    n -= n % 8
-    for q in RUNS:
-        # Most of the misses allowed are left for what the simulated copies don't show.
-        votes = _kept_votes(n, allowed(n, similarity), q, (1 - recall) / 10)
-        if votes >= FEW_VOTES:
+def short_plan(n: int, similarity: float) -> tuple[int, int]:
+    """Characters in a run, and runs that any copy of an item of ``n`` characters keeps."""
+    edits = allowed(n, similarity)
+    for q in SHORT_RUNS:
+        votes = n - q + 1 - edits * q
+        if votes >= max(1, n // 8):
             break
-    return q, STRIDE, max(votes, 1)
+    return q, max(votes, 1)
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> str:
@@ -111,8 +104,8 @@ class Item:
 class Part:
     """The runs of some items, all of ``q`` characters, by hash."""
 
-    def __init__(self, items: list[tuple[int, Item]], q: int, stride: int):
-        self.q, self.stride = q, stride
+    def __init__(self, items: list[tuple[int, Item]], q: int):
+        self.q = q
         found = [_hashes(_codes(x.text), q) for _, x in items]
         hashes = np.concatenate(found)
         order = np.argsort(hashes, kind="stable")
@@ -130,18 +123,18 @@ class Part:
 
     def spans(self, codes: np.ndarray, at: int = 0) -> list[np.ndarray]:
         """``(item, first, last)``: pieces of ``codes``, which starts at place ``at``, that may hold an item."""
-        hashes = _hashes(codes, self.q)[:: self.stride]
+        hashes = _hashes(codes, self.q)
         counts = self.counts[hashes]
         total = int(counts.sum())
         if total > VOTES and len(codes) > 4 * self.span:
-            middle = len(codes) // 2 // self.stride * self.stride
+            middle = len(codes) // 2
             return self.spans(codes[: middle + self.span], at) + self.spans(codes[middle:], at + middle)
         hit = np.flatnonzero(counts)
         counts = counts[hit]
         which = np.repeat(self.first[hashes[hit]] - (np.cumsum(counts) - counts), counts) + np.arange(total)
         owner = self.owners[which]
         # Places before the text make no negative bins.
-        start = np.repeat(hit * self.stride + (1 << 20), counts) - self.offsets[which]
+        start = np.repeat(hit + (1 << 20), counts) - self.offsets[which]
         key = np.sort((owner << 40) | (start >> self.shift[owner]))
         new = np.flatnonzero(np.diff(key, prepend=-1))
         votes, key = np.diff(new, append=len(key)), key[new]
@@ -158,28 +151,188 @@ class Part:
         return [np.stack([self.numbers[owner], first + at, last + at])]
 
 
+@lru_cache(maxsize=1)
+def _walks() -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each walk 64 random bits of every class of characters, and for each class of items the coordinates of the half samples."""
+    rng = np.random.default_rng(2017)
+    bits = rng.integers(0, 1 << 32, (WALKS, -(-STEPS // 32), 256), np.uint32)
+    return bits, [np.sort(np.array([[rng.choice(steps, half, replace=False) for _ in range(HALVES)] for _ in range(WALKS)]), axis=2) for _, steps, half, *_ in CLASSES]
+
+
+def window_starts(codes: np.ndarray) -> np.ndarray:
+    """Places at which windows start: of words, of characters without spaces between, and some within long words, by their characters alone."""
+    word = codes > 0x20
+    before = np.concatenate([[False], word[:-1]])
+    begins = word & ~before
+    at = np.flatnonzero(begins)
+    lengths = np.flatnonzero(word & ~np.append(word[1:], False)) + 1 - at
+    marked = begins | (codes >= UNSPACED)
+    long = lengths > LONG_WORD
+    if long.any():
+        inside = np.zeros(len(codes) + 1, np.int32)
+        inside[at[long]] += 1
+        inside[(at + lengths)[long]] -= 1
+        pairs = (codes * np.uint32(0x01000193) + np.append(codes[1:], np.uint32(0))) * np.uint32(0x9E3779B1)
+        marked |= (inside[:-1].cumsum() > 0) & (pairs >> np.uint32(29) == 0)
+    return np.flatnonzero(marked)
+
+
+def embed(kinds: np.ndarray, starts: np.ndarray, walk: int, steps: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What the walk emits from each start (a row for each step), and with ``ends`` the steps before each walk is past its end.
+
+    ``kinds`` goes on for ``steps`` characters after the last start.
+    """
+    bits = _walks()[0][walk]
+    at = starts.astype(np.intp)
+    out = np.empty((steps, len(starts)), np.uint32)
+    within = np.full(len(starts), steps)
+    values, move = None, np.empty(len(starts), np.uint32)
+    for s in range(steps):
+        if s % 32 == 0:
+            values = bits[s // 32][kinds]
+        if ends is not None:
+            within = np.where((at >= ends) & (within == steps), s, within)
+        np.take(values, at, out=out[s], mode="clip")
+        np.right_shift(out[s], np.uint32(s % 32), out=move)
+        np.bitwise_and(move, np.uint32(1), out=move)
+        np.add(at, move, out=at, casting="unsafe")
+    return out, within
+
+
+def samples(emitted: np.ndarray, coordinates: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The last coordinate and the hashes of each sample, a sample being two of the halves."""
+    halves = []
+    for places in coordinates:
+        h = emitted[places[0]].copy()
+        for k in places[1:]:
+            h *= np.uint32(0x01000193)
+            h += emitted[k]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        halves.append(h)
+    for i in range(HALVES):
+        for j in range(i):
+            h = halves[i] * np.uint32(0x9E3779B1) + halves[j]
+            yield int(max(coordinates[i][-1], coordinates[j][-1])), h ^ (h >> np.uint32(16))
+
+
+def _kinds(codes: np.ndarray, more: int) -> np.ndarray:
+    """A class below 256 for each character, with ``more`` empty ones after them."""
+    return np.append((codes * np.uint32(0x9E3779B1)) >> np.uint32(24), np.zeros(more, np.uint32)).astype(np.uint8)
+
+
+class Windows:
+    """The embedded windows of items of one class."""
+
+    def __init__(self, items: list[tuple[int, Item]], which: int):
+        _, self.steps, _, self.walks, self.agree = CLASSES[which]
+        self.coordinates = _walks()[1][which]
+        codes = [_codes(x.text) for _, x in items]
+        first = np.cumsum([0] + [len(c) + self.steps for c in codes])
+        kinds = np.concatenate([_kinds(c, self.steps) for c in codes])
+        places = [window_starts(c) for c in codes]
+        number = np.repeat(np.arange(len(items)), [len(p) for p in places])
+        self.offsets = np.concatenate(places)
+        self.numbers = np.array([k for k, _ in items])[number]
+        self.edits = np.array([x.edits for _, x in items])[number]
+        self.chars = np.array([len(x.text) for _, x in items])[number]
+        starts = first[number] + self.offsets
+        self.emitted: list[np.ndarray] = []
+        self.within: list[np.ndarray] = []
+        #: Of the hashes of a text, all but one in thirty or so that are none of the items' are ruled out by their first bits.
+        self.bits = min(max(int(starts.size * 32).bit_length(), 12), 20)
+        self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+        for w in range(self.walks):
+            emitted, within = embed(kinds, starts, w, self.steps, starts - self.offsets + self.chars)
+            self.emitted.append((emitted >> np.uint32(24)).astype(np.uint8))
+            self.within.append(within)
+            tables = []
+            for last, h in samples(emitted, self.coordinates[w]):
+                whole = np.flatnonzero(within > last)
+                order = whole[np.argsort(h[whole], kind="stable")]
+                maybe = np.zeros(1 << self.bits, bool)
+                maybe[h[order] >> np.uint32(32 - self.bits)] = True
+                tables.append((h[order], order, maybe))
+            self.tables.append(tables)
+
+    def agreeing(self, emitted: np.ndarray, walk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(window, entry)``: windows of a text, by what the walk emits from them, that are candidates for windows of items."""
+        for (_, h), (hashes, entries, maybe) in zip(samples(emitted, self.coordinates[walk]), self.tables[walk], strict=True):
+            hit = np.flatnonzero(maybe.take(h >> np.uint32(32 - self.bits)))
+            low, high = np.searchsorted(hashes, h[hit]), np.searchsorted(hashes, h[hit], "right")
+            found = np.flatnonzero(high > low)
+            hit, low, counts = hit[found], low[found], (high - low)[found]
+            done = np.cumsum(counts)
+            a = 0
+            while a < len(hit):  # bounded pieces, whatever is repeated
+                b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PAIRS, "right")))
+                n = counts[a:b]
+                window = np.repeat(hit[a:b], n)
+                entry = entries[np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                same = (emitted[: self.steps, window] >> np.uint32(24)).astype(np.uint8) == self.emitted[walk][:, entry]
+                within = self.within[walk][entry]
+                same &= np.arange(self.steps)[:, None] < within
+                near = same.sum(axis=0) >= self.agree * within
+                yield window[near], entry[near]
+                a = b
+
+
 class ItemIndex:
-    """The runs of a block of items, in parts of one plan and bounded size."""
+    """A block of items: windows of each class, and the runs of the short ones in parts of bounded size."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float):
+    def __init__(self, items: list[tuple[int, str]], similarity: float):
         self.items: list[Item] = []
-        plans: dict[tuple[int, int], list[list[tuple[int, Item]]]] = {}
-        sizes: dict[tuple[int, int], int] = {}
+        plans: dict[int, list[list[tuple[int, Item]]]] = {}
+        sizes: dict[int, int] = {}
+        classes: list[list[tuple[int, Item]]] = [[] for _ in CLASSES]
         for i, t in items:
             raw = np.frombuffer(t.encode(), np.uint8)
             text = normalised(raw, np.array([0, len(raw)])).strip()
             n = len(text)
             if not n or n < LEAST_CHARS and len(text.split()) < 4:
                 continue
-            q, stride, votes = search_plan(n, similarity, recall)
+            q, votes = short_plan(n, similarity)
             item = Item(i, text, allowed(n, similarity), votes, places_of(text))
-            if (q, stride) not in plans or sizes[q, stride] + n > PART_RUNS:
-                plans.setdefault((q, stride), []).append([])
-                sizes[q, stride] = 0
-            plans[q, stride][-1].append((len(self.items), item))
-            sizes[q, stride] += n
+            if n >= SHORT:
+                classes[max(k for k, (least, *_) in enumerate(CLASSES) if n >= least)].append((len(self.items), item))
+            else:
+                if q not in plans or sizes[q] + n > PART_RUNS:
+                    plans.setdefault(q, []).append([])
+                    sizes[q] = 0
+                plans[q][-1].append((len(self.items), item))
+                sizes[q] += n
             self.items.append(item)
-        self.parts = [Part(x, *plan) for plan, parts in plans.items() for x in parts]
+        self.parts = [Part(x, q) for q, parts in plans.items() for x in parts]
+        self.windows = [Windows(x, k) for k, x in enumerate(classes) if x]
+
+    def spans(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """``(item, first, last)``: pieces of ``codes`` that may hold an item."""
+        for part in self.parts:
+            yield from part.spans(codes)
+        if not self.windows:
+            return
+        steps = max(x.steps for x in self.windows)
+        kinds, starts = _kinds(codes, steps), window_starts(codes)
+        found: list[list[np.ndarray]] = [[] for _ in self.windows]
+        for a in range(0, len(starts), WINDOWS):
+            mine = starts[a : a + WINDOWS]
+            piece = kinds[mine[0] : mine[-1] + steps]
+            for walk in range(max(x.walks for x in self.windows)):
+                emitted, _ = embed(piece, mine - mine[0], walk, steps)
+                for k, x in enumerate(self.windows):
+                    for window, entry in x.agreeing(emitted, walk) if walk < x.walks else ():
+                        if len(window):
+                            # The item, and where it would start; places before the text make no negative numbers.
+                            found[k].append(np.unique((x.numbers[entry] << 40) + (mine[window] - x.offsets[entry] + (1 << 20))))
+        for k, x in enumerate(self.windows):
+            if found[k]:
+                key = np.unique(np.concatenate(found[k]))
+                number, begin = key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
+                edits = np.array([self.items[i].edits for i in number])
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(number) > 0) | (np.diff(begin) > edits[1:])]))
+                last = np.append(new[1:], len(key)) - 1
+                chars = np.array([len(self.items[i].text) for i in number[new]], np.int64)
+                yield np.stack([number[new], begin[new] - edits[new], begin[last] + chars + 2 * edits[new]])
 
 
 def places_of(item: str) -> dict[str, int]:
@@ -237,17 +390,16 @@ def leaks(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, first_only: b
     ends = np.flatnonzero(codes == 0x0A).tolist()
     best: dict[tuple[int, int], int] = {}
     done: set[int] = set()
-    for part in index.parts:
-        for k, first, last in (x for spans in part.spans(codes) for x in spans.T.tolist()):
-            item = index.items[k]
-            r = bisect.bisect_left(ends, first)
-            while r < len(ends) and (begin := ends[r - 1] + 1 if r else 0) < last:
-                if not (first_only and r in done or best.get((r, k)) == 0):
-                    distance = fit_distance(item.text, text[max(first, begin) : min(last, ends[r])], item.edits, item.masks)
-                    if distance <= item.edits:
-                        best[r, k] = min(distance, best.get((r, k), distance))
-                        done.add(r)
-                r += 1
+    for k, first, last in (x for spans in index.spans(codes) for x in spans.T.tolist()):
+        item = index.items[k]
+        r = bisect.bisect_left(ends, first)
+        while r < len(ends) and (begin := ends[r - 1] + 1 if r else 0) < last:
+            if not (first_only and r in done or best.get((r, k)) == 0):
+                distance = fit_distance(item.text, text[max(first, begin) : min(last, ends[r])], item.edits, item.masks)
+                if distance <= item.edits:
+                    best[r, k] = min(distance, best.get((r, k), distance))
+                    done.add(r)
+            r += 1
     return [Leak(r, index.items[k].item_id, d, len(index.items[k].text)) for (r, k), d in sorted(best.items())]
 
 
@@ -257,20 +409,20 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[list[tupl
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     for r in items.toLocalIterator():
         block.append((r["i"], r["t"]))
-        size += len(r["t"]) // 4
-        if len(block) >= BLOCK_ITEMS or size >= BLOCK_WORDS:
+        size += len(r["t"])
+        if len(block) >= BLOCK_ITEMS or size >= BLOCK_CHARS:
             yield block
             block, size = [], 0
     if block:
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, text: str = "text", row_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: str = "text", row_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """``doc_id, item_id, distance, item_chars``: each benchmark item that a text holds, and how closely.
 
     Texts and items are compared as small words with single spaces. A text holds an item if some piece of it is within
-    an edit distance of ``(1 - similarity)`` times the item's length. Items below ``SHORT`` characters are always found; longer ones with a
-    chance of ``recall`` where as many characters as allowed are changed at random, more often where fewer are, always where none is. Items of fewer than
+    an edit distance of ``(1 - similarity)`` times the item's length. Items below ``SHORT`` characters are always found; longer ones are missed in few of
+    a hundred cases where as many characters as allowed are changed at random (the README has the figures), more seldom where fewer are, never where none is. Items of fewer than
     four words and ``LEAST_CHARS`` characters would be found in any text and are never reported; null texts and items hold nothing; repeated rows are reported each; an empty
     table on either side gives no rows. Each block of items is one pass over the documents.
     """
@@ -282,7 +434,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, similarity, recall)
+            index = ItemIndex(sent.value, similarity)
             for batch in batches:
                 for row, data, offsets in text_slices(batch.column(1), SLICE):
                     out = leaks(data, offsets, index, False)
@@ -295,14 +447,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` with all its columns without the rows whose text holds a benchmark item."""
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """``docs`` with all its columns without the rows whose text holds a benchmark item, as in ``find_leaks``.
+
+    Rows with a null or empty text stay, and so does every row if there are no items; repeated rows stay or go alike; an empty table gives no rows.
+    """
     place = docs.columns.index(text)
     for block in _blocks(benchmark, text, item_id):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, similarity, recall)
+            index = ItemIndex(sent.value, similarity)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for row, data, offsets in text_slices(batch.column(place), SLICE):

@@ -31,10 +31,10 @@ from .textkernel import ALNUM
 #: Items below this many characters are searched without loss by runs of characters, longest first.
 SHORT, SHORT_RUNS = 32, (4, 3, 2, 1)
 #: Steps of a walk, independent walks, half samples drawn of each walk (each two make a sample).
-STEPS, WALKS, HALVES = 64, 4, 6
-#: For items of so many characters at least: steps sampled from, coordinates in half a sample, walks, and the share of
-#: steps in which a candidate must agree.
-CLASSES = ((32, 32, 3, 4, 0.4), (64, 48, 5, 3, 0.55), (112, 64, 6, 3, 0.6))
+STEPS, WALKS, HALVES = 56, 4, 6
+#: For items of so many characters at least: steps sampled from, coordinates in half a sample, walks, the share of steps in which
+#: a candidate must agree, and how many of its walks or places must.
+CLASSES = ((32, 32, 3, 4, 0.4, 1), (64, 48, 5, 3, 0.6, 1), (112, 56, 6, 3, 0.65, 2))
 #: Windows embedded at once, and candidates compared at once.
 WINDOWS, PAIRS = 1 << 15, 1 << 16
 #: Words longer than this hold window starts of their own; scripts from this character on have a start at each character.
@@ -160,13 +160,15 @@ def _walks() -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def window_starts(codes: np.ndarray) -> np.ndarray:
-    """Places at which windows start: of words, of characters without spaces between, and some within long words, by their characters alone."""
+    """Places at which windows start: of words, of characters without spaces between, and some within long words, by their characters alone.
+
+    A word of one or two characters after a longer one is no start: the longer one is near.
+    """
     word = codes > 0x20
-    before = np.concatenate([[False], word[:-1]])
-    begins = word & ~before
-    at = np.flatnonzero(begins)
+    at = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
     lengths = np.flatnonzero(word & ~np.append(word[1:], False)) + 1 - at
-    marked = begins | (codes >= UNSPACED)
+    marked = codes >= UNSPACED
+    marked[at[(lengths > 2) | (np.concatenate([[0], lengths[:-1]]) <= 2)]] = True
     long = lengths > LONG_WORD
     if long.any():
         inside = np.zeros(len(codes) + 1, np.int32)
@@ -225,7 +227,7 @@ class Windows:
     """The embedded windows of items of one class."""
 
     def __init__(self, items: list[tuple[int, Item]], which: int):
-        _, self.steps, _, self.walks, self.agree = CLASSES[which]
+        _, self.steps, _, self.walks, self.agree, self.votes = CLASSES[which]
         self.coordinates = _walks()[1][which]
         codes = [_codes(x.text) for _, x in items]
         first = np.cumsum([0] + [len(c) + self.steps for c in codes])
@@ -322,15 +324,18 @@ class ItemIndex:
                 for k, x in enumerate(self.windows):
                     for window, entry in x.agreeing(emitted, walk) if walk < x.walks else ():
                         if len(window):
-                            # The item, and where it would start; places before the text make no negative numbers.
-                            found[k].append(np.unique((x.numbers[entry] << 40) + (mine[window] - x.offsets[entry] + (1 << 20))))
+                            # The item, where it would start, and the walk that says so; places before the text make no negative numbers.
+                            begin = mine[window] - x.offsets[entry] + (1 << 20)
+                            found[k].append(np.unique((((x.numbers[entry] << 40) + begin) << 3) + walk))
         for k, x in enumerate(self.windows):
             if found[k]:
-                key = np.unique(np.concatenate(found[k]))
+                key = np.unique(np.concatenate(found[k])) >> 3
                 number, begin = key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
                 edits = np.array([self.items[i].edits for i in number])
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(number) > 0) | (np.diff(begin) > edits[1:])]))
                 last = np.append(new[1:], len(key)) - 1
+                enough = last - new + 1 >= x.votes
+                new, last = new[enough], last[enough]
                 chars = np.array([len(self.items[i].text) for i in number[new]], np.int64)
                 yield np.stack([number[new], begin[new] - edits[new], begin[last] + chars + 2 * edits[new]])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
+import shutil
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,34 +16,50 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: Set only where a session names no checkpoint folder (tests on one machine).
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
-
-
 def ship_by_value(module_name: str) -> None:
     """Let executors run this module's functions without having the package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it.
+
+    Only a session on one machine may name none; then a folder of its own is set. Elsewhere that is an error, since rows written
+    to a machine's own disk are lost to the others.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"/tmp/checkpoints-{os.getpid()}"
+        os.makedirs(named, exist_ok=True)
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        os.makedirs(FALLBACK_CHECKPOINT_DIR, exist_ok=True)
-        context.setCheckpointDir(FALLBACK_CHECKPOINT_DIR)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 class Scratch:
-    """Tables of one computation in the shared folder; each can be dropped as soon as nothing reads it any more."""
+    """Tables of one computation in the shared folder, deleted at the end of the ``with`` block, also when it fails."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or FALLBACK_CHECKPOINT_DIR
-        self.folder = f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.written = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.drop()
+
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
         """``df`` as read back from a written table, and the table's place."""
         place = f"{self.folder}/{self.written}"
@@ -56,8 +74,8 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows in an Arrow batch where the session leaves it at Spark's default: whole texts take more room than numbers.
-BATCH_ROWS = "1000"
+#: Rows handed to a kernel at once; Spark bounds the bytes of what it sends by spark.sql.execution.arrow.maxBytesPerBatch.
+BATCH_ROWS = 1000
 
 
 def release_memory() -> None:
@@ -68,15 +86,12 @@ def release_memory() -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches that fit texts; a task's memory is given back at its end."""
+    """``df.mapInArrow`` in pieces of ``BATCH_ROWS``, whatever the session's settings are; a task's memory is given back at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from function(batches)
+        yield from function(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
         release_memory()
 
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 

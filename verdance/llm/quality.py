@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, ship_by_value, text_slices
-from .linear import ftrl, labelled_ids, remainder, sigmoid
+from .linear import ftrl, labelled_ids, remainder, sample, sigmoid
 from .textkernel import SPACE, mix, words
 
-#: Size of the hash table; labelled rows learned from at most; bytes of text worked on at once.
-TABLE_BITS, SAMPLE_ROWS, SLICE = 20, 4000, 1 << 20
+#: Size of the hash table; labelled rows and bytes of their texts learned from at most; bytes of text worked on at once.
+TABLE_BITS, SAMPLE_ROWS, SAMPLE_BYTES, SLICE = 20, 4000, 16 << 20, 1 << 20
 BIAS = 1 << TABLE_BITS
 #: Counts over words are multiplied by this, so that the bias and the other weights learn at like speed.
 SCALE = 8.0
@@ -105,9 +105,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", row_id: str = "doc_id") -> np.ndarray:
     """Weights of the model; without labels of both kinds all zero but the bias, which gives the share of label 1."""
     chosen = labelled_ids(labels, "quality", row_id, remainder(row_id, 3) != 1, sample_rows)
-    # Bounded by sample_rows; the texts stay where they are.
-    joined = docs.select(F.col(row_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_id")
-    sent = map_arrow(joined.select("label", "text"), _rows, "label int, places binary, weights binary").toArrow()
+    # Bounded by sample_rows and SAMPLE_BYTES; the texts stay where they are.
+    learned = sample(docs, chosen, row_id, text, SAMPLE_BYTES)
+    sent = map_arrow(learned.select("label", "text"), _rows, "label int, places binary, weights binary").toArrow()
     rows = sorted(
         zip(sent["label"].to_pylist(), (x.as_buffer() for x in sent["places"]), (x.as_buffer() for x in sent["weights"]), strict=True),
         key=lambda r: (r[0], r[1].to_pybytes(), r[2].to_pybytes()),
@@ -119,13 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, te
         weights = np.zeros(BIAS + 1)
         weights[BIAS] = np.clip(targets.sum() * 8 - 4, -4, 4) if len(targets) else 0.0
         return weights
-    return ftrl(rows, targets, BIAS + 1, epochs=max(6, min(60, 36000 // len(rows))))
+    return ftrl(rows, targets, BIAS + 1)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
-    Labels are learned from at most ``sample_rows`` labelled rows whose crc32(id) mod 3 is not 1. An empty or null text gets the
+    Labels are learned from at most ``sample_rows`` labelled ids, one row each, whose crc32(id) mod 3 is not 1; of several labels for an id the largest counts. An empty or null text gets the
     score of the bias; repeated rows get equal scores; an empty table gives no rows; a null id is kept.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows, text, row_id).astype(np.float32))
@@ -141,7 +141,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier doesn't reject."""
+    """The rows of ``docs``, with all their columns, that the classifier doesn't reject.
+
+    An empty or null text is judged by the bias alone, repeated rows alike; a null id stays if its text is good; an empty table gives no rows. Without labels
+    of both kinds all rows stay, or none if all labels are 0.
+    """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows).astype(np.float32))
     place = docs.columns.index("text")
 

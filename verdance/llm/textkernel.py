@@ -1,7 +1,7 @@
 """Vectorised word hashing of UTF-8 texts: one pass of numpy over the bytes of many texts.
 
-A word's hash is a polynomial of its bytes modulo 2**64 with a final mix, so equal words get equal hashes everywhere
-and different words differ but for chance (2**-64).
+A word's hash is a polynomial of its bytes modulo 2**64 with a final mix, so equal words get equal hashes everywhere. Different words that nobody
+builds on purpose differ but for chance (2**-64); where equal hashes decide anything for good, ``ngram_join`` looks at the words themselves.
 """
 
 from __future__ import annotations
@@ -70,8 +70,11 @@ def _chunk(data: np.ndarray, word: np.ndarray, first: np.ndarray, prefix: int) -
     hashes = mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
     if not prefix:
         return starts, ends, hashes, hashes
-    short = np.minimum(lengths, prefix)
-    return starts, ends, hashes, mix(np.add.reduceat(terms[places < prefix], np.cumsum(short) - short) + short.astype(np.uint64))
+    # A letter of several bytes stays whole.
+    letters = np.cumsum((data[inside] & 0xC0) != 0x80)
+    within = letters - np.repeat(letters[np.cumsum(lengths) - lengths], lengths) < prefix
+    short = np.add.reduceat(within.astype(np.int64), np.cumsum(lengths) - lengths)
+    return starts, ends, hashes, mix(np.add.reduceat(terms[within], np.cumsum(short) - short) + short.astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, latin: boo
 
 
 def words_and_beginnings(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, prefix: int, latin: bool = False) -> tuple[np.ndarray, ...]:
-    """As ``words``, with the hashes of the words' first ``prefix`` bytes before the bounds."""
+    """As ``words``, with the hashes of the words' first ``prefix`` letters before the bounds."""
     parts, at, n = [], 0, len(data)
     while at < n:
         end = min(n, at + CHUNK)

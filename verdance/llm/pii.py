@@ -2,18 +2,24 @@
 
 Entities (e-mail addresses, telephone, card, bank account and social security numbers, network addresses, personal names) are found in the
 whole text and replaced by surrogates of the same type and form. A surrogate is the image of the entity under a keyed permutation of all
-strings of its form: letters stay letters of their script and case, digits digits, check digits stay as right or wrong as they were, first
-names stay in the list of their gender and script. A permutation maps different entities to different surrogates and equal ones to equal ones in
-every text and run, without any exchange between executors, and never an entity to itself; ``collisions`` checks that over a whole result.
+strings of its form: letters stay letters of their script and case, digits digits, check digits stay as right or wrong as they were. Listed first
+names stay in the list of their gender and script; other words of names never become listed ones, and keep a vowel at their end, by which many
+languages tell gender. A permutation maps different entities to different surrogates and equal ones to equal ones in
+every text and run, without any exchange between executors; ``collisions`` checks that over a whole result.
+
+Names are found after forms of address, by listed first names, after words that introduce a name (``CUES``), before an e-mail address in brackets,
+and where two capitalised words are the two parts of an e-mail address in the text; then each part of a found name wherever else it stands.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from ipaddress import IPv6Address
 
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, ship_by_value
 
 ROUNDS = 6
-#: Alphabets within which a character may change (fixed values); all others, and capitals of none of them, stay.
+#: Alphabets within which a character may change (fixed values); for letters of none of them ``alphabet`` makes one.
 ALPHABETS = (
     "0123456789",
     "aeiou",
@@ -34,27 +40,81 @@ ALPHABETS = (
     "бвгджзйклмнпрстфхцчшщъь",
     "αεηιουω",
     "βγδζθκλμνξπρστφχψ",
+    "אבגדהוזחטיכלמנסעפצקרשת",
+    "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
 )
 ALPHABET_OF = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 HAN = (0x4E00, 0x9FA5)
-
-#: First names by gender and script, and forms of address (fixed values).
+HANGUL = (0xAC00, 0xD7A3)
+VOWELS = frozenset("aeiouyàáâãäåèéêëìíîïòóôõöøùúûüаеёиоуыэюяαεηιουωάέήίόύώ")
+#: Code points in a block of letters of one script and kind.
+BLOCK = 128
+
+
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> tuple[str | int, int, int] | None:
+    """What a small letter or digit may become: the letters, or the first of a range, its place among them and how many there are."""
+    if c in ALPHABET_OF:
+        letters, at = ALPHABET_OF[c]
+        return letters, at, len(letters)
+    for low, high in (HAN, HANGUL):
+        if low <= ord(c) <= high:
+            return low, ord(c) - low, high - low + 1
+    if not c.isalpha():
+        return None
+    base, kind = ord(c) // BLOCK * BLOCK, unicodedata.category(c)
+    letters = "".join(x for x in map(chr, range(base, base + BLOCK)) if x not in ALPHABET_OF and unicodedata.category(x) == kind and _whole(x))
+    return (letters, letters.index(c), len(letters)) if c in letters and len(letters) > 1 else None
+
+
+def _whole(c: str) -> bool:
+    """Whether changing a letter's case and back gives the letter."""
+    return len(c.upper()) == 1 and c.upper().lower() == c
+
+#: First names by gender and script, forms of address and words that introduce a name (fixed values).
 FIRST_NAMES = (
     "James Robert John Michael David William Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Andrew Kenneth George Edward Brian Ronald "
-    "Hans Peter Klaus Jürgen Wolfgang Stefan Andreas Pierre Philippe Nicolas Laurent Carlos Miguel Javier Fernando Alejandro Diego".split(),
+    "Peter Paul Mark Kevin Jason Hans Klaus Jürgen Wolfgang Stefan Andreas Pierre Philippe Nicolas Laurent Carlos Miguel Javier Fernando Alejandro Diego "
+    "Łukasz Piotr Paweł Mohammed Ahmed Omar Ali Rahul Arjun Raj Hiroshi Wei".split(),
     "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Kimberly Emily Michelle Amanda Melissa Deborah "
-    "Ursula Monika Petra Sabine Brigitte Katharina Nathalie Sylvie Françoise Céline Isabelle Carmen Dolores Lucía Pilar Mercedes".split(),
+    "Alice Emma Laura Julia Zoe Ursula Monika Petra Sabine Brigitte Katharina Nathalie Sylvie Françoise Céline Isabelle Carmen Dolores Lucía Pilar Mercedes "
+    "Agnieszka Katarzyna Fatima Aisha Priya Anjali Yuki Mei".split(),
     "Александр Дмитрий Сергей Андрей Алексей Иван Михаил Николай Владимир Павел".split(),
     "Анна Мария Елена Ольга Наталья Татьяна Ирина Екатерина Светлана Людмила".split(),
     "Γιώργος Δημήτρης Κώστας Νίκος Γιάννης".split(),
     "Μαρία Ελένη Κατερίνα Βασιλική Σοφία".split(),
 )
 FIRST_NAME_OF = {name.lower(): (names, i) for names in FIRST_NAMES for i, name in enumerate(names)}
-TITLES = "Mr Mrs Ms Miss Mister Herr Frau Monsieur Madame Mademoiselle Mme Señor Señora Señorita Sra Господин Госпожа Κύριος Κυρία".split()
-
-_NAME = r"[^\W\d_a-zß-öø-ÿа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
-TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?\x20(({_NAME})(?:\x20({_NAME}))?)")
-FULL_NAME = re.compile(rf"\b([A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]{{2,11}})(?=\x20[^\W\d_a-zß-öø-ÿа-яα-ω])\x20({_NAME})")
+TITLES = (
+    "Mr Mrs Ms Miss Mister Dr Doctor Prof Professor Sir Dame Rev Herr Frau Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita Sr Sra Don Doña "
+    "Господин Госпожа Κύριος Κυρία".split()
+)
+CUES = (
+    "my name is", "i am called", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут",
+    "name:", "author:", "signed:", "attn:", "contact:", "from:", "sincerely,", "regards,", "grüßen,", "cordialement,", "atentamente,",
+)
+
+
+
+def _marks() -> str:
+    """Vowel and other signs that belong to the letter before them, as ranges of a character class."""
+    at = [c for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    firsts = [c for i, c in enumerate(at) if not i or at[i - 1] != c - 1]
+    lasts = [c for i, c in enumerate(at) if i + 1 == len(at) or at[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts, strict=True))
+
+
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яα-ω]"
+_REST = rf"[^\W\d_]*(?:[{_marks()}]+[^\W\d_]*)*"
+_WORD = rf"[^\W\d_]{_REST}"
+_NAME = rf"{_CAPITAL}(?=[^\W\d_]|[-'’{_marks()}]){_REST}(?:[-'’]{_WORD})*"
+_TITLE = rf"(?:{'|'.join(TITLES)})\b\.?\x20"
+TITLED = re.compile(rf"\b{_TITLE}(?:{_TITLE})*(({_NAME})(?:\x20({_NAME}))?)")
+FULL_NAME = re.compile(rf"\b({_CAPITAL}[^\W\d_]{_REST})(?=\x20{_CAPITAL})\x20({_NAME})")
+CUED = re.compile(rf"(?:(?<=^)|(?<=\W))(?i:{'|'.join(map(re.escape, CUES))})\s+({_NAME}(?:\x20{_NAME}){{0,2}})", re.M)
+BRACKETED = re.compile(rf"\b({_NAME}(?:\x20{_NAME}){{1,2}})\x20?[<(](?=[^\s<>()@]+@)")
 #: Anything that starts like a number; what it is gets settled by the patterns below.
 NUMBERLIKE = re.compile(r"(?<![^\W_])(?:\+\x20?)?\(?\d[\d().:\x20-]*\d(?![^\W_])")
 IPV4 = re.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)")
@@ -66,7 +126,7 @@ IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
 _H, _V4 = "[0-9A-Fa-f]{1,4}", r"\d{1,3}(?:\.\d{1,3}){3}"
 #: With zeros left out by two colons, or ending like an address of the older form; the library for addresses has the last word.
 SHORT_IPV6 = re.compile(rf"(?<![\w:])(?:(?:{_H}(?::{_H})*)?::(?:(?:{_H}:)*{_V4}(?!\.?\d)|{_H}(?::{_H})*)?|(?:{_H}:){{6}}{_V4}(?!\.?\d))(?![\w:])")
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(_WORD)
 DOMAIN = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 LOCAL_SIGNS = frozenset("._%+-")
 
@@ -119,27 +179,24 @@ class Surrogates:
         y = (self._walk(tweak, x, n, range(ROUNDS)) + 1) % n
         return self._walk(tweak, y, n, range(ROUNDS - 1, -1, -1))
 
-    def letters(self, kind: str, text: str) -> str:
-        """Every letter and digit becomes one of its alphabet; case stays in place and doesn't matter for which."""
+    def letters(self, kind: str, text: str, kept: int = -1) -> str:
+        """Every letter and digit but the one at place ``kept`` becomes one of its alphabet; case stays in place and doesn't matter for which."""
         small = [c.lower() if len(c.lower()) == 1 else c for c in text]
         places = []
         x, n, form = 0, 1, []
         for i, c in enumerate(small):
-            if c in ALPHABET_OF:
-                alphabet, at = ALPHABET_OF[c]
-                size = len(alphabet)
-            elif HAN[0] <= ord(c) <= HAN[1]:
-                alphabet, at, size = "", ord(c) - HAN[0], HAN[1] - HAN[0] + 1
-            else:
+            known = None if i == kept else alphabet(c)
+            if known is None:
                 form.append(c)
                 continue
-            form.append(alphabet[:1] or "H")
-            places.append((i, alphabet, size))
+            letters, at, size = known
+            form.append(f"<{letters[:1] if isinstance(letters, str) else letters}>")
+            places.append((i, letters, size))
             x, n = x * size + at, n * size
         x = self.permute(f"{kind}|{''.join(form)}", x, n)
-        for i, alphabet, size in reversed(places):
+        for i, letters, size in reversed(places):
             x, at = divmod(x, size)
-            c = alphabet[at] if alphabet else chr(HAN[0] + at)
+            c = letters[at] if isinstance(letters, str) else chr(letters + at)
             small[i] = c.upper() if text[i] != text[i].lower() and len(c.upper()) == 1 else c
         return "".join(small)
 
@@ -161,6 +218,16 @@ class Surrogates:
         other = names[self.permute("first|" + names[0], i, len(names))]
         return other.upper() if name.isupper() else other
 
+    def name_word(self, word: str) -> str:
+        """A listed first name for a listed one; for another word one that is not listed: the permutation is walked until it is none."""
+        if word.lower() in FIRST_NAME_OF:
+            return self.first_name(word)
+        kept = len(word) - 1 if len(word) > 2 and word[-1].lower() in VOWELS else -1
+        out = self.letters("name", word, kept)
+        while out.lower() in FIRST_NAME_OF:
+            out = self.letters("name", out, kept)
+        return out
+
     def of(self, kind: str, source: str) -> str:
         if (kind, source) not in self.known:
             if len(self.known) > 100_000:
@@ -189,7 +256,7 @@ class Surrogates:
             new = iter(plain[:2] + str(98 - _mod97(body + plain[:2] + "00")).zfill(2) + body)
             return "".join(c if c == " " else next(new) for c in source)
         if kind == "name":
-            return LETTERS.sub(lambda m: self.first_name(m[0]) if m[0].lower() in FIRST_NAME_OF else self.letters("surname", m[0]), source)
+            return LETTERS.sub(lambda m: self.name_word(m[0]), source)
         return self.digits(kind, source)
 
 
@@ -245,14 +312,31 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
                     yield m.start(), m.end(), kind
 
 
-def _names(text: str) -> Iterator[tuple[int, int, str]]:
-    """Names after a form of address or that start with a known first name; then each of their parts wherever else it stands."""
-    found = [m.span(1) for m in TITLED.finditer(text)]
-    found += [m.span() for m in FULL_NAME.finditer(text) if m[1].lower() in FIRST_NAME_OF]
+def _capital(word: str) -> bool:
+    """Whether a word starts like a name: with a capital, or in a script without them."""
+    return word[0].isupper() or word[0].lower() == word[0].upper()
+
+
+def _names(text: str, emails: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Names by their surroundings or a listed first name; then each of their parts wherever else it stands."""
+    small = text.lower()
+    patterns = (TITLED, CUED) if any(cue in small for cue in CUES) else (TITLED,)
+    found = [m.span(1) for pattern in patterns for m in pattern.finditer(text) if all(map(_capital, m[1].split()))]
+    if emails:
+        found += [m.span(1) for m in BRACKETED.finditer(text) if all(map(_capital, m[1].split()))]
+    addressed = {tuple(w) for a, b, _ in emails if len(w := [x for x in LETTERS.findall(text[a:b].partition("@")[0].lower()) if len(x) > 1]) == 2}
+    at = 0
+    while m := FULL_NAME.search(text, at):
+        known = m[1].lower() in FIRST_NAME_OF or (m[1].lower(), m[2].lower()) in addressed or (m[2].lower(), m[1].lower()) in addressed
+        if known and _capital(m[1]) and _capital(m[2]):
+            found.append(m.span())
+            at = m.end()
+        else:
+            at = m.end(1)  # the second word may be a first name itself
     # The O of O'Brien is no name by itself; a surname of one character is.
     parts = {w.lower() for a, b in found for name in text[a:b].split() for w in LETTERS.findall(name) if len(w) > 1 or w == name}
     if parts:
-        found += [m.span() for m in LETTERS.finditer(text) if m[0][0].isupper() and m[0].lower() in parts]
+        found += [m.span() for m in LETTERS.finditer(text) if _capital(m[0]) and m[0].lower() in parts]
     for a, b in found:
         yield a, b, "name"
 
@@ -282,8 +366,9 @@ def _is_ipv6(text: str) -> bool:
 def find(text: str, surrogates: Surrogates) -> list[Entity]:
     """The entities of a text from left to right; of overlapping ones the kind found first counts."""
     spans: list[tuple[int, int, str]] = []
-    for finder in (_emails, _others, _numbers, _names):
+    for finder in (_emails, _others, _numbers):
         spans += finder(text)
+    spans += _names(text, [x for x in spans if x[2] == "email"])
     out = []
     rank = {"email": 0, "iban": 1, "ipv6": 1, "ipv4": 2, "ssn": 2, "phone": 2, "card": 2, "name": 3}
     kept = _without_overlaps(sorted(spans, key=lambda s: (rank[s[2]], s[0], -s[1])))
@@ -365,7 +450,10 @@ def surrogate_documents(docs: DataFrame, key: bytes, text: str = "text", row_id:
 
 
 def replace_texts(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """``docs`` with all its columns, the texts with surrogates in place of entities."""
+    """``docs`` with all its columns, the texts with surrogates in place of entities.
+
+    Null and empty texts stay as they are, repeated rows are replaced alike, no row goes; an empty table gives no rows.
+    """
     place = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,22 +1,30 @@
 """Main text of web pages by wrapper inference (union-free regular expressions) over same-host pages.
 
-A page's token stream (start tags, text slots, end tags) is read as nested groups. Neighbours of one kind are aligned with each other
-and become a repeated group. The wrapper of a host starts as one page's expression and is aligned with the next, again and
-again: what is in both stays, what is in one only becomes optional, runs of one kind become repeated, and texts become slots. No
-alternatives are ever needed, so the wrapper is a union-free expression over the tags. In it the region of the article is
-the marked article or main element, or else the smallest group that holds most of the long slots; the page's text in that
-region is its main text. A page that its host's wrapper doesn't fit is read by the wrapper of itself alone.
+A page's token stream (start tags, text slots, end tags) is read as nested groups. A sequence of groups that comes again at once becomes a
+repeated group. The wrapper of a host starts as one page's expression and is aligned with the next, again and again: a
+mismatch of texts becomes a text slot, a mismatch of tags a repeated group where one side repeats what the other holds once, and else an optional one.
+No alternatives are ever needed, so the wrapper is a union-free expression over the tags. In it the region of the article is
+the marked article or main element, or else the smallest group that holds most of the long slots.
+
+A page is read by its host's wrapper: the texts of the slots in the region are its main text. A slot that is on all pages of a host keeps the
+texts that are the same on all of them: these belong to the template, not to any article, and are left out (``TEMPLATE_PAGES``). A page that
+its host's wrapper doesn't fit is read by the wrapper of itself alone. Lists of words in classes and ids are hints of what is no article; within an article
+they say nothing about headings, and ids, which are often made from headings, say it only by ``SURE_WORDS``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +35,13 @@ from .common import cut, map_arrow, ship_by_value
 #: Parts in which a host's expressions are merged before the parts are, a long slot's code points,
 #: and bytes of wrappers that are broadcast at most; beyond that they are joined.
 HOST_PARTS, LONG_SLOT, BROADCAST_BYTES = 64, 80, 32 << 20
+#: Different pages of a host that must have a text in one place, all of them, before it counts as the template's; it never does where
+#: the template would make up more of a page's region than the rest.
+TEMPLATE_PAGES = 4
+#: Kinds of groups in a sequence that is looked for as repeated, at most, and hosts whose expressions are merged in one task at once.
+PERIOD, OPEN_HOSTS = 4, 256
+#: Pairs of groups that are compared at most to align two contents.
+LARGEST_TABLE = 1 << 22
 
 #: Elements nested deeper are part of what holds them, as far as the wrapper goes; their texts are whole all the same.
 MAX_DEPTH = 100
@@ -44,6 +59,8 @@ BOILER_WORDS = frozenset(
     "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended comment comments commentlist respond replies disqus discussion footer masthead toolbar widget pagination pager banner contentinfo complementary search".split()
 )
+SURE_WORDS = frozenset("navbar breadcrumb breadcrumbs sidebar advert adverts advertisement sponsored cookies newsletter comment comments commentlist respond disqus masthead pagination".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset("header topbar".split())
 MAIN_WORDS = frozenset("articlebody main article".split())
 #: A start tag of the first kind ends an open element of the others.
@@ -73,16 +90,23 @@ class Open:
     boiler: bool
 
 
+@lru_cache(maxsize=1 << 14)
 def _key(tag: str, attributes: str, within_main: bool) -> tuple[str, bool]:
     """An element's kind for alignment, and whether it holds no part of an article."""
-    names = set()
+    names: set[str] = set()
+    hints: set[str] = set()
     if attributes and "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
-            names.update(w for w in re.split(r"[^a-z]+", value) if w)
+            said = {w for w in re.split(r"[^a-z]+", value) if w}
+            # Ids differ from page to page; only what they hint at makes a kind.
+            names |= said & (BOILER_WORDS | HEADER_WORDS | MAIN_WORDS) if m[1].lower() == "id" else said
             names.update(w for w in WORD.findall(value.replace("-", "").replace("_", "")) if w in MAIN_WORDS)
-    boiler = tag in BOILER_TAGS or tag in NO_TEXT or bool(names & BOILER_WORDS and not names & {"articlebody"})
-    if not within_main:
+            hints |= said & SURE_WORDS if within_main and m[1].lower() == "id" else said & BOILER_WORDS
+    boiler = tag in BOILER_TAGS or tag in NO_TEXT or bool(hints and "articlebody" not in names)
+    if within_main:
+        boiler = boiler and tag not in HEADINGS
+    else:
         boiler = boiler or tag == "header" or bool(names & HEADER_WORDS)
     if tag in ("html", "body", "article", "main") and not names & {"comment", "comments"}:
         boiler = False
@@ -92,14 +116,31 @@ def _key(tag: str, attributes: str, within_main: bool) -> tuple[str, bool]:
 def events(page: str) -> Iterator[tuple[str, str, bool]]:
     """The page as balanced events: ``("open", kind, boiler)``, ``("text", raw text, boiler)``, ``("break", "", ...)``, ``("close", kind, ...)``.
 
-    Inline elements open and close nothing unless they hold no text of an article; implied ends are made explicit.
+    Inline elements open and close nothing unless they hold no text of an article; implied ends are made explicit. Open elements are
+    counted by tag, in all and since the last barrier, so no step looks through the open elements but to close them.
     """
     stack: list[Open] = []
+    in_all: Counter[str] = Counter()
+    since: list[Counter[str]] = [Counter()]
     hidden = mains = at = 0
 
+    def push(element: Open) -> None:
+        nonlocal hidden, mains
+        stack.append(element)
+        in_all[element.tag] += 1
+        if element.tag in BARRIERS:
+            since.append(Counter())
+        since[-1][element.tag] += 1
+        hidden += element.boiler
+        mains += element.tag in ("article", "main")
+
     def close() -> tuple[str, str, bool]:
         nonlocal hidden, mains
         top = stack.pop()
+        in_all[top.tag] -= 1
+        since[-1][top.tag] -= 1
+        if top.tag in BARRIERS:
+            since.pop()
         hidden -= top.boiler
         mains -= top.tag in ("article", "main")
         return "close", top.key, hidden > 0
@@ -119,15 +160,11 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
         if not m[0].endswith(">"):
             continue  # cut off within a tag
         if ends:
-            if tag in VOID or not any(o.tag == tag for o in stack):
-                continue
-            if tag in INLINE or tag == "p":
-                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag or stack[i].tag in BARRIERS)
-                if stack[depth].tag != tag:
-                    continue
-            while stack[-1].tag != tag:
+            known = since[-1] if tag in INLINE or tag == "p" else in_all
+            if tag not in VOID and known[tag]:
+                while stack[-1].tag != tag:
+                    yield close()
                 yield close()
-            yield close()
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -141,94 +178,192 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             elif tag == "br":
                 yield "text", " ", hidden > 0
             continue
-        ended = CLOSES.get(tag)
-        if ended:
-            depth = len(stack) - 1
-            while depth >= 0 and (stack[depth].tag in ended or stack[depth].tag not in BARRIERS):
-                if stack[depth].tag in ended:
-                    while len(stack) > depth:
-                        yield close()
-                depth -= 1
+        ended = CLOSES.get(tag, ())
+        while any(since[-1][t] for t in ended):
+            yield close()
         if attributes.endswith("/") and tag in ("svg", "math", "object"):
             continue
         key, boiler = _key(tag, attributes, mains > 0)
         if tag in INLINE and not boiler:
             continue
         yield "open", key, boiler
-        stack.append(Open(tag, key, boiler))
-        hidden += boiler
-        mains += tag in ("article", "main")
+        push(Open(tag, key, boiler))
     while stack:
         yield close()
 
 
+def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
+    """The events with whole blocks in place of texts: ``("block", text, ...)``, decoded, without white space at the ends or in runs."""
+    parts: list[str] = []
+
+    def block() -> Iterator[tuple[str, str, bool]]:
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
+            parts.clear()
+            if text:
+                yield "block", text, False
+
+    for what, value, hidden in events(page):
+        if what == "text":
+            if not hidden:
+                parts.append(value)
+            continue
+        if what == "break" or not _is_inline(value):
+            yield from block()
+        if what != "break":
+            yield what, value, hidden
+    yield from block()
+
+
 @dataclass
 class Group:
-    """A part of a union-free expression: a kind of element, whether it may be missing or may come again, and its content."""
+    """A part of a union-free expression: a kind of element, whether it may be missing or may come again, and its content.
+
+    The kind ``#`` is a text slot; ``+`` and some kinds is a sequence of groups of these that comes again.
+    """
 
     kind: str
     boiler: bool = False
     optional: bool = False
     repeated: bool = False
     long: bool = False
+    #: Digests of a slot's texts: all of a page's, and of several pages those that each of them has.
+    texts: frozenset[int] = frozenset()
     inner: list[Group] = field(default_factory=list)
 
     def pack(self) -> list:
-        return [self.kind, self.boiler + 2 * self.optional + 4 * self.repeated + 8 * self.long, [x.pack() for x in self.inner]]
+        return [self.kind, self.boiler + 2 * self.optional + 4 * self.repeated + 8 * self.long, sorted(self.texts), [x.pack() for x in self.inner]]
 
 
 def unpack(x: list) -> Group:
-    kind, bits, inner = x
-    return Group(kind, bool(bits & 1), bool(bits & 2), bool(bits & 4), bool(bits & 8), [unpack(y) for y in inner])
+    kind, bits, texts, inner = x
+    return Group(kind, bool(bits & 1), bool(bits & 2), bool(bits & 4), bool(bits & 8), frozenset(texts), [unpack(y) for y in inner])
 
 
-def merge(a: Group, b: Group) -> Group:
-    """One group that fits what either fits."""
-    return Group(a.kind, a.boiler and b.boiler, a.optional or b.optional, a.repeated or b.repeated, a.long or b.long, align(a.inner, b.inner))
+def merge(a: Group, b: Group, pages: bool = True) -> Group:
+    """One group that fits what either fits; of different ``pages``, or of one."""
+    texts = a.texts & b.texts if pages else a.texts | b.texts
+    return Group(a.kind, a.boiler and b.boiler, a.optional or b.optional, a.repeated or b.repeated, a.long or b.long, texts, align(a.inner, b.inner, pages))
+
+
+def again(a: Group, b: Group) -> Group:
+    """``a`` and its next repetition ``b`` on the same page, or in the same wrapper."""
+    out = merge(a, b, False)
+    out.optional, out.repeated = a.optional and b.optional, True
+    return out
 
 
 def fold(groups: list[Group]) -> list[Group]:
-    """Neighbours of one kind become one repeated group."""
+    """Neighbours of one kind become one repeated group, and so do sequences of up to ``PERIOD`` kinds that come again at once."""
     out: list[Group] = []
     for g in groups:
         if out and out[-1].kind == g.kind:
-            optional = out[-1].optional and g.optional
-            out[-1] = merge(out[-1], g)
-            out[-1].optional, out[-1].repeated = optional, True
+            out[-1] = again(out[-1], g)
         else:
             out.append(g)
+        for n in range(2, PERIOD + 1):
+            if len(out) > n and out[-n - 1].kind == sequence(out[-n:]):
+                out[-n - 1 :] = [again(out[-n - 1], Group(out[-n - 1].kind, inner=out[-n:]))]
+                break
+            if len(out) >= 2 * n and sequence(out[-n:]) == sequence(out[-2 * n : -n]) and not any(x.kind[:1] == "+" for x in out[-n:]):
+                kind = sequence(out[-n:])
+                out[-2 * n :] = [again(Group(kind, inner=out[-2 * n : -n]), Group(kind, inner=out[-n:]))]
+                break
     return out
 
 
-def align(a: list[Group], b: list[Group]) -> list[Group]:
-    """Content that fits both: common groups in order, the others optional."""
-    if [x.kind for x in a] == [y.kind for y in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+def sequence(groups: list[Group]) -> str:
+    return "+" + "+".join(x.kind for x in groups)
+
+
+def gather(groups: list[Group], sequences: set[str]) -> list[Group]:
+    """``groups`` with each run that another expression has as a repeated sequence as one group."""
     out: list[Group] = []
-    for how, i, j, k, n in SequenceMatcher(None, [x.kind for x in a], [y.kind for y in b], False).get_opcodes():
-        if how == "equal":
-            out += [merge(x, y) for x, y in zip(a[i:j], b[k:n], strict=True)]
-        else:
-            for g in [*a[i:j], *b[k:n]]:
-                g.optional = True
-                out.append(g)
+    for g in groups:
+        out.append(g)
+        for n in range(2, PERIOD + 1):
+            if len(out) >= n and (kind := sequence(out[-n:])) in sequences:
+                out[-n:] = [Group(kind, inner=out[-n:])]
+                if len(out) > 1 and out[-2].kind == kind:
+                    out[-2:] = [again(out[-2], out[-1])]
+                break
+    return out
+
+
+def align(a: list[Group], b: list[Group], pages: bool = True) -> list[Group]:
+    """Content that fits both: the longest sequence of groups in common, the others optional."""
+    if [x.kind for x in a] != [y.kind for y in b]:
+        repeated = {x.kind for x in (*a, *b) if x.kind[:1] == "+"}
+        if repeated:
+            a, b = gather(a, repeated), gather(b, repeated)
+    left, right = [x.kind for x in a], [y.kind for y in b]
+    if left == right:
+        return [merge(x, y, pages) for x, y in zip(a, b, strict=True)]
+    first = 0
+    while first < min(len(left), len(right)) and left[first] == right[first]:
+        first += 1
+    last = 0
+    while last < min(len(left), len(right)) - first and left[-1 - last] == right[-1 - last]:
+        last += 1
+    out = [merge(x, y, pages) for x, y in zip(a[:first], b[:first], strict=True)]
+    i, j = first, first
+    for k, n in _common(left[first : len(left) - last], right[first : len(right) - last]):
+        out += _optional(a[i : first + k]) + _optional(b[j : first + n])
+        out.append(merge(a[first + k], b[first + n], pages))
+        i, j = first + k + 1, first + n + 1
+    out += _optional(a[i : len(a) - last]) + _optional(b[j : len(b) - last])
+    out += [merge(x, y, pages) for x, y in zip(a[len(a) - last :], b[len(b) - last :], strict=True)]
     return fold(out)
 
 
+def _optional(groups: list[Group]) -> list[Group]:
+    for g in groups:
+        g.optional = True
+    return groups
+
+
+def _common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; where its table would be too large, of one that takes the next occurrence each time."""
+    n, m = len(left), len(right)
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(k, len(number)) for k in kinds], np.int64) for kinds in (left, right))
+    out: list[tuple[int, int]] = []
+    if n * m > LARGEST_TABLE:
+        where: dict[int, list[int]] = {}
+        for j, k in enumerate(y.tolist()):
+            where.setdefault(k, []).append(j)
+        j = 0
+        for i, k in enumerate(x.tolist()):
+            at = bisect_left(where.get(k, []), j)
+            if at < len(where.get(k, [])):
+                out.append((i, where[k][at]))
+                j = where[k][at] + 1
+        return out
+    longest = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n - 1, -1, -1):
+        best = np.maximum(longest[i + 1, :-1], np.where(y == x[i], longest[i + 1, 1:] + 1, 0))
+        longest[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    i = j = 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif longest[i + 1, j] >= longest[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=7).digest(), "big")
+
+
 def expression(page: str) -> Group:
     """The page's own expression; its texts are slots, long or not."""
     root = Group("")
     path = [root]
-
-    def slot(text: str, hidden: bool) -> None:
-        text = text.strip()
-        if text and not hidden:
-            last = path[-1].inner[-1] if path[-1].inner else None
-            if last is None or last.kind != "#":
-                path[-1].inner.append(last := Group("#"))
-            last.long = last.long or len(text) >= LONG_SLOT
-
-    for what, value, hidden in events(page):
+    for what, value, hidden in blocks(page):
         if what == "open" and len(path) > MAX_DEPTH:
             path.append(path[-1])
         elif what == "open":
@@ -236,9 +371,10 @@ def expression(page: str) -> Group:
             path.append(g)
         elif what == "close":
             g = path.pop()
-            g.inner = fold(g.inner)
-        elif what == "text":
-            slot(value, hidden)
+            if g is not path[-1]:
+                g.inner = fold(g.inner)
+        else:
+            path[-1].inner.append(Group("#", long=len(value) >= LONG_SLOT, texts=frozenset([digest(value)])))
     root.inner = fold(root.inner)
     return root
 
@@ -271,7 +407,7 @@ def region(wrapper: Group) -> list[str]:
             marked.append((_weight(g), len(path), path))
         for x in g.inner:
             if x.kind != "#":
-                find(x, [*path, x.kind])
+                find(x, path if x.kind[:1] == "+" else [*path, x.kind])
 
     find(wrapper, [])
     if marked:
@@ -285,7 +421,8 @@ def region(wrapper: Group) -> list[str]:
         best = max(inner, key=_weight, default=None)
         if best is None or 5 * _weight(best) < 4 * total:
             return path
-        path.append(best.kind)
+        if best.kind[:1] != "+":
+            path.append(best.kind)
         g = best
 
 
@@ -293,101 +430,169 @@ def _tag(g: Group) -> str:
     return g.kind.split(".")[0]
 
 
-def extract(page: str, path: list[str] | None) -> str | None:
-    """The blocks of text in the region ``path``, or None if the page has no such region."""
-    blocks: list[str] = []
-    here: list[str] = []
-    parts: list[str] = []
-    inside = -1 if path else 0
-    found = not path
+def template(wrapper: Group, path: list[str]) -> set[int]:
+    """Digests of the texts in the region ``path`` that every page has in the same place, each with the place in it."""
+    out: set[int] = set()
 
-    def end_block() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                blocks.append(text)
-            parts.clear()
+    def collect(g: Group, at: str) -> None:
+        for x in g.inner:
+            if x.optional or x.boiler or _tag(x) in HEADINGS:
+                continue
+            if x.kind == "#":
+                out.update(placed(t, at) for t in x.texts)
+            else:
+                collect(x, at if x.kind[:1] == "+" else f"{at}/{x.kind}")
 
-    for what, value, hidden in events(page):
-        if what == "text":
-            if inside >= 0 and not hidden:
-                parts.append(value)
+    def descend(g: Group, left: list[str]) -> None:
+        if not left:
+            collect(g, "")
+            return
+        for x in g.inner:
+            if x.kind[:1] == "+":
+                descend(x, left)
+            elif x.kind == left[0]:
+                descend(x, left[1:])
+
+    descend(wrapper, path)
+    return out
+
+
+@lru_cache(maxsize=1 << 12)
+def _place(at: str) -> int:
+    return digest(at)
+
+
+def placed(text: int, at: str) -> int:
+    """A text's digest and its place below the region as one number."""
+    return text ^ _place(at)
+
+
+def extract(page: str, path: list[str] | None, constant: frozenset[int] = frozenset()) -> str | None:
+    """The slots' texts in the region ``path`` without the template's, or None if the page has no such region."""
+    found: list[str] = []
+    fixed: list[bool] = []
+    here: list[str] = []
+    inside = -1 if path else 0
+    known = not path
+    for what, value, hidden in blocks(page):
+        if what == "block":
+            if inside >= 0:
+                found.append(value)
+                fixed.append(bool(constant) and placed(digest(value), "".join(f"/{k}" for k in here[inside:])) in constant)
         elif what == "open":
-            if not _is_inline(value):
-                end_block()
             here.append(value)
             if inside < 0 and not hidden and here == path:
-                inside, found = len(here), True
-        elif what == "close":
-            if not _is_inline(value):
-                end_block()
+                inside, known = len(here), True
+        else:
             if inside == len(here) and path:
                 inside = -1
             here.pop()
-        else:
-            end_block()
-    end_block()
-    return "\n".join(blocks) if found else None
+    if sum(len(t) for t, f in zip(found, fixed, strict=True) if f) * 2 <= sum(map(len, found)):
+        found = [t for t, f in zip(found, fixed, strict=True) if not f]
+    return "\n".join(found) if known else None
 
 
 def _is_inline(kind: str) -> bool:
-    return kind.split(".")[0] in INLINE
+    return kind.partition(".")[0] in INLINE
 
 
-def main_text(page: str | None, path: list[str] | None) -> str:
-    """The article's text, by the host's region or else by that of the page alone."""
+def main_text(page: str | None, path: list[str] | None, constant: frozenset[int] = frozenset()) -> str:
+    """The article's text, by the host's wrapper or else by that of the page alone."""
     if not page:
         return ""
-    text = extract(page, path) if path else None
+    text = extract(page, path, constant) if path else None
     if text or (text is not None and set(path[-1].split(".")) & MAIN_WORDS):
         return text
     return extract(page, region(expression(page))) or ""
 
 
+def all_texts(shape: Group) -> int:
+    """A digest of a page's texts, whatever scripts and counters it has besides."""
+    out: list[int] = []
+    todo = [shape]
+    while todo:
+        g = todo.pop()
+        out += g.texts
+        todo += g.inner
+    return digest(str(sorted(out)))
+
+
+@dataclass
+class Merged:
+    """Some pages of a host as one expression, and digests of up to ``TEMPLATE_PAGES`` different pages among them."""
+
+    shape: Group
+    pages: set[int]
+
+    def add(self, shape: Group, pages: set[int]) -> None:
+        self.shape = merge(self.shape, shape)
+        self.pages = set(sorted(self.pages | pages)[:TEMPLATE_PAGES])
+
+    def row(self, host: str, part: int) -> tuple[str, int, str, str]:
+        return host, part, json.dumps(self.shape.pack(), separators=(",", ":")), json.dumps(sorted(self.pages))
+
+
+def _merged_rows(rows: list[tuple[str, int, str, str]]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int32(), pa.string(), pa.string())
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays(columns, ["host", "part", "shape", "pages"])
+
+
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's pages, merged by host and part; at most ``OPEN_HOSTS`` of these are held at a time."""
+    held: dict[tuple[str, int], Merged] = {}
     for batch in batches:
-        packed = [json.dumps(expression(p or "").pack(), separators=(",", ":")) for p in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.string())], ["host", "shape"])
+        for host, part, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shape = expression(page or "")
+            pages = {all_texts(shape)}
+            if (host, part) in held:
+                held[host, part].add(shape, pages)
+            else:
+                held[host, part] = Merged(shape, pages)
+        if len(held) >= OPEN_HOSTS:
+            yield _merged_rows([m.row(*k) for k, m in held.items()])
+            held.clear()
+    yield _merged_rows([m.row(*k) for k, m in held.items()])
 
 
 def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(host, part, n, shape)`` in order of host and part: each part as one expression, only one of which is held at a time."""
-    key, merged, total = None, None, 0
-
-    def row() -> pa.RecordBatch:
-        packed = json.dumps(merged.pack(), separators=(",", ":"))
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([total], pa.int64()), pa.array([packed], pa.string())], ["host", "n", "shape"])
-
+    """Rows in order of host and part: each part as one expression, only one of which is held at a time."""
+    key, merged = None, None
     for batch in batches:
-        for host, part, n, shape in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            g = unpack(json.loads(shape))
+        for host, part, shape, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            g, seen = unpack(json.loads(shape)), set(json.loads(pages))
             if (host, part) == key:
-                merged, total = merge(merged, g), total + n
+                merged.add(g, seen)
             else:
                 if key is not None:
-                    yield row()
-                key, merged, total = (host, part), g, n
+                    yield _merged_rows([merged.row(*key)])
+                key, merged = (host, part), Merged(g, seen)
     if key is not None:
-        yield row()
+        yield _merged_rows([merged.row(*key)])
 
 
 def _infer_host(rows: pd.DataFrame) -> pd.DataFrame:
-    ordered = rows.sort_values(["n", "shape"], ascending=[False, True])["shape"]
-    wrapper = infer([unpack(json.loads(s)) for s in ordered])
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(wrapper.pack(), separators=(",", ":"))], "region": ["\t".join(region(wrapper))]})
+    rows = rows.sort_values(["part", "shape"])
+    wrapper = infer([unpack(json.loads(s)) for s in rows["shape"]])
+    path = region(wrapper)
+    pages = set().union(*(json.loads(p) for p in rows["pages"]))
+    constant = sorted(template(wrapper, path)) if len(pages) >= TEMPLATE_PAGES else []
+    packed = json.dumps(wrapper.pack(), separators=(",", ":"))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [packed], "region": ["\t".join(path)], "template": [json.dumps(constant)]})
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host, wrapper, region``: each host's wrapper and the path to the article in it, from all its expressions.
+    """``host, wrapper, region, template``: each host's wrapper, the path to the article in it, and the digests of the template's texts there.
 
-    They are merged in ``HOST_PARTS`` parts by hash, the most frequent first, and then the parts, so no task holds all of a host.
+    A host's pages are dealt to ``HOST_PARTS`` parts by hash. Each task merges what it has of a part, then the parts are merged and then the host, so
+    no task holds all pages of a host.
     """
-    shapes = map_arrow(pages.select(host_of(url).alias("host"), F.col(page).alias("html")), _shapes, "host string, shape string")
-    counted = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    parts = counted.select("host", F.pmod(F.xxhash64("shape"), F.lit(HOST_PARTS)).alias("part"), "n", "shape")
-    ordered = parts.repartition("host", "part").sortWithinPartitions("host", "part", F.desc("n"), "shape")
-    merged = map_arrow(ordered, _merge_parts, "host string, n long, shape string")
-    return merged.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, region string")
+    part = F.pmod(F.xxhash64(page), F.lit(HOST_PARTS)).cast("int")
+    rows = pages.select(host_of(url).alias("host"), part.alias("part"), F.col(page).alias("html"))
+    shapes = map_arrow(rows, _shapes, "host string, part int, shape string, pages string")
+    ordered = shapes.repartition("host", "part").sortWithinPartitions("host", "part", "shape")
+    merged = map_arrow(ordered, _merge_parts, "host string, part int, shape string, pages string")
+    return merged.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, region string, template string")
 
 
 def host_of(url: str):
@@ -403,22 +608,23 @@ def extract_pages(pages: DataFrame, row_id: str = "page_id", url: str = "url", p
     no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    wrappers = cut(infer_wrappers(pages, url, page)).select("host", "region")
-    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("region") + 64)).first()[0] or 0
+    wrappers = cut(infer_wrappers(pages, url, page).select("host", "region", "template"))
+    size = wrappers.agg(F.sum(F.octet_length("host") + F.octet_length("region") + F.octet_length("template") + 64)).first()[0] or 0
     rows = pages.select(F.col(row_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(url).alias("host"))
     if size <= BROADCAST_BYTES:
-        known = spark.sparkContext.broadcast({r["host"]: r["region"] for r in wrappers.collect()})
-        rows = rows.withColumn("region", F.lit(None).cast("string"))
+        known = spark.sparkContext.broadcast({r["host"]: (r["region"], r["template"]) for r in wrappers.collect()})
+        rows = rows.withColumns({"region": F.lit(None).cast("string"), "template": F.lit(None).cast("string")})
     else:
         known = None
-        rows = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "region")
+        rows = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "region", "template")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        constant = lru_cache(maxsize=64)(lambda said: frozenset(json.loads(said or "[]")))
         for batch in batches:
-            hosts, regions = batch.column("host").to_pylist(), batch.column("region").to_pylist()
+            hosts, regions, templates = (batch.column(c).to_pylist() for c in ("host", "region", "template"))
             if known is not None:
-                regions = [known.value.get(h) for h in hosts]
-            out = [main_text(p, r.split("\t") if r else None) for p, r in zip(batch.column("html").to_pylist(), regions, strict=True)]
+                regions, templates = zip(*(known.value.get(h, (None, None)) for h in hosts), strict=True)
+            out = [main_text(p, r.split("\t") if r else None, constant(t)) for p, r, t in zip(batch.column("html").to_pylist(), regions, templates, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )

@@ -10,9 +10,10 @@ import tarfile
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from verdance.functions import coerce, geometry, text
-from verdance.operators import evaluation, joins, qa, raster, reshape, signal, tracking, windows
+from verdance.operators import evaluation, exports, joins, qa, raster, reshape, signal, tracking, windows
 from verdance.sources import files, sinks
 from verdance.streaming import carry
 
@@ -263,7 +264,32 @@ def test_streaming_carry(spark, tmp_path):
 
 
 def test_position_split(spark):
-    df = spark.range(10).withColumn("s", reshape.position_split([F.col("id")], 0.2, 0.1))
-    assert df.groupBy("s").count().toPandas().set_index("s")["count"].to_dict() == {"test": 1, "validation": 2, "train": 7}
-
-
+    df = reshape.position_split(spark.range(10), ["id"], 0.7, 0.2)
+    assert [r.split for r in df.orderBy("id").collect()] == ["train"] * 7 + ["val"] * 2 + ["test"]
+    assert reshape.position_split(spark.range(1), ["id"], 0.2, 0.2).first().split == "train" and reshape.position_split(spark.range(0), ["id"], 0.2, 0.2).count() == 0
+
+
+def test_required_columns_and_modes(spark):
+    df = spark.createDataFrame([("p", "2024-01-01 00:00:00", "x", "3.5", None, None)], "PetriDish string, Timestamp string, FrameIndex string, total_root_length_mm string, mean_root_length_mm string, plants_detected string")
+    row = exports.timeline(df).first()
+    assert (row.FrameIndex, row.total_root_length_weighted_mm, row.plants_detected, row.mean_root_length_mm) == (-1, 3.5, 0.0, None)
+    for kind in (exports.mask_total_timeline, exports.master):
+        with pytest.raises(ValueError):
+            kind(df.drop("PetriDish"))
+    assert exports.metric_mode(" Lateral ") == "lateral" and exports.metric_mode(None) == exports.metric_mode("x") == "total"
+
+
+def test_ownership_without_validity_is_invalid(spark):
+    df = spark.createDataFrame([("a", 0, 99.0, 500, 2)], "plant_id string, FrameIndex int, primary_root_length_mm_clean double, shoot_area_px long, conflict_group_size int")
+    row = exports.ownership_detail(df, ["plant_id"], ["FrameIndex"]).first()
+    assert row.ownership_primary_root_length_mm is None and row.diagnostic_ownership_primary_root_length_mm == 99.0 and row.diagnostic_ownership_shoot_area_px == 500
+    reasons = row.ownership_frame_review_reasons.split(";")
+    assert row.ownership_frame_review_status == "fail" and {"invalid_ownership_measurement", "seedling_conflict"} <= set(reasons) and not row.ownership_validity_known
+
+
+def test_export_tables(spark):
+    rows = spark.createDataFrame([("p", "2024-01-01 00:00:00", 0, 10.0, 7.0, "ok"), ("p", "2024-01-01 01:00:00", 1, 16.0, 9.0, "fail")], "PetriDish string, Timestamp string, FrameIndex int, total_root_length_mm double, primary_root_length_mm double, mask_total_review_status string")
+    out = exports.mask_total_bundle(rows, "primary", ["PetriDish"], F.col("FrameIndex"))
+    assert set(out) == {"detail", "summary", "timelapse", "frames_needing_review", "metadata"}
+    assert out["summary"].first().final_selected_root_length_mm == 9.0 and out["frames_needing_review"].count() == 1
+    assert {(r.key, r.value) for r in out["metadata"].collect()} == {("rows", "2"), ("plates", "1"), ("root_metric_mode", "primary")}

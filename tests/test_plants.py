@@ -23,9 +23,15 @@ def test_two_plants_and_their_signal(spark):
         mask[5:9, x - 2 : x + 3] = 3
         mask[9:35, x] = 1
     mask[20, 46:52] = 2
-    out = plants.plant_regions(mask == 1, mask == 2, mask == 3)
-    assert len(out) == 2 and out[0]["main_root"].sum() == 26 and out[1]["lateral_root"].sum() == 6
-    assert out[0]["main_root_tip"][34, 15] and not out[0]["dilated_root_exclusive"][:8].any()
+    out = plants.region_table(plants.root_pixels(mask, 1, 2, 3), mask.shape)
+    held = {k: set(zip(g.y, g.x, strict=True)) for k, g in out.groupby(["plant", "region"])}
+    assert {k for k, _ in held} == {1, 2} and len(held[1, "main_root"]) == 26 and len(held[2, "lateral_root"]) == 6
+    assert (34, 15) in held[1, "main_root_tip"] and min(y for y, _ in held[1, "dilated_root_exclusive"]) == 8
+    assert len(out) == len(out.drop_duplicates()) and held[1, "shoot"] == {(y, x) for y in range(5, 9) for x in range(13, 18)}
+    # Whatever is near a plant and not of it, by looking at every pair of pixels.
+    root = {(y, x) for y, x in held[2, "main_root"] | held[2, "lateral_root"]}
+    near = {(y, x) for y in range(8, 40) for x in range(60) if any(max(abs(y - a), abs(x - b)) <= 50 for a, b in root)}
+    assert held[2, "dilated_root"] == near and held[2, "dilated_root_exclusive"] == near - root
     px = plants.region_pixels(pack(spark, mask), ["frame"], 1, 2, 3)
     signal = px.withColumn("v", F.when(F.col("region") == "main_root", 3.0).otherwise(6.0))
     rows = {(r.plant_id, r.region): r for r in rollups.region_pixels(signal, ["plant_id", "region"], "v").collect()}

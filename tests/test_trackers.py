@@ -30,7 +30,10 @@ def test_components_followed(spark):
 
 def test_gates():
     g = trackers.Gates(1000, 1000)
-    assert g.allow((0, 0, 10, 10), (50, 0, 10, 10)) and not g.allow((0, 0, 10, 10), (400, 0, 10, 10)) and not g.allow((0, 0, 0, 10), (0, 0, 5, 5))
+    assert g.open([(0, 0, 10, 10)], [(50, 0, 10, 10), (400, 0, 10, 10)]).tolist() == [[True, False]]
+    assert not g.open([(0, 0, 0, 10)], [(0, 0, 5, 5)]).any() and g.open(np.zeros((0, 4)), [(0, 0, 1, 1)]).shape == (0, 1)
+    # Far from where the track was last seen, but on its first place.
+    assert g.open([(500, 0, 10, 10)], [(0, 0, 10, 10)], [(5, 5, 10, 10)]).all() and not g.open([(500, 0, 10, 10)], [(0, 0, 10, 10)], [(300, 0, 10, 10)]).any()
 
 
 def test_appearance(spark):

@@ -29,57 +29,86 @@ def dilated(mask: np.ndarray, steps: int) -> np.ndarray:
     return m
 
 
-def _centroid_x(mask: np.ndarray) -> float:
-    return float(np.nonzero(mask)[1].mean())
+def plant_labels(occupied: np.ndarray, shoots: np.ndarray, apart: int = 6) -> np.ndarray:
+    """A number from 1 for each occupied pixel, counting plants from left to right by their mean x; 0 elsewhere.
 
-
-def split_plants(roots: np.ndarray, shoots: np.ndarray, apart: int = 6) -> list[np.ndarray]:
-    """Masks of single plants from left to right: pixels go to the nearest shoot, or without shoots to parts that lie together."""
-    both = roots | shoots
-    if not both.any():
-        return []
+    A shoot's pixels are its plant's; all others belong to the shoot whose mean place is nearest. Without shoots, pixels
+    that grow together within ``apart`` steps are one plant.
+    """
+    label = np.zeros(occupied.shape, np.int32)
+    ys, xs = np.nonzero(occupied)
     if shoots.any():
-        parts = components(shoots)
-        anchors = [parts == k for k in range(1, parts.max() + 1)]
-        if len(anchors) == 1:
-            plants = [both]
-        else:
-            centres = np.array([[np.nonzero(a)[0].mean(), np.nonzero(a)[1].mean()] for a in anchors])
-            at = np.argwhere(both)
-            nearest = np.empty(len(at), int)
-            for s in range(0, len(at), 65536):
-                nearest[s : s + 65536] = ((at[s : s + 65536, None] - centres[None]) ** 2).sum(2).argmin(1)
-            plants = []
-            for k, a in enumerate(anchors):
-                m = a.copy()
-                m[tuple(at[nearest == k].T)] = True
-                plants.append(m)
+        anchors = components(shoots)
+        own = anchors[ys, xs]
+        n = np.maximum(np.bincount(own, minlength=anchors.max() + 1), 1)
+        best, nearest = np.full(len(ys), np.inf), np.zeros(len(ys), np.int32)
+        for k, (cy, cx) in enumerate(zip(*(np.bincount(own, weights=v, minlength=len(n)) / n for v in (ys, xs)), strict=True)):
+            way = (ys - cy) ** 2 + (xs - cx) ** 2 if k else best
+            nearer = way < best
+            best[nearer], nearest[nearer] = way[nearer], k
+        label[ys, xs] = np.where(own > 0, own, nearest)
     else:
-        parts = components(dilated(both, apart))
-        plants = [both & (parts == k) for k in range(1, parts.max() + 1)]
-    return sorted((p for p in plants if p.any()), key=_centroid_x)
-
-
-def plant_regions(main: np.ndarray, lateral: np.ndarray, shoot: np.ndarray, around: int = 50, spot: int = 5) -> list[dict[str, np.ndarray]]:
-    """The named parts of each plant as masks; tips are ends of the skeleton, nodes its forks; the lowest end is the main tip."""
-    main, lateral, shoot = (np.asarray(m, bool) for m in (main, lateral, shoot))
-    out = []
-    for plant in split_plants(main | lateral, shoot):
-        own_main, own_lateral, own_shoot = main & plant, lateral & plant, shoot & plant
-        root = own_main | own_lateral
-        grown = dilated(root, around) if root.any() else np.zeros_like(root)
-        if own_shoot.any():
-            grown[: int(np.nonzero(own_shoot)[0].max())] = False
-        n = neighbours(skeleton(root))
-        ends = n == 1
-        first = np.argwhere(ends & own_main)
-        first = first if len(first) else np.argwhere(ends)
-        tip = np.zeros_like(root)
-        if len(first):
-            tip[tuple(first[np.argsort(first[:, 0], kind="stable")[-1]])] = True
-        parts = (own_main, own_lateral, dilated(tip, spot), dilated(ends & ~tip, spot), dilated(n >= 3, spot), grown & ~root, grown, own_shoot)
-        out.append(dict(zip(REGIONS, parts, strict=True)))
-    return out
+        label[ys, xs] = components(dilated(occupied, apart))[ys, xs]
+    found = np.unique(label[ys, xs])
+    middle = [xs[label[ys, xs] == k].mean() for k in found]
+    number = np.zeros(int(found.max(initial=0)) + 1, np.int32)
+    number[found[np.argsort(middle, kind="stable")]] = np.arange(1, len(found) + 1)
+    return number[label]
+
+
+def root_pixels(raster: np.ndarray, main: int, lateral: int, shoot: int) -> pd.DataFrame:
+    """``plant, y, x, part, ends``: every pixel of a plant, what it is part of, and for pixels of the root's skeleton how many neighbours it has there."""
+    kind = np.select([raster == shoot, raster == main, raster == lateral], [3, 1, 2], 0)
+    label = plant_labels(kind > 0, kind == 3)
+    ends = np.full(raster.shape, -1, np.int32)
+    for k in range(1, int(label.max()) + 1):
+        root = (label == k) & (kind < 3)
+        if root.any():
+            line = skeleton(root)
+            ends[line] = neighbours(line)[line]
+    y, x = np.nonzero(label)
+    return pd.DataFrame({"plant": label[y, x], "y": y, "x": x, "part": kind[y, x], "ends": ends[y, x]})
+
+
+def _around(spots: pd.DataFrame, steps: int, shape: tuple[int, int]) -> pd.DataFrame:
+    """``plant, y, x`` of all pixels within ``steps`` of a plant's spots."""
+    out = [pd.DataFrame({"plant": [], "y": [], "x": []}, dtype="int64")]
+    for plant, own in spots.groupby("plant"):
+        corner = np.maximum([own.y.min() - steps, own.x.min() - steps], 0)
+        size = np.minimum([own.y.max() + steps + 1, own.x.max() + steps + 1], shape) - corner
+        m = np.zeros(size, bool)
+        m[own.y - corner[0], own.x - corner[1]] = True
+        y, x = np.nonzero(dilated(m, steps))
+        out.append(pd.DataFrame({"plant": plant, "y": y + corner[0], "x": x + corner[1]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def region_table(px: pd.DataFrame, shape: tuple[int, int], around: int = 50, spot: int = 5) -> pd.DataFrame:
+    """``plant, region, y, x`` from ``root_pixels``: ends of the skeleton are tips, forks nodes, the lowest end (on the main root if it has one) is the main tip.
+
+    The surroundings of a root leave out what lies above the lowest pixel of its shoot.
+    """
+    tips = px[px.ends == 1].assign(on_main=lambda t: t.part == 1).sort_values(["plant", "on_main", "y", "x"], ascending=[True, True, True, True], kind="stable")
+    lowest = tips.groupby("plant").y.transform("max") if len(tips) else tips.y
+    on_main = tips.groupby("plant").on_main.transform("max") if len(tips) else tips.on_main
+    lowest = tips[tips.on_main == on_main].groupby("plant").y.transform("max") if len(tips) else lowest
+    main_tip = tips.loc[lowest.index][tips.loc[lowest.index].y == lowest].groupby("plant").tail(1)
+    grown = _around(px[px.part < 3], around, shape)
+    floor = px[px.part == 3].groupby("plant").y.max()
+    grown = grown[grown.y >= grown.plant.map(floor).fillna(0)]
+    root = px[px.part < 3][["plant", "y", "x"]].assign(own=True)
+    outside = grown.merge(root, "left", ["plant", "y", "x"])
+    named = {
+        "main_root": px[px.part == 1],
+        "lateral_root": px[px.part == 2],
+        "main_root_tip": _around(main_tip, spot, shape),
+        "other_tip": _around(tips.drop(main_tip.index), spot, shape),
+        "node": _around(px[px.ends >= 3], spot, shape),
+        "dilated_root_exclusive": outside[outside.own.isna()],
+        "dilated_root": grown,
+        "shoot": px[px.part == 3],
+    }
+    return pd.concat([named[r][["plant", "y", "x"]].assign(region=r) for r in REGIONS], ignore_index=True)
 
 
 def region_pixels(rasters: DataFrame, keys: list[str], main: int, lateral: int, shoot: int, around: int = 50) -> DataFrame:
@@ -90,10 +119,9 @@ def region_pixels(rasters: DataFrame, keys: list[str], main: int, lateral: int,
         for batch in batches:
             for r in batch.itertuples(index=False):
                 mask = unpack(r.h, r.w, r.bits)
-                for k, regions in enumerate(plant_regions(mask == main, mask == lateral, mask == shoot, around), 1):
-                    for name, m in regions.items():
-                        ys, xs = np.nonzero(m)
-                        yield pd.DataFrame({**{c: getattr(r, c) for c in keys}, "plant_id": f"plant_{k}", "region": name, "y": ys.astype("int32"), "x": xs.astype("int32")}, index=range(len(ys)))
+                out = region_table(root_pixels(mask, main, lateral, shoot), mask.shape, around)
+                plant = "plant_" + out["plant"].astype("int64").astype(str)
+                yield out.assign(**{c: getattr(r, c) for c in keys}, plant_id=plant, y=out.y.astype("int32"), x=out.x.astype("int32"))[[*keys, "plant_id", "region", "y", "x"]]
 
     return rasters.select(*keys, "h", "w", "bits").mapInPandas(spread, fields)
 

@@ -81,11 +81,19 @@ def grouped_split(df: DataFrame, group: str, fraction: float, salt: str) -> Data
     return df.join(groups.join(F.broadcast(ends)).select(group, held.alias("held_out")), group)
 
 
-def position_split(order: list[Column], validation: float, test: float) -> Column:
-    """``train``, ``validation`` or ``test`` by a row's place in an order over all rows; for small tables of samples."""
-    w = Window.orderBy(*order)
-    place = (F.row_number().over(w) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy())
-    return F.when(place < test, "test").when(place < test + validation, "validation").otherwise("train")
+def position_split(df: DataFrame, order: list[str], train: float, validation: float) -> DataFrame:
+    """``df`` with ``split``: train, val or test by a row's place in an order over all rows, counted from the middle of each row.
+
+    Rows are ranked within ranges of the first column of the order, and ranges are counted from before: no task sees more than one range.
+    """
+    parts = df.repartitionByRange(F.col(order[0])).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # One row for each partition.
+    before = counts.withColumns({"__before": F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy())}).drop("__n")
+    ranked = parts.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    place = (F.col("__before") + F.col("__row") - 0.5) / F.col("__all")
+    split = F.when((F.col("__all") <= 1) | (place <= train), "train").when(place <= train + validation, "val").otherwise("test")
+    return ranked.join(F.broadcast(before), "__part").withColumn("split", split).drop("__part", "__row", "__before", "__all")
 
 
 def merged_lists(a: Column, b: Column) -> Column:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,17 +12,22 @@ def dominant_periods(df: DataFrame, keys: list[str], place: str, value: str, tim
     """``*keys, rank, period_hours, amplitude``: the strongest periods of each series, by its discrete Fourier transform.
 
     ``place`` counts a series' rows from 0 without gaps. Series of fewer than four rows have none; equal amplitudes go to the longer period.
-    The transform is two sums for each frequency, so a series needs no task of its own.
+    A series is one group; its transform takes time in proportion to its length and the logarithm of it.
     """
-    w = Window.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(w)
-    rows = df.select(*keys, F.col(place).alias("__i"), (F.col(value) - F.avg(value).over(w)).alias("__v"), n.alias("__n")).where("__n >= 4")
-    waves = rows.withColumn("__k", F.explode(F.sequence(F.lit(1), (F.col("__n") / 2).cast("int"))))
-    angle = F.lit(2 * math.pi) * F.col("__k") * F.col("__i") / F.col("__n")
-    sums = waves.groupBy(*keys, "__n", "__k").agg(F.sum(F.col("__v") * F.cos(angle)).alias("re"), F.sum(F.col("__v") * F.sin(angle)).alias("im"))
-    found = sums.select(*keys, "__k", (F.col("__n") * timestep_hours / F.col("__k")).alias("period_hours"), F.hypot("re", "im").alias("amplitude")).where("amplitude > 1e-9")
-    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("amplitude", 6)), "__k")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*keys, "rank", "period_hours", "amplitude")
+    columns = [*keys, "rank", "period_hours", "amplitude"]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema), "rank int, period_hours double, amplitude double"])
+
+    def transform(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows.sort_values("__i")["__v"].to_numpy(float)
+        if len(v) < 4:
+            return pd.DataFrame(columns=columns)
+        amplitude = np.abs(np.fft.rfft(v - v.mean()))[1:]
+        k = np.arange(1, len(amplitude) + 1)
+        best = np.lexsort((k, -np.round(amplitude, 6)))[:top]
+        best = best[amplitude[best] > 1e-9]
+        return pd.DataFrame({c: rows[c].iloc[0] for c in keys} | {"rank": np.arange(1, len(best) + 1), "period_hours": len(v) * timestep_hours / k[best], "amplitude": amplitude[best]}, columns=columns)
+
+    return df.select(*keys, F.col(place).alias("__i"), F.col(value).alias("__v")).groupBy(*keys).applyInPandas(transform, fields)
 
 
 def functional_components(df: DataFrame, group: list[str], track: str, place: str, value: str, degree: int = 5, components: int = 3) -> DataFrame:

@@ -16,24 +16,59 @@ from .raster import EDGES, components, geodesic_owners, mask_edge_length, owners
 from .tracking import assignment
 
 
+@dataclass(frozen=True)
+class Gate:
+    """A limit on how far a box may move: a share of the picture (``floor`` pixels at least) or what margin and boxes allow, whichever is less."""
+
+    share: float
+    floor: float
+    margins: float
+    earlier: float
+    later: float
+    least: float
+    waived: float
+
+    def limit(self, picture: float, margin: float, earlier, later):
+        return np.minimum(max(self.floor, picture * self.share), np.maximum.reduce([earlier * self.earlier, later * self.later, np.full_like(later, max(margin * self.margins, self.least))]))
+
+
+#: Limits on the way of the centre, on the way along x, and on the way along x from the track's first place. Boxes that overlap the track's first place
+#: by the last number pass whatever the way (fixed values).
+CENTRE = Gate(share=0.28, floor=0.0, margins=3.0, earlier=2.8, later=1.35, least=0.0, waived=0.03)
+ASIDE = Gate(share=0.20, floor=96.0, margins=3.0, earlier=3.0, later=3.0, least=96.0, waived=0.03)
+ANCHOR = Gate(share=0.25, floor=128.0, margins=4.0, earlier=4.0, later=4.0, least=128.0, waived=0.01)
+
+
 @dataclass(frozen=True)
 class Gates:
-    """How far a plant's box may move from one frame to the next (fixed values are shares of the picture and of the boxes)."""
+    """Which boxes ``(x, y, w, h)`` of a picture may be which ones of an earlier frame."""
 
     height: int
     width: int
     margin: float = 32.0
 
-    def allow(self, a: tuple, b: tuple, anchor_x: float | None = None) -> bool:
-        """Whether box ``b`` ``(x, y, w, h)`` may be the box ``a`` of an earlier frame."""
-        if min(a[2], a[3], b[2], b[3]) <= 0:
-            return False
-        ax, ay, bx, by = a[0] + a[2] / 2, a[1] + a[3] / 2, b[0] + b[2] / 2, b[1] + b[3] / 2
-        far = min(math.hypot(self.width, self.height) * 0.28, max(self.margin * 3, 2.8 * max(a[2:]), 1.35 * max(b[2:])))
-        aside = min(max(96.0, self.width * 0.2), max(self.margin * 3, 3.0 * max(a[2], b[2], 32), 96.0))
-        if math.hypot(ax - bx, ay - by) > far or abs(ax - bx) > aside:
-            return False
-        return anchor_x is None or abs(bx - anchor_x) <= min(max(128.0, self.width * 0.25), max(self.margin * 4, 4.0 * max(a[2], b[2], 32), 128.0))
+    def open(self, earlier: np.ndarray, later: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """A row for each earlier box, a column for each later one; ``first`` are the boxes in which the tracks of the earlier ones began."""
+        a, b = np.asarray(earlier, float).reshape(-1, 1, 4), np.asarray(later, float).reshape(1, -1, 4)
+        way = (a[..., :2] + a[..., 2:] / 2) - (b[..., :2] + b[..., 2:] / 2)
+        overlap = np.zeros(way.shape[:2]) if first is None else overlaps(first, later)
+        span_a, span_b = (np.maximum(x[..., 2:].max(axis=2), 1.0) + np.zeros(way.shape[:2]) for x in (a, b))
+        wide_a, wide_b = (x[..., 2] + np.zeros(way.shape[:2]) for x in (a, b))
+        moves = [(CENTRE, np.hypot(way[..., 0], way[..., 1]), math.hypot(self.width, self.height), span_a, span_b), (ASIDE, np.abs(way[..., 0]), self.width, wide_a, wide_b)]
+        if first is not None:
+            c = np.asarray(first, float).reshape(-1, 1, 4)
+            moves.append((ANCHOR, np.abs(c[..., 0] + c[..., 2] / 2 - b[..., 0] - b[..., 2] / 2), self.width, wide_a, wide_b))
+        passes = (a[..., 2:].min(axis=2) > 0) & (b[..., 2:].min(axis=2) > 0)
+        for gate, moved, picture, before, after in moves:
+            passes &= (moved <= gate.limit(picture, self.margin, before, after)) | (overlap >= gate.waived)
+        return passes
+
+
+def overlaps(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The share of each later box (columns) within each first one (rows)."""
+    a, b = np.asarray(first, float).reshape(-1, 1, 4), np.asarray(later, float).reshape(1, -1, 4)
+    shared = np.minimum(a[..., :2] + a[..., 2:], b[..., :2] + b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])
+    return np.maximum(shared, 0).prod(axis=2) / np.maximum(b[..., 2:].prod(axis=2), 1.0)
 
 
 def track_components(parts: DataFrame, plate: list[str], frame: str, gates: Gates, expected: int = 0, lanes: list[float] | None = None, seeds: dict[str, tuple] | None = None) -> DataFrame:
@@ -61,24 +96,22 @@ def track_components(parts: DataFrame, plate: list[str], frame: str, gates: Gate
             for k, i in enumerate(sorted(chosen, key=lambda i: (rows.at[i, "x"], i)), 1):
                 track[i] = f"plant_{k:02d}"
                 last[track[i]] = box(i)
-        anchors = {name: b[0] + b[2] / 2 for name, b in last.items()}
+        began = dict(last)
         ahead = [f for f in by_frame if start is None or f > start]
         for sweep in (ahead, [] if start is None else sorted((f for f in by_frame if f < start), reverse=True)):
             now = dict(last)
             for f in sweep:
                 names, free = sorted(now), by_frame[f]
-                cost = np.full((len(names), len(free)), np.inf)
-                for i, name in enumerate(names):
-                    a = now[name]
-                    for j, k in enumerate(free):
-                        b = box(k)
-                        x = b[0] + b[2] / 2
-                        if lanes:
-                            near = [abs(x - c) for c in lanes]
-                            if near.index(min(near)) == i:
-                                cost[i, j] = min(near) - 1e-6 * rows.at[k, "area"]
-                        elif gates.allow(a, b, anchors[name]):
-                            cost[i, j] = math.hypot(a[0] + a[2] / 2 - x, a[1] + a[3] / 2 - b[1] - b[3] / 2)
+                boxes = rows.loc[free, list("xywh")].to_numpy(float)
+                x, y = (boxes[:, :2] + boxes[:, 2:] / 2).T
+                if lanes:
+                    away = np.abs(np.array(lanes)[:, None] - x[None, :])
+                    nearest = np.arange(len(lanes))[:, None] == away.argmin(axis=0)[None, :]
+                    cost = np.where(nearest, away - 1e-6 * rows.loc[free, "area"].to_numpy(float), np.inf)
+                else:
+                    before = np.array([now[n] for n in names], float)
+                    far = np.hypot(before[:, :1] + before[:, 2:3] / 2 - x, before[:, 1:2] + before[:, 3:4] / 2 - y)
+                    cost = np.where(gates.open(before, boxes, np.array([began[n] for n in names])), far, np.inf)
                 for i, j in assignment(cost):
                     track[free[j]] = names[i]
                     now[names[i]] = box(free[j])

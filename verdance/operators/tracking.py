@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -194,22 +196,33 @@ def conflict_timeline(pairs: DataFrame, plate: list[str], frame: str) -> DataFra
     return pairs.withColumns({"first_touch": F.min(frame).over(w), "touched_before": F.coalesce(before == F.col(frame) - 1, F.lit(False))})
 
 
+#: What the owner ranker is told of a pixel and a crown, in the order of its weights: each feature is a product of the named quantities (fixed values).
+OWNER_FEATURES = ("dx", "|dx|", "dx dx", "|dx| y", "dx y", "lane", "|lane|", "lane lane", "dy", "dy dy", "slot", "slot x", "slot y")
+#: Crowns that the ranker was made for, and the least lane width as a share of the picture (fixed values).
+OWNERS, LEAST_LANE = 5, 0.025
+
+
 def owner_features(x: Column, y: Column, crowns: list[tuple[float, float]], width: int, height: int) -> Column:
-    """``array<array<double>>``: 13 numbers on where a pixel lies to each crown."""
-    n = len(crowns)
-    cx = [c / max(width - 1, 1) for c, _ in crowns]
-    cy = [c / max(height - 1, 1) for _, c in crowns]
+    """``array<array<double>>``: ``OWNER_FEATURES`` of a pixel for each of five crowns, given from left to right.
+
+    Places are shares of the picture; ``dx`` and ``dy`` lead from the crown to the pixel, ``lane`` is dx in widths of the crown's lane (half the way
+    to both neighbours, of an outer one the way to the one), ``slot`` the crown's number from -1 to 1.
+    """
+    at = np.array(crowns, float)
+    if at.shape != (OWNERS, 2) or not np.isfinite(at).all():
+        raise ValueError(f"the owner ranker needs {OWNERS} finite crown points")
+    at /= np.maximum([width - 1, height - 1], 1)
+    lanes = np.maximum(np.gradient(at[:, 0]), LEAST_LANE)
+    known = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("cx", "cy", "lane", "slot"), row, strict=True))) for row in np.column_stack([at, lanes, np.linspace(-1, 1, OWNERS)])))
     px, py = x / float(max(width - 1, 1)), y / float(max(height - 1, 1))
-    rows = []
-    for k in range(n):
-        left = cx[max(k, 1)] - cx[max(k, 1) - 1]
-        right = cx[min(k, n - 2) + 1] - cx[min(k, n - 2)]
-        scale = max((left + right) * 0.5, 0.025)
-        slot = -1.0 + 2.0 * k / (n - 1)
-        dx, dy = px - cx[k], py - cy[k]
-        lane = dx / scale
-        rows.append(F.array(dx, F.abs(dx), dx * dx, F.abs(dx) * py, dx * py, lane, F.abs(lane), lane * lane, dy, dy * dy, F.lit(slot), px * slot, py * slot))
-    return F.array(*rows)
+
+    def told(crown: Column) -> Column:
+        dx, dy = px - crown["cx"], py - crown["cy"]
+        lane = dx / crown["lane"]
+        quantity = {"x": px, "y": py, "dx": dx, "dy": dy, "|dx|": F.abs(dx), "lane": lane, "|lane|": F.abs(lane), "slot": crown["slot"]}
+        return F.array(*(reduce(operator.mul, (quantity[n] for n in feature.split())) for feature in OWNER_FEATURES))
+
+    return F.transform(known, told)
 
 
 def ranked_owner(features: Column, mean: list[float], scale: list[float], weights: list[float]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import evaluation, plants, raster, selection, signal, trackers, tracking
 from ..sources import files
 from ..streaming import carry
-from . import plant_queries, selection_queries, series_queries, table_queries
+from . import plant_queries, rule_queries, selection_queries, series_queries, table_queries
 
 # Kernels travel with their closures, so executors need no installed copy of the library.
 for _module in (evaluation, plants, raster, selection, signal, trackers, tracking, files, carry):
@@ -18,8 +18,8 @@ for _module in (evaluation, plants, raster, selection, signal, trackers, trackin
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**series_queries.QUERIES, **table_queries.QUERIES, **plant_queries.QUERIES, **selection_queries.QUERIES}
+    return {**series_queries.QUERIES, **table_queries.QUERIES, **plant_queries.QUERIES, **selection_queries.QUERIES, **rule_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**series_queries.SQL, **table_queries.SQL, **plant_queries.SQL, **selection_queries.SQL}
+    return {**series_queries.SQL, **table_queries.SQL, **plant_queries.SQL, **selection_queries.SQL, **rule_queries.SQL}

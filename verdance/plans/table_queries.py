@@ -198,14 +198,14 @@ def identity_lookup(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT l_orderkey AS round, l_suppkey AS plate, l_linenumber AS plant_id, l_quantity AS a, CASE WHEN l_tax > 0.04 THEN l_tax END AS b FROM lineitem WHERE l_orderkey % 4 = 0),
+    """WITH w AS (SELECT l_orderkey AS round, l_suppkey AS plate, l_linenumber AS plant_id, l_quantity AS a, CASE WHEN l_tax > 0.04 THEN l_tax END AS b FROM lineitem),
 v AS (SELECT round, plate, plant_id, 'root_length' AS parameter, a AS value FROM w UNION ALL SELECT round, plate, plant_id, 'root_angle', b FROM w WHERE b IS NOT NULL),
 p AS (SELECT DISTINCT round, plate, plant_id, unnest(['root_angle', 'leaf_count']) AS parameter FROM w)
 SELECT * FROM v UNION ALL SELECT p.*, NULL FROM p ANTI JOIN v USING (round, plate, plant_id, parameter)"""
 )
 def long_traits(spark, d):
     """SET5, SRT8, PRJ8: wide rows as entity, parameter and value, with placeholders for parameters without one."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 4 = 0").withColumn("b", F.when(F.col("l_tax") > 0.04, F.col("l_tax")))
+    li = table(spark, d, "lineitem").withColumn("b", F.when(F.col("l_tax") > 0.04, F.col("l_tax")))
     keys = {"round": F.col("l_orderkey"), "plate": F.col("l_suppkey"), "plant_id": F.col("l_linenumber")}
     return reshape.long_traits(li, keys, {"l_quantity": "root_length", "b": "root_angle", "none_such": "x"}, ["root_angle", "leaf_count"])
 
@@ -512,17 +512,17 @@ def component_measures(spark, d):
 
 
 @query(
-    f"""WITH {FRAMES}, s AS (SELECT petri, CAST(row_number() OVER (PARTITION BY petri ORDER BY ts, event_id) - 1 AS INTEGER) AS i, total_mm AS v FROM frames WHERE plant_id = 'view'), c AS (SELECT petri, i, v - avg(v) OVER (PARTITION BY petri) AS v, count(*) OVER (PARTITION BY petri) AS n FROM s),
-k AS (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM c WHERE n >= 4), a AS (SELECT petri, n, k, sqrt(sum(v * cos(2 * pi() * k * i / n)) ** 2 + sum(v * sin(2 * pi() * k * i / n)) ** 2) AS amp FROM k GROUP BY ALL),
-r AS (SELECT petri, n * 0.5 / k AS period, amp, row_number() OVER (PARTITION BY petri ORDER BY round(amp, 6) DESC, k) AS rank FROM a WHERE amp > 1e-9) SELECT petri, CAST(rank AS INTEGER) AS rank, round(CAST(period AS DOUBLE), 4) AS period_hours, round(amp, 3) AS amplitude FROM r WHERE rank <= 3"""
+    f"""WITH {FRAMES}, s AS (SELECT petri, plant_id, CAST(row_number() OVER (PARTITION BY petri, plant_id ORDER BY ts, event_id) - 1 AS INTEGER) AS i, total_mm AS v FROM frames), c AS (SELECT petri, plant_id, i, v - avg(v) OVER (PARTITION BY petri, plant_id) AS v, count(*) OVER (PARTITION BY petri, plant_id) AS n FROM s),
+k AS (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM c WHERE n >= 4), a AS (SELECT petri, plant_id, n, k, sqrt(sum(v * cos(2 * pi() * k * i / n)) ** 2 + sum(v * sin(2 * pi() * k * i / n)) ** 2) AS amp FROM k GROUP BY ALL),
+r AS (SELECT petri, plant_id, n * 0.5 / k AS period, amp, row_number() OVER (PARTITION BY petri, plant_id ORDER BY round(amp, 6) DESC, k) AS rank FROM a WHERE amp > 1e-9) SELECT petri, plant_id, CAST(rank AS INTEGER) AS rank, round(CAST(period AS DOUBLE), 4) AS period_hours, round(amp, 3) AS amplitude FROM r WHERE rank <= 3"""
 )
 def dominant_periods(spark, d):
     """SIG1, SRT9: the strongest periods of each series."""
     from ..operators.windows import series
 
-    f = frames(spark, d).where("plant_id = 'view'")
-    f = f.withColumn("i", F.row_number().over(series(["petri"], ORDER)) - 1)
-    return signal.dominant_periods(f, ["petri"], "i", "total_mm", 0.5).select("petri", "rank", r4(F.col("period_hours"), "period_hours"), F.round("amplitude", 3).alias("amplitude"))
+    f = frames(spark, d)
+    f = f.withColumn("i", F.row_number().over(series(["petri", "plant_id"], ORDER)) - 1)
+    return signal.dominant_periods(f, ["petri", "plant_id"], "i", "total_mm", 0.5).select("petri", "plant_id", "rank", r4(F.col("period_hours"), "period_hours"), F.round("amplitude", 3).alias("amplitude"))
 
 
 @query()

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from verdance.llm import ngram_join
 from verdance.llm import queries as llm
 from verdance.llm.bsi_topk import BitSlices, top_k
 from verdance.llm.components import components
@@ -202,6 +203,47 @@ def test_classes(spark, size, percent):
     assert {r.doc_id: r.component_id for r in rows} == _components(ids, sets, percent)
 
 
+def test_small_blocks_and_hot_tokens_lose_nothing(spark, monkeypatch):
+    """Groups over many blocks, tokens dealt in parts, and chains of near copies, against brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    rng = random.Random(17)
+    texts = []
+    for n in (40, 80, 120):
+        base = prose(rng, n)
+        texts += [_near(rng, base, r) for r in (0.01, 0.02, 0.04) for _ in range(25)]
+        chain = base
+        for _ in range(12):
+            chain = _near(rng, chain, 0.02)
+            texts.append(chain)
+    sets = _sets(texts, 4)
+    rows = near_duplicate_classes(docs(spark, texts), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == _components(range(len(texts)), sets, 85)
+
+
+def test_groups_of_near_copies_take_work_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    sent, keep = [], ngram_join.Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        if "side" in df.columns:
+            sent.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", counted)
+    work = {}
+    for n in (150, 600):
+        rng = random.Random(2)
+        base = prose(rng, 200)
+        sent.clear()
+        texts = [_near(rng, base, 0.004) for _ in range(n)]
+        rows = near_duplicate_classes(docs(spark, texts), 5, 80).collect()
+        assert {r.doc_id: r.component_id for r in rows} == _components(range(n), _sets(texts, 5), 80)
+        work[n] = sum(sent)
+    assert work[600] < 6 * work[150]
+
+
 def test_repeated_rows_and_one_stays(spark):
     rng = random.Random(8)
     a, b = prose(rng, 40), prose(rng, 40)

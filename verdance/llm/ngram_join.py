@@ -1,18 +1,20 @@
 """Exact Jaccard join of word n-gram sets by filtering under multiple global token orders.
 
 Two sets of similarity ``t`` have ``k`` tokens in common among the first ``n - ceil(t * n) + k`` of each, under any one order of all
-tokens; here ``k`` is a twentieth of the smaller set. So candidates must share that many prefix tokens under several orders, and
+tokens; here ``k`` is a twentieth of the smaller set. So candidates must share that many prefix tokens under each of several orders, and
 only what passes all filters is verified:
 
 1. one pass gives each text's set size and digest, and the tokens frequent in any slice of the corpus. Texts with equal
    sets are one class from here on. Every order has the frequent tokens last, by frequency, and the others in a random sequence of its own;
-2. prefix tokens under the first order are dealt by token; tokens of a single class drop out, and so do classes left with
-   fewer than they must share;
+2. prefix tokens under the first order are dealt by token, those of frequent tokens by parts of their classes as well; tokens of a single
+   class drop out, and so do classes left with fewer than they must share. The classes left are dealt under the other orders likewise;
 3. of what a class shares only its rarest tokens are needed, as many as are sure to hold one of those in common. Classes form
-   blocks by the most common of them (large ones are split), and blocks that share one are paired. The pairs of blocks
-   must also share one under each further order;
-4. the sets of the classes left are sent once for each pair of blocks and compared there. Of the links found a
-   spanning forest goes on to the connected components.
+   blocks by the most common of them; large ones are split into parts;
+4. blocks are compared within themselves, parts of a split one also with one class that stands for all parts. Blocks that are of one
+   component by then count as one, and of two of these that meet one block each is compared first: what is linked already is not compared again, so a
+   group of near copies takes time in proportion to its size;
+5. blocks (or components) that share a token under every order are paired. The sets of a pair's classes are sent once; of their pairs, those
+   that share enough prefix tokens under every order are verified. Of the links found a spanning forest goes on to the connected components.
 
 No step expands the pairs of a group: groups meet as pairs of blocks of bounded size, whatever token or copy they share.
 """
@@ -38,7 +40,9 @@ SLICE, COUNTED_TOKENS, FREQUENT, FREQUENT_SHARE = 1 << 20, 4_000_000, 4, 1 / 500
 MOST_FREQUENT, BROADCAST_IDS = 1 << 20, 1_000_000
 #: Classes in a block at most, on average. Pairs of blocks are compared in dense columns of so many tokens.
 BLOCK, COLUMNS = 64, 8192
-ORDERS = 2
+ORDERS = 3
+#: Classes of a frequent token that are dealt together, about.
+HOT = 100_000
 #: Prefix tokens in common that are asked for, in hundredths of a set.
 SHARED_PERCENT = 5
 
@@ -92,35 +96,51 @@ class Orders:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         order = np.argsort(tokens)
         self.tokens = tokens[order]
+        self.counts = counts[order].astype(np.int64)
         level = np.log2(np.maximum(counts[order], 1)).astype(np.uint64) + np.uint64(1)
         self.levels = np.minimum(level, np.uint64(31))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.tokens & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
+    def known(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the tokens are frequent, and their places among the frequent ones."""
+        if not len(self.tokens):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe[(tokens & np.uint64(0xFFFFF)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.tokens, tokens[at]), len(self.tokens) - 1)
+        hit = self.tokens[place] == tokens[at]
+        return at[hit], place[hit]
+
     def ranks(self, tokens: np.ndarray, which: int) -> np.ndarray:
         """Numbers in the sequence of the order ``which``: a bijection of tokens but for the five lowest bits of the mix."""
         rank = mix(tokens + np.uint64((which + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(5)
-        if len(self.tokens):
-            at = np.flatnonzero(self.maybe[(tokens & np.uint64(0xFFFFF)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(self.tokens, tokens[at]), len(self.tokens) - 1)
-            hit = self.tokens[place] == tokens[at]
-            rank[at[hit]] |= self.levels[place[hit]] << np.uint64(59)
+        at, place = self.known(tokens)
+        rank[at] |= self.levels[place] << np.uint64(59)
         return rank
 
 
-def prefixes(tokens: np.ndarray, bounds: np.ndarray, orders: Orders, which: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the prefix tokens of each set, and the bounds. A rank stands for its token: equal tokens have equal ranks."""
+def prefixes(tokens: np.ndarray, bounds: np.ndarray, orders: Orders, which: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of the prefix tokens of each set, the bounds, and how often each is known to occur (0: not frequent).
+
+    A rank stands for its token: equal tokens have equal ranks.
+    """
     ranks = orders.ranks(tokens, which)
-    out, sizes = [], np.zeros(len(bounds) - 1, np.int64)
+    out, often, sizes = [], [], np.zeros(len(bounds) - 1, np.int64)
+    at, place = orders.known(tokens)
+    counts = np.zeros(len(tokens), np.int64)
+    counts[at] = orders.counts[place]
     for i in np.flatnonzero(np.diff(bounds)):
         mine = ranks[bounds[i] : bounds[i + 1]]
         p = prefix_size(len(mine), percent)
         # Equal ranks of different tokens stay together, so that the prefix is one under any way of ordering them.
         cut_at = np.partition(mine, p - 1)[p - 1]
-        mine = np.unique(mine[mine <= cut_at])
+        within = np.flatnonzero(mine <= cut_at)
+        mine, first = np.unique(mine[within], return_index=True)
         out.append(mine)
+        often.append(counts[bounds[i] : bounds[i + 1]][within[first]])
         sizes[i] = len(mine)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return (np.concatenate(out), ends, np.concatenate(often)) if out else (np.zeros(0, np.uint64), ends, np.zeros(0, np.int64))
 
 
 def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -172,7 +192,7 @@ def _rows(kind: int, a, n, d1, d2) -> pa.RecordBatch:
 
 
 def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, orders: Orders, which: list[int]) -> Iterator[pa.RecordBatch]:
-    """``(ord, token, d1, n)`` of every prefix token of every different set of this task's slice."""
+    """``(ord, token, d1, n, often)`` of every prefix token of every different set of this task's slice; ``often`` if the token is known to be hot."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         for _, data, offsets in text_slices(batch.column(1), SLICE):
@@ -188,7 +208,7 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, orders
             n = np.diff(bounds)
             first = np.array([k[0] if k else 0 for k in keys], np.int64)
             for w in which:
-                ranks, at = prefixes(tokens, bounds, orders, w, percent)
+                ranks, at, often = prefixes(tokens, bounds, orders, w, percent)
                 sizes = np.where(fresh, np.diff(at), 0)
                 kept = np.repeat(fresh, np.diff(at))
                 yield pa.RecordBatch.from_arrays(
@@ -197,30 +217,19 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, orders
                         pa.array(ranks[kept].view(np.int64)),
                         pa.array(np.repeat(first, sizes)),
                         pa.array(np.repeat(n, sizes).astype(np.int32)),
+                        pa.array(often[kept], mask=often[kept] <= HOT),
                     ],
-                    ["ord", "token", "d1", "n"],
+                    ["ord", "token", "d1", "n", "often"],
                 )
 
 
-def pack(tokens: np.ndarray) -> bytes:
-    """The low 48 bits of each hash: enough to tell apart the tokens of two sets, and a quarter less to send."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack(data: pa.Buffer | bytes) -> np.ndarray:
-    narrow = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :6] = narrow
-    return wide.view(np.uint64).ravel()
-
-
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in text_slices(batch.column(1), SLICE):
             tokens, bounds = token_sets(data, offsets, size)
             each = [tokens[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
             ids = batch.column(0).slice(row, len(each))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(x)[0] for x in each], pa.int64()), pa.array([pack(x) for x in each], pa.binary())], ["id", "d1", "tokens"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(x)[0] for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary())], ["id", "d1", "tokens"])
 
 
 class _Forest:
@@ -241,30 +250,45 @@ class _Forest:
         return a != b
 
 
-def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``left`` and ``right`` (or within ``left``)."""
+def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int, orders: Orders) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``left`` and ``right`` (or within ``left``).
+
+    Verified are the pairs of suiting sizes that share enough prefix tokens under every order.
+    """
     sets = left + (right or [])
     sizes = np.array([len(x) for _, x in sets])
     a, b = np.triu_indices(len(left), 1) if right is None else map(np.ravel, np.indices((len(left), len(right))))
     if right is not None:
         b = b + len(left)
-    fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+    fits = (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & (sizes[a] > 0) & (sizes[b] > 0)
     a, b = a[fits], b[fits]
+    least = np.maximum(1, np.minimum(sizes[a], sizes[b]) * SHARED_PERCENT // 100)
+    tokens, bounds = np.concatenate([x for _, x in sets]), np.concatenate([[0], np.cumsum(sizes)])
+    for which in range(ORDERS):
+        if not len(a):
+            return []
+        ranks, at, _ = prefixes(tokens, bounds, orders, which, percent)
+        passed = _shared([ranks[at[i] : at[i + 1]] for i in range(len(sets))], a, b) >= least
+        a, b, least = a[passed], b[passed], least[passed]
     if not len(a):
         return []
-    if len(a) <= 8:
-        common = np.array([len(np.intersect1d(sets[i][1], sets[j][1], assume_unique=True)) for i, j in zip(a, b, strict=True)])
-    else:
-        common = _common(sets)[a, b]
+    common = _shared([x for _, x in sets], a, b)
     linked = 100 * common >= percent * (sizes[a] + sizes[b] - common)
     forest = _Forest()
     return [(sets[i][0], sets[j][0]) for i, j in zip(a[linked].tolist(), b[linked].tolist(), strict=True) if forest.join(i, j)]
 
 
-def _common(sets: list[tuple[int, np.ndarray]]) -> np.ndarray:
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs ``(a, b)``: one by one while they are few, or else all at once."""
+    if len(a) <= 8:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
+    return _common(sets)[a, b]
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of dense pieces of the incidence matrix over tokens of two sets or more."""
-    every = np.concatenate([x for _, x in sets])
-    owner = np.repeat(np.arange(len(sets)), [len(x) for _, x in sets])
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, column, counts = np.unique(every, return_inverse=True, return_counts=True)
     shared = counts[column] > 1
     number = np.cumsum(counts > 1) - 1
@@ -272,7 +296,7 @@ def _common(sets: list[tuple[int, np.ndarray]]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     out = np.zeros((len(sets), len(sets)), np.int64)
-    for start in range(0, int(number[-1]) + 1, COLUMNS):
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
         low, high = np.searchsorted(column, [start, start + COLUMNS])
         piece = np.zeros((len(sets), COLUMNS), np.float32)
         piece[owner[low:high], column[low:high] - start] = 1
@@ -280,7 +304,7 @@ def _common(sets: list[tuple[int, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int, orders: Orders) -> Iterator[pa.RecordBatch]:
     """Rows sorted by pair of blocks ``(p, q, side, id, tokens)``; a pair may go on in the next batch."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     key: tuple[str, str] | None = None
@@ -290,9 +314,9 @@ def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
     def finish() -> None:
         if key is not None and sides[0]:
             if key[0] == key[1]:
-                out.extend(compare(sides[0], None, percent))
+                out.extend(compare(sides[0], None, percent, orders))
             elif sides[1]:
-                out.extend(compare(sides[0], sides[1], percent))
+                out.extend(compare(sides[0], sides[1], percent, orders))
 
     for batch in batches:
         p, q, side, ids = (batch.column(i).to_pylist() for i in range(4))
@@ -301,7 +325,7 @@ def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             if (p[i], q[i]) != key:
                 finish()
                 key, sides = (p[i], q[i]), [[], []]
-            sides[side[i]].append((ids[i], unpack(tokens[i].as_buffer())))
+            sides[side[i]].append((ids[i], np.frombuffer(tokens[i].as_buffer(), np.uint64)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
             out = []
@@ -318,24 +342,40 @@ def _rarest(postings: DataFrame, percent: int) -> DataFrame:
     """``(ord, token, d1, n, df)``: of the prefix tokens that a class shares with others the rarest, as many as hold one of those it must share.
 
     Tokens of a single class drop out, and so do classes left with fewer than they must share. Of ``m`` tokens of which ``k``
-    are in common with another class, at least one is among the first ``m - k + 1`` of both, here in order of how often they occur.
+    are in common with another class, at least one is among the first ``m - k + 1`` of both, here in order of how often they occur. A hot token is
+    known to be shared, and how often it occurs at least; its classes are dealt in parts.
     """
-    of_token, of_class = Window.partitionBy("ord", "token"), Window.partitionBy("ord", "d1")
-    sized = postings.withColumns({"low": F.min("d1").over(of_token), "high": F.max("d1").over(of_token), "df": F.count(F.lit(1)).over(of_token)})
-    shared = sized.where("low <> high").select("ord", "token", "d1", "n", "df").distinct()
+    part = F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("d1"), F.ceil(F.col("often") / HOT))).otherwise(F.lit(0))
+    of_token, of_class = Window.partitionBy("ord", "token", "part"), Window.partitionBy("ord", "d1")
+    sized = postings.withColumn("part", part).withColumns({"low": F.min("d1").over(of_token), "high": F.max("d1").over(of_token), "df": F.coalesce("often", F.count(F.lit(1)).over(of_token))})
+    shared = sized.where("low <> high OR often IS NOT NULL").select("ord", "token", "d1", "n", "df").distinct()
     placed = shared.withColumn("place", F.row_number().over(of_class.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(of_class))
     return placed.where(F.col("place") <= F.col("m") - least_shared(F.col("n"), percent) + 1).select("ord", "token", "d1", "n", "df")
 
 
-def _block_pairs(rarest: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``p, q``: blocks that have a token of one order in common; a block and itself if two of its classes do.
+def _own(rarest: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``block``: those of which two classes have a token of one order in common."""
+    return rarest.join(blocks.select("d1", "block").distinct(), "d1").groupBy("token", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block").distinct()
+
+
+def _unit_pairs(rarest: DataFrame, units: DataFrame) -> DataFrame:
+    """``p, q``: units that have a token of one order in common. For each token only its different units count, so pairs don't grow with classes."""
+    each = rarest.join(units.select("d1", "unit").distinct(), "d1").select("token", "unit").distinct()
+    return each.select("token", F.col("unit").alias("p")).join(each.select("token", F.col("unit").alias("q")), "token").where("p < q").select("p", "q").distinct()
+
 
-    For each token only its different blocks count, so the pairs grow with blocks and not with classes.
+def _units(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """``blocks`` with ``component``, ``base`` and ``unit``: blocks whose classes are all of one component are one unit, others each their own.
+
+    Parts of split blocks are parted once more, by component, as few classes without links would keep all of them from being one unit.
+    ``base`` is the block within which all classes have been compared.
     """
-    each = rarest.join(blocks.select("d1", "block").distinct(), "d1").groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"))
-    own = each.where("n > 1").select(F.col("block").alias("p"), F.col("block").alias("q"))
-    other = each.select("token", F.col("block").alias("p")).join(each.select("token", F.col("block").alias("q")), "token").where("p < q").select("p", "q")
-    return own.unionAll(other).distinct()
+    known = blocks.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("base", F.col("block"))
+    parted = F.when(F.col("split") & F.col("component").isNotNull(), F.concat("block", F.lit("="), F.col("component").cast("string"))).otherwise(F.col("block"))
+    known = known.withColumns({"block": parted, "component": F.coalesce("component", "id")})
+    pure = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    unit = F.when(F.col("low") == F.col("high"), F.concat(F.lit("="), F.col("low").cast("string"))).otherwise(F.col("block"))
+    return known.join(pure, "block").withColumn("unit", unit)
 
 
 def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text", row_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -344,41 +384,75 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
     A class is all texts with one set; its id is the smallest of theirs.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     described = cut(map_arrow(rows, lambda b: _describe(b, size), "kind int, a long, n long, d1 long, d2 long"))
     meta = described.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n"), "d1", "d2")
     frequent = described.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(MOST_FREQUENT).toArrow()
     orders = spark.sparkContext.broadcast(Orders(frequent["a"].to_numpy().view(np.uint64), frequent["n"].to_numpy()))
     classes = meta.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")).select("d1", "id")
-
-    # First order, all rows: the classes that share enough prefix tokens with others.
-    schema = "ord int, token long, d1 long, n int"
-    rarest, _ = scratch.keep(_rarest(map_arrow(rows, lambda b: _postings(b, size, percent, orders.value, [0]), schema), percent))
-    # Blocks: classes by the most common of those tokens, large ones in parts.
-    home = rarest.groupBy("d1").agg(F.max(F.struct("df", "token"))["token"].alias("home"), F.min("n").alias("n"))
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
-    part = F.when(F.col("c") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("d1"), F.ceil(F.col("c") / BLOCK)))
-    blocks, _ = scratch.keep(home.join(sizes, "home").select("d1", "n", F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")).join(classes, "d1"))
-    pairs, _ = scratch.keep(_block_pairs(rarest, blocks))
-
-    # The other orders, of those classes only.
-    few = _only(rows, blocks.select("id").distinct())
-    later, _ = scratch.keep(_rarest(map_arrow(few, lambda b: _postings(b, size, percent, orders.value, list(range(1, ORDERS))), schema), percent))
-    for which in range(1, ORDERS):
-        pairs = pairs.join(_block_pairs(later.where(F.col("ord") == which), blocks), ["p", "q"], "left_semi")
-
-    # Verification where all filters agree: each set goes to the pairs of its block in which some size suits its own.
-    ranges = blocks.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    sized = pairs.join(ranges.toDF("p", "least_p", "most_p"), "p").join(ranges.toDF("q", "least_q", "most_q"), "q")
-    suits = lambda side: (F.col("n") * 100 >= F.col(f"least_{side}") * percent) & (F.col(f"most_{side}") * 100 >= F.col("n") * percent)
-    left = sized.join(blocks, F.col("p") == F.col("block")).where(suits("q")).select("id", "d1", "p", "q", F.lit(0).alias("side"))
-    right = sized.where("p <> q").join(blocks, F.col("q") == F.col("block")).where(suits("p")).select("id", "d1", "p", "q", F.lit(1).alias("side"))
-    asked, _ = scratch.keep(left.unionAll(right))
-    sets = map_arrow(_only(rows, asked.select("id").distinct()), lambda b: _sets(b, size), "id long, d1 long, tokens binary").dropDuplicates(["id", "d1"])
-    dealt = asked.join(sets, ["id", "d1"]).select("p", "q", "side", "id", "tokens").repartition("p", "q").sortWithinPartitions("p", "q", "side")
-    links = cut(map_arrow(dealt, lambda b: _compare_pairs(b, percent), "a long, b long"))
-    scratch.drop()
+    schema = "ord int, token long, d1 long, n int, often long"
+
+    with Scratch(spark) as scratch:
+        # First order, all rows: the classes that share enough prefix tokens with others. The other orders, of those classes only.
+        rarest, _ = scratch.keep(_rarest(map_arrow(rows, lambda b: _postings(b, size, percent, orders.value, [0]), schema), percent))
+        # Blocks: classes by the most common of those tokens, large ones in parts.
+        home = rarest.groupBy("d1").agg(F.max(F.struct("df", "token"))["token"].alias("home"), F.min("n").alias("n"))
+        sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
+        part = F.when(F.col("c") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("d1"), F.ceil(F.col("c") / BLOCK)))
+        block = F.concat_ws("/", F.hex("home"), part.cast("string")).alias("block")
+        blocks, _ = scratch.keep(home.join(sizes, "home").select("d1", "n", "home", (F.col("c") > BLOCK).alias("split"), block).join(classes, "d1"))
+        few = _only(rows, blocks.select("id").distinct())
+        later, _ = scratch.keep(_rarest(map_arrow(few, lambda b: _postings(b, size, percent, orders.value, list(range(1, ORDERS))), schema), percent))
+        order = lambda which: later.where(F.col("ord") == which)
+
+        def verified(asked: DataFrame) -> DataFrame:
+            """Links among the sets that ``(id, d1, p, q, side)`` ask for."""
+            asked, _ = scratch.keep(asked)
+            sets = map_arrow(_only(rows, asked.select("id").distinct()), lambda b: _sets(b, size), "id long, d1 long, tokens binary").dropDuplicates(["id", "d1"])
+            dealt = asked.join(sets, ["id", "d1"]).select("p", "q", "side", "id", "tokens").repartition("p", "q").sortWithinPartitions("p", "q", "side")
+            links, _ = scratch.keep(map_arrow(dealt, lambda b: _compare_pairs(b, percent, orders.value), "a long, b long"))
+            return links
+
+        def between(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """The units that the known links make, and the pairs of their blocks that may hold further links: ``p, q`` and what is known of both blocks."""
+            units, _ = scratch.keep(_units(blocks, components(known, "a", "b")))
+            pairs = _unit_pairs(rarest, units)
+            for which in range(1, ORDERS):
+                pairs = pairs.join(_unit_pairs(order(which), units), ["p", "q"], "left_semi")
+            of_block = [F.min("n").alias("least"), F.max("n").alias("most"), *(F.first(c).alias(c) for c in ("low", "high", "base"))]
+            ranges = units.groupBy("unit", "block").agg(*of_block)
+            side = lambda s: ranges.select(F.col("unit").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most", "low", "high", "base")))
+            met, _ = scratch.keep(pairs.join(side("p"), "p").join(side("q"), "q").where("base_p <> base_q"))
+            return units, met
+
+        def sent(units: DataFrame, met: DataFrame) -> DataFrame:
+            """For each pair of blocks the classes whose size suits some size of the other side, and that aren't of one component with all of it."""
+            out = []
+            for number, (mine, other) in enumerate((("p", "q"), ("q", "p"))):
+                suits = (F.col("n") * 100 >= F.col(f"least_{other}") * percent) & (F.col(f"most_{other}") * 100 >= F.col("n") * percent)
+                linked = (F.col(f"low_{other}") == F.col(f"high_{other}")) & (F.col(f"low_{other}") == F.col("component"))
+                members = met.join(units.select("id", "d1", "n", "component", F.col("block").alias(f"block_{mine}")), f"block_{mine}").where(suits & ~linked)
+                out.append(members.select("id", "d1", F.col("block_p").alias("p"), F.col("block_q").alias("q"), F.lit(number).alias("side")))
+            return out[0].unionAll(out[1])
+
+        # Within blocks, and the parts of split ones with one class that stands for all of them.
+        own = _own(rarest, blocks)
+        for which in range(1, ORDERS):
+            own = own.join(_own(order(which), blocks), "block", "left_semi")
+        split = blocks.where("split")
+        own = own.unionAll(split.select("block")).distinct()
+        hubs = split.groupBy("home").agg(F.min(F.struct("d1", "id", "block")).alias("hub"))
+        guests = split.select("home", "block").distinct().join(hubs, "home").where("hub.block <> block").select("hub.id", "hub.d1", "block")
+        within = blocks.join(own, "block").select("id", "d1", "block").unionAll(guests)
+        first = verified(within.select("id", "d1", F.col("block").alias("p"), F.col("block").alias("q"), F.lit(0).alias("side")))
+
+        # Between blocks that share a token under every order; what is linked by now counts as one.
+        units, met = between(first)
+        # Where components of many blocks meet, one block of each goes first: mostly that links them, and the others needn't meet.
+        many = met.groupBy("p", "q").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*met.columns)).alias("one")).where("c > 1").select("one.*")
+        some = first.unionAll(verified(sent(units, many)))
+        units, met = between(some)
+        links = cut(some.unionAll(verified(sent(units, met))))
     found = components(links, "a", "b")
     return meta, found.select(F.col("node").alias("id"), "component")
 
@@ -402,7 +476,10 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80, te
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with all its columns, one document of each component: the one with the smallest id. Rows with a null id stay."""
+    """``docs`` with all its columns, one document of each component: the one with the smallest id.
+
+    Rows with a null id and rows whose text is null, empty or without words stay; of rows with one id all stay or go; an empty table gives no rows.
+    """
     found = cut(near_duplicate_classes(docs, size, percent))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)

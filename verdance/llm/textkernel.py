@@ -1,7 +1,7 @@
 """Vectorised word hashing of UTF-8 texts: one pass of numpy over the bytes of many texts.
 
-A word's hash is a polynomial of its bytes modulo 2**64 with a final mix, so equal words get equal hashes everywhere. Different words that nobody
-builds on purpose differ but for chance (2**-64); where equal hashes decide anything for good, ``ngram_join`` looks at the words themselves.
+A word's hash is a polynomial of its bytes modulo 2**64 with a final mix, so equal words get equal hashes everywhere. Different words
+differ but for chance (2**-64), unless someone builds words of equal hashes on purpose.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ import struct
 import pytest
 import sentencepiece
 from verdance.llm.queries import MODEL_PATH
-from verdance.llm.sentencepiece_codec import build, decode_documents, decode_ids, encode_documents, parse_model, piece_bytes
+from verdance.llm.sentencepiece_codec import Encoder, build, decode_documents, decode_ids, encode_documents, parse_model, piece_bytes
 
 PROBES = ["", " ", "  ", "a", "  a  b ", "\n\n\t x", "<s>hi</s><unk><0x0A>", "😀 ünï\x00 zz", "a" * 3000, "日本語テキスト", "‍﻿q", "foo\r\nbar   baz      ", "é ß Ø"]
 
@@ -54,6 +54,17 @@ def test_parity(model):
         assert decode_ids(e.ids, table, parsed.add_dummy_prefix) == judge.decode(e.ids) == text
 
 
+def test_words_encoded_once_make_the_same_ids(model):
+    judge = sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(1)
+    parts = [" ", "  ", "\u2581", "a", "the", "abcd", "é", "机", "\n", "<0x0A>", "<s>", "\t", "😀", "hi"]
+    texts = PROBES + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(2000)]
+    encoder = Encoder(parse_model(model))
+    assert encoder.by_word
+    for _ in range(2):
+        assert encoder.encode(texts) == [list(x) for x in judge.encode(texts)]
+
+
 def test_documents(spark):
     rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*PROBES, None, "word " * 40_000])], "doc_id long, text string, ids string")
     out = encode_documents(rows, MODEL_PATH, verify=-1)

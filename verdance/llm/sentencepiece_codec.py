@@ -9,6 +9,7 @@ The result is verified against the SentencePiece library.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE_MODEL = 1, 2
 #: Characters encoded in one call; bounds the memory that the library's results take.
 CALL_CHARS = 1 << 19
+#: A word with the marked spaces before it, and different words kept with their ids.
+WORDS, KNOWN_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"), 500_000
 #: Threads of the library in one Python worker; more than the cores of an executor only wait for each other.
 THREADS = 2
 
@@ -154,16 +157,53 @@ def build(model: PieceModel):
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    # Where no piece runs on past a space, words can be cut apart before the model sees them: the same pieces, much sooner.
-    inner = any(MARK in piece.lstrip(MARK) for piece, _, kind in model.pieces if kind == NORMAL)
-    cuts = [] if inner else [pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")]
-    if model.model_type == UNIGRAM and model.byte_fallback and not any("<0" in piece for piece, _, kind in model.pieces if kind == NORMAL):
-        cuts.append(pre_tokenizers.Split(Regex("<(?=0x[0-9A-F]{2}>)"), "isolated"))  # nor is the name of a byte piece in a text
+    cuts = [pre_tokenizers.Split(Regex(pattern), "isolated") for pattern in (_word_cut(model), _byte_cut(model)) if pattern]
     if cuts:
         tokenizer.pre_tokenizer = pre_tokenizers.Sequence(cuts)
     return tokenizer
 
 
+def _word_cut(model: PieceModel) -> str | None:
+    """Where no piece runs on past a space, words can be cut apart before the model sees them: the same pieces, much sooner."""
+    inner = any(MARK in piece.lstrip(MARK) for piece, _, kind in model.pieces if kind == NORMAL)
+    return None if inner else WORDS.pattern
+
+
+def _byte_cut(model: PieceModel) -> str | None:
+    """In a text, the name of a byte piece is no byte."""
+    byte_names = model.model_type == UNIGRAM and model.byte_fallback and not any("<0" in piece for piece, _, kind in model.pieces if kind == NORMAL)
+    return "<(?=0x[0-9A-F]{2}>)" if byte_names else None
+
+
+class Encoder:
+    """Ids of texts. Where words are cut apart before the model sees them and nothing else is normalised, each different word is encoded once."""
+
+    def __init__(self, model: PieceModel):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        self.tokenizer = build(model)
+        self.by_word = bool(model.add_dummy_prefix and _word_cut(model)) and not (model.charsmap or model.remove_extra_whitespaces)
+        if self.by_word:
+            within = _byte_cut(model)
+            self.tokenizer.normalizer = normalizers.Sequence([])
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(within), "isolated")] if within else [])
+        self.known: dict[str, list[int]] = {}
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.by_word:
+            return self._library(texts)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        words = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = list({w for some in words for w in some if w not in self.known})
+        self.known.update(zip(new, self._library(new), strict=True))
+        known = self.known.__getitem__
+        return [list(chain.from_iterable(map(known, some))) for some in words]
+
+
 def piece_bytes(model: PieceModel) -> list[bytes]:
     """What each id stands for in a decoded text."""
     out = []
@@ -207,17 +247,16 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
     """
     os.environ["RAYON_NUM_THREADS"] = str(THREADS)  # read when the library first starts its threads
     parsed = parse_model(model_bytes)
-    tokenizer, table = build(parsed), np.array(piece_bytes(parsed), object)
+    encoder, table = Encoder(parsed), np.array(piece_bytes(parsed), object)
     judge = None
     if verify:
         import sentencepiece
 
         judge = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     for batch in batches:
         start = 0
         for call in _calls([t or "" for t in batch.column(1).to_pylist()]):
-            ids = [e.ids for e in encode(call, add_special_tokens=False)]
+            ids = encoder.encode(call)
             lengths = np.array([len(x) for x in ids], np.int32)
             parity: list[bool | None] = [None] * len(call)
             if judge is not None:
@@ -240,18 +279,20 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
             start += len(call)
 
 
-def encode_documents(docs: DataFrame, model_path: str, verify: int = 4, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, verify: int = -1, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``doc_id, ids, n_ids, round_trip, parity`` of every whole text.
 
     ``round_trip`` tells whether decoding gives the text itself back (a normaliser may fold characters); ``parity`` whether the
-    SentencePiece library gives the same ids, for ``verify`` texts of each call (-1: all, others null). An empty or null text has no ids.
+    SentencePiece library gives the same ids for the whole text, for ``verify`` texts of each call (-1: all, others null). An empty or null text has no ids.
     Repeated rows are encoded alike; an empty table gives no rows; other columns are ignored. The model file is read on the driver.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(rows, 
-        lambda batches: encode_batches(model.value, batches, verify), "doc_id long, ids array<int>, n_ids int, round_trip boolean, parity boolean"
+    return map_arrow(
+        rows,
+        lambda batches: encode_batches(model.value, batches, verify),
+        "doc_id long, ids array<int>, n_ids int, round_trip boolean, parity boolean",
     )
 
 

@@ -7,7 +7,7 @@ A raster is either a pixel table (``frame keys, y, x, class``), measured by join
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -299,3 +299,17 @@ def pixel_table(rasters: DataFrame, keys: list[str]) -> DataFrame:
                 yield pd.DataFrame({**{c: getattr(r, c) for c in keys}, "y": ys.astype("int32"), "x": xs.astype("int32"), "class": mask[ys, xs].astype("int32")}, index=range(len(ys)))
 
     return rasters.select(*keys, "h", "w", "bits").mapInPandas(spread, fields)
+
+
+def changed_rasters(rasters: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], Iterator[tuple[str, np.ndarray]]]) -> DataFrame:
+    """``*keys, variant, h, w, bits``: what ``kernel`` makes of each raster, one raster at a time."""
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*keys).schema), "variant string, h int, w int, bits binary"])
+
+    def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                for name, m in kernel(unpack(r.h, r.w, r.bits)):
+                    m = np.ascontiguousarray(m, np.uint8)
+                    yield pd.DataFrame([(*(getattr(r, c) for c in keys), name, *m.shape, m.tobytes())], columns=[*keys, "variant", "h", "w", "bits"])
+
+    return rasters.select(*keys, "h", "w", "bits").mapInPandas(change, fields)

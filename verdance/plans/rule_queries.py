@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce, text
-from ..operators import evaluation, exports, joins, qa, reshape, rollups, signal, windows
+from ..operators import evaluation, exports, joins, plants, qa, raster, reshape, rollups, signal, windows
 from ..sources import files, sinks
 from .roles import FRAMES, ORDER, PIXELS, TRACK, frames, pixels, table
+from .table_queries import packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -361,4 +362,67 @@ def relabelled_pixels(spark, d):
     return exports.changed_pixels(px.where("(y + x) % 5 > 0"), px.where("(y * x) % 3 > 0"), ["frame", "class"])
 
 
+# ---- rasters ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PIXELS}, t AS (SELECT frame, class, unnest([{{'n': 'turn0', 'y': y, 'x': x}}, {{'n': 'turn90', 'y': 63 - x, 'x': y}}, {{'n': 'turn180', 'y': 63 - y, 'x': 63 - x}}, {{'n': 'turn270', 'y': x, 'x': 63 - y}}]) AS t FROM pixels),
+v AS (SELECT frame, class, t.n AS variant, t.y AS y, t.x AS x FROM t UNION ALL SELECT frame, class, t.n || '_mirrored', t.y, 63 - t.x FROM t)
+SELECT frame, variant, CAST(sum(y * class) AS BIGINT) AS y, CAST(sum(x * class) AS BIGINT) AS x, count(*) AS pixels FROM v GROUP BY frame, variant"""
+)
+def mask_variants(spark, d):
+    """HIT3: every raster turned and mirrored."""
+    out = raster.pixel_table(raster.changed_rasters(packed(spark, d), ["frame"], plants.variants), ["frame", "variant"])
+    weighted = lambda c: F.sum(F.col(c) * F.col("class")).alias(c)
+    return out.groupBy("frame", "variant").agg(weighted("y"), weighted("x"), F.count(F.lit(1)).alias("pixels"))
+
+
+@query(f"WITH {PIXELS} SELECT frame, y, x, class FROM pixels")
+def tiles_and_back(spark, d):
+    """RST15: rasters in tiles with halos, put together again."""
+    return raster.pixel_table(plants.stitched(plants.tiles(packed(spark, d), ["frame"], 16, 3), ["frame"], 16, 3), ["frame"])
+
+
+def _moved(mask):
+    yield "moved", plants.warped(mask.astype(float), (3.0, -2.0)).round()
+
+
+@query(f"WITH {PIXELS} SELECT frame, y - 2 AS y, x + 3 AS x, class FROM pixels WHERE y >= 2 AND x <= 60")
+def corrected_planes(spark, d):
+    """SEN4: an optical correction by whole pixels."""
+    return raster.pixel_table(raster.changed_rasters(packed(spark, d), ["frame"], _moved), ["frame"])
+
+
+#: Seeds of three owners and the head start of each.
+SEEDS, HEAD_START = [[(5, 10)], [(5, 32), (40, 30)], [(8, 55)]], [0.0, 1.5, 0.0]
+
+
+def _owned(mask):
+    yield "owners", raster.owners(mask > 0, SEEDS, HEAD_START)
+
+
+@query(
+    f"""WITH {PIXELS}, s(k, sy, sx, d) AS (VALUES (1, 5, 10, 0.0::DOUBLE), (2, 5, 32, 1.5::DOUBLE), (2, 40, 30, 1.5::DOUBLE), (3, 8, 55, 0.0::DOUBLE)),
+r AS (SELECT frame, y, x, k, row_number() OVER (PARTITION BY frame, y, x ORDER BY sqrt(power((y - sy)::DOUBLE, 2) + power((x - sx)::DOUBLE, 2)) - d, k) AS n FROM pixels, s) SELECT frame, y, x, k AS class FROM r WHERE n = 1"""
+)
+def nearest_owners(spark, d):
+    """TRK13: pixels to the nearest seed less its head start."""
+    return raster.pixel_table(raster.changed_rasters(packed(spark, d), ["frame"], _owned), ["frame"])
+
+
+def _filled(mask):
+    yield "filled", raster.filled(mask > 0)
+
+
+@query(
+    f"""WITH RECURSIVE {PIXELS}, f AS (SELECT DISTINCT frame FROM pixels), free AS (SELECT a.frame, a.y, a.x FROM (SELECT frame, y, x FROM f, (SELECT unnest(range(-1, 65)) AS y), (SELECT unnest(range(-1, 65)) AS x)) a LEFT JOIN pixels p ON p.frame = a.frame AND p.y = a.y AND p.x = a.x WHERE p.frame IS NULL),
+r AS (SELECT frame, -1::BIGINT AS y, -1::BIGINT AS x FROM f UNION SELECT free.frame, free.y, free.x FROM r, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx), free WHERE free.frame = r.frame AND free.y = r.y + dy AND free.x = r.x + dx)
+SELECT frame, 4096 - count(*) FILTER (WHERE y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63) AS area FROM r GROUP BY frame"""
+)
+def filled_areas(spark, d):
+    """RST14: areas of masks whose holes are filled."""
+    out = raster.pixel_table(raster.changed_rasters(packed(spark, d), ["frame"], _filled), ["frame"])
+    return out.groupBy("frame").agg(F.count(F.lit(1)).alias("area"))
+
+
 __all__ = ["QUERIES", "SQL", "TRACK"]

@@ -14,7 +14,7 @@ only what passes all filters is verified:
    component by then count as one, and of two of these that meet one block each is compared first: what is linked already is not compared again, so a
    group of near copies takes time in proportion to its size;
 5. blocks (or components) that share a token under every order are paired. The sets of a pair's classes are sent once; of their pairs, those
-   that share enough prefix tokens under every order are verified. Of the links found a spanning forest goes on to the connected components.
+   that share enough prefix tokens under every order are verified. What each comparison connects goes on to the connected components as a star.
 
 No step expands the pairs of a group: groups meet as pairs of blocks of bounded size, whatever token or copy they share.
 """
@@ -233,7 +233,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 class _Forest:
-    """Links of one comparison, as few as keep what they connect together."""
+    """What links connect; the root of each tree is its least member."""
 
     def __init__(self) -> None:
         self.parent: dict[int, int] = {}
@@ -244,14 +244,13 @@ class _Forest:
             x = self.parent[x]
         return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.parent[a] = b
-        return a != b
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((self.root(a), self.root(b)))
+        self.parent[b] = a
 
 
 def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int, orders: Orders) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``left`` and ``right`` (or within ``left``).
+    """What the links between ``left`` and ``right`` (or within ``left``) connect: pairs of the least id and each other one of a component.
 
     Verified are the pairs of suiting sizes that share enough prefix tokens under every order.
     """
@@ -275,7 +274,9 @@ def compare(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarra
     common = _shared([x for _, x in sets], a, b)
     linked = 100 * common >= percent * (sizes[a] + sizes[b] - common)
     forest = _Forest()
-    return [(sets[i][0], sets[j][0]) for i, j in zip(a[linked].tolist(), b[linked].tolist(), strict=True) if forest.join(i, j)]
+    for i, j in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+        forest.join(sets[i][0], sets[j][0])
+    return [(root, x) for x in list(forest.parent) if (root := forest.root(x)) != x]
 
 
 def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -364,20 +365,28 @@ def _unit_pairs(rarest: DataFrame, units: DataFrame) -> DataFrame:
     return each.select("token", F.col("unit").alias("p")).join(each.select("token", F.col("unit").alias("q")), "token").where("p < q").select("p", "q").distinct()
 
 
-def _units(blocks: DataFrame, found: DataFrame) -> DataFrame:
+def _units(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """``blocks`` with ``component``, ``base`` and ``unit``: blocks whose classes are all of one component are one unit, others each their own.
 
-    Parts of split blocks are parted once more, by component, as few classes without links would keep all of them from being one unit.
-    ``base`` is the block within which all classes have been compared.
+    ``labels`` are ids and the components that are known by now, others are their own. Parts of split blocks are parted once more, by component, as few
+    classes without links would keep all of them from being one unit. ``base`` is the block within which all classes have been compared.
     """
-    known = blocks.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("base", F.col("block"))
-    parted = F.when(F.col("split") & F.col("component").isNotNull(), F.concat("block", F.lit("="), F.col("component").cast("string"))).otherwise(F.col("block"))
-    known = known.withColumns({"block": parted, "component": F.coalesce("component", "id")})
+    known = blocks.join(labels, "id", "left").withColumns({"base": F.col("block"), "component": F.coalesce("component", "id")})
+    several = F.count(F.lit(1)).over(Window.partitionBy("block", "component")) > 1
+    known = known.withColumn("block", F.when(F.col("split") & several, F.concat("block", F.lit("="), F.col("component").cast("string"))).otherwise(F.col("block")))
     pure = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     unit = F.when(F.col("low") == F.col("high"), F.concat(F.lit("="), F.col("low").cast("string"))).otherwise(F.col("block"))
     return known.join(pure, "block").withColumn("unit", unit)
 
 
+def _joined(units: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, component`` after further links: a component takes the least of the components that links lead to from it."""
+    of = lambda end: units.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    met = links.join(of("a"), "a").join(of("b"), "b").select("of_a", "of_b").where("of_a <> of_b").distinct()
+    least = met.unionAll(met.select("of_b", "of_a")).groupBy(F.col("of_a").alias("component")).agg(F.min("of_b").alias("other"))
+    return units.join(least, "component", "left").select("id", F.least("component", F.coalesce("other", "component")).alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+
+
 def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text", row_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n, d1, d2)`` of every row, and ``(id, component)`` of the class ids that have links.
 
@@ -413,9 +422,9 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
             links, _ = scratch.keep(map_arrow(dealt, lambda b: _compare_pairs(b, percent, orders.value), "a long, b long"))
             return links
 
-        def between(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-            """The units that the known links make, and the pairs of their blocks that may hold further links: ``p, q`` and what is known of both blocks."""
-            units, _ = scratch.keep(_units(blocks, components(known, "a", "b")))
+        def between(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """The units that known components make, and the pairs of their blocks that may hold further links: ``p, q`` and what is known of both blocks."""
+            units, _ = scratch.keep(_units(blocks, labels))
             pairs = _unit_pairs(rarest, units)
             for which in range(1, ORDERS):
                 pairs = pairs.join(_unit_pairs(order(which), units), ["p", "q"], "left_semi")
@@ -441,18 +450,19 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
             own = own.join(_own(order(which), blocks), "block", "left_semi")
         split = blocks.where("split")
         own = own.unionAll(split.select("block")).distinct()
-        hubs = split.groupBy("home").agg(F.min(F.struct("d1", "id", "block")).alias("hub"))
+        hubs = split.groupBy("home").agg(F.min(F.struct("id", "d1", "block")).alias("hub"))
         guests = split.select("home", "block").distinct().join(hubs, "home").where("hub.block <> block").select("hub.id", "hub.d1", "block")
         within = blocks.join(own, "block").select("id", "d1", "block").unionAll(guests)
         first = verified(within.select("id", "d1", F.col("block").alias("p"), F.col("block").alias("q"), F.lit(0).alias("side")))
 
-        # Between blocks that share a token under every order; what is linked by now counts as one.
-        units, met = between(first)
+        # Between blocks that share a token under every order; what is linked by now counts as one. The class that stands for a home has its least id, so
+        # what is linked to it has one label in all parts.
+        units, met = between(first.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")))
         # Where components of many blocks meet, one block of each goes first: mostly that links them, and the others needn't meet.
         many = met.groupBy("p", "q").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*met.columns)).alias("one")).where("c > 1").select("one.*")
-        some = first.unionAll(verified(sent(units, many)))
-        units, met = between(some)
-        links = cut(some.unionAll(verified(sent(units, met))))
+        some = verified(sent(units, many))
+        units, met = between(_joined(units, some))
+        links = cut(first.unionAll(some).unionAll(verified(sent(units, met))))
     found = components(links, "a", "b")
     return meta, found.select(F.col("node").alias("id"), "component")
 

@@ -65,21 +65,14 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(a), int(b)) for a, b in pairs if allowed[a, b])
 
 
-def _tip_cost(last: list[dict], now: list[dict], frame: int, limits: TipLinks) -> np.ndarray:
-    cost = np.full((len(last), len(now)), np.inf)
-    for i, a in enumerate(last):
-        gap = frame - a["frame"]
-        reach = limits.distance * (1 + limits.wider_by_gap * (gap - 1))
-        for j, b in enumerate(now):
-            distance = float(np.hypot(a["x"] - b["x"], a["y"] - b["y"]))
-            if distance > reach:
-                continue
-            turn = abs(a["angle"] - b["angle"]) % 360.0
-            turn = min(turn, 360.0 - turn) / 180.0
-            c = (1 - limits.angle_share) * distance / reach + limits.angle_share * turn + limits.gap_cost * (gap - 1)
-            if c <= limits.most:
-                cost[i, j] = c
-    return cost
+def _tip_cost(last: np.ndarray, now: np.ndarray, gap: np.ndarray, limits: TipLinks) -> np.ndarray:
+    """Costs of links from the last places of tracks to tips, both rows of ``x, y, angle``; ``gap`` is how many frames ago a track was seen."""
+    reach = (limits.distance * (1.0 + limits.wider_by_gap * (gap - 1)))[:, None]
+    distance = np.hypot(last[:, None, 0] - now[None, :, 0], last[:, None, 1] - now[None, :, 1])
+    turn = np.abs(last[:, None, 2] - now[None, :, 2]) % 360.0
+    turn = np.minimum(turn, 360.0 - turn) / 180.0
+    cost = (1 - limits.angle_share) * distance / reach + limits.angle_share * turn + limits.gap_cost * (gap[:, None] - 1)
+    return np.where((gap[:, None] > 0) & (distance <= reach) & (cost <= limits.most), cost, np.inf)
 
 
 def link_tips(tips: DataFrame, plant: list[str], frame: str = "frame", limits: TipLinks = TipLinks(), method: str = "optimal") -> DataFrame:
@@ -93,23 +86,20 @@ def link_tips(tips: DataFrame, plant: list[str], frame: str = "frame", limits: T
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([frame, "tip_id"]).reset_index(drop=True)
         track = np.zeros(len(rows), int)
-        active: list[dict] = []
-        tracks = 0
+        place = rows[["x", "y", "angle"]].to_numpy(float)
+        when = rows[frame].to_numpy()
+        active = np.zeros(0, int)  # the last row of each track that may go on
         for f, group in rows.groupby(frame, sort=True):
-            now = [{"x": r.x, "y": r.y, "angle": r.angle, "row": r.Index} for r in group.itertuples()]
-            active = [a for a in active if f - a["frame"] <= limits.gap]
-            cost = _tip_cost(active, now, f, limits)
+            now = group.index.to_numpy()
+            active = active[f - when[active] <= limits.gap]
+            cost = _tip_cost(place[active], place[now], f - when[active], limits)
             pairs = assignment(cost) if method == "optimal" else greedy(cost)
-            taken = dict((j, i) for i, j in pairs)
-            for j, tip in enumerate(now):
-                if j in taken:
-                    number = active[taken[j]]["track"]
-                    active[taken[j]] = {**tip, "frame": f, "track": number}
-                else:
-                    tracks += 1
-                    number = tracks
-                    active.append({**tip, "frame": f, "track": number})
-                track[tip["row"]] = number
+            before, after = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+            track[now[after]] = track[active[before]]
+            new = np.setdiff1d(np.arange(len(now)), after)
+            track[now[new]] = track.max(initial=0) + 1 + np.arange(len(new))
+            active[before] = now[after]
+            active = np.concatenate([active, now[new]])
         return rows[columns].assign(track=track)
 
     return tips.select(*columns).groupBy(*plant).applyInPandas(link, fields)
@@ -135,24 +125,23 @@ def link_branches(branches: DataFrame, plant: list[str], frame: str = "frame", m
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([frame, "branch_id"]).reset_index(drop=True)
         track = np.zeros(len(rows), int)
-        last: dict[int, tuple[int, int]] = {}
+        base, tip = rows[["base_x", "base_y"]].to_numpy(float), rows[["tip_x", "tip_y"]].to_numpy(float)
+        when = rows[frame].to_numpy()
+        last = np.zeros(0, int)  # the last row of each track, in order of their numbers
         for f, group in rows.groupby(frame, sort=True):
-            open_tracks = [t for t, (when, _) in last.items() if 0 < f - when <= gap]
-            cost = np.full((len(open_tracks), len(group)), np.inf)
-            for i, t in enumerate(open_tracks):
-                when, k = last[t]
-                a = rows.loc[k]
-                for j, b in enumerate(group.itertuples()):
-                    base = np.hypot(a.base_x - b.base_x, a.base_y - b.base_y) / reach
-                    tip = np.hypot(a.tip_x - b.tip_x, a.tip_y - b.tip_y) / (reach * (f - when))
-                    c = 0.6 * base + 0.4 * tip
-                    if c <= most:
-                        cost[i, j] = c
-            taken = {j: open_tracks[i] for i, j in greedy(cost)}
-            for j, k in enumerate(group.index):
-                t = taken.get(j) or len(last) + 1
-                last[t] = (f, k)
-                track[k] = t
+            now = group.index.to_numpy()
+            ago = f - when[last]
+            open_tracks = np.flatnonzero((ago > 0) & (ago <= gap))
+            from_rows = last[open_tracks]
+            far = lambda at: np.hypot(*(at[from_rows][:, None] - at[now][None]).transpose(2, 0, 1)) / reach  # noqa: E731, B023
+            cost = 0.6 * far(base) + 0.4 * far(tip) / ago[open_tracks][:, None]
+            pairs = greedy(np.where(cost <= most, cost, np.inf))
+            before, after = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+            new = np.setdiff1d(np.arange(len(now)), after)
+            track[now[after]] = open_tracks[before] + 1
+            track[now[new]] = len(last) + 1 + np.arange(len(new))
+            last[open_tracks[before]] = now[after]
+            last = np.concatenate([last, now[new]])
         return rows[columns].assign(track=track)
 
     return branches.select(*columns).groupBy(*plant).applyInPandas(link, fields)

@@ -45,8 +45,8 @@ def clean_text(c: Column | str) -> Column:
     return F.when(F.lower(text).isin(*MISSING_WORDS), "").otherwise(text)
 
 
-def timestamp(c: Column | str, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")) -> Column:
-    """TIMESTAMP_NTZ by the first format that fits, else null."""
+def timestamp(c: Column | str, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd")) -> Column:
+    """TIMESTAMP_NTZ by the first format that fits, else null; fractions of a second are kept."""
     text = (F.col(c) if isinstance(c, str) else c).cast("string")
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats))
 

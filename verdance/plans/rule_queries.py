@@ -263,7 +263,7 @@ def manifest_rows(spark, d):
 def _mask_totals(spark, d):
     f = frames(spark, d)
     return f.select(
-        F.col("series").alias("Series"), F.col("petri").alias("PetriDish"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
+        F.col("series").alias("Series"), F.col("petri").alias("PetriDish"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"),
         F.when(F.col("k") % 7 > 0, F.col("frame_index").cast("string")).otherwise("none").alias("FrameIndex"), F.col("event_id").alias("SourceFile"), F.col("event_id").alias("OutputMaskPath"),
         F.when(F.col("k") % 9 > 0, F.col("total_mm").cast("string")).otherwise("nan").alias("total_root_length_mm"), F.col("primary_mm").alias("primary_root_length_mm"),
         F.col("k").alias("shoot_seed_pixels_class_2"), F.lit(0.5).alias("pixel_size_mm"), F.col("bbox_x").alias("measured_mask_pixels"),

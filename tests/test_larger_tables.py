@@ -1,10 +1,13 @@
 """Queries on small tables made like larger ones: busy plates, ties, crowded frames."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from verdance.functions import coerce
+from verdance.operators import rollups
 from verdance.plans import catalog
 
 START = dt.datetime(2024, 1, 1)
@@ -35,3 +38,16 @@ def test_frames_within_a_second_keep_their_order(spark, compare):
     texts = spark.createDataFrame([("2024-01-01 00:00:00.25",), ("2024-01-01T00:00:00.000001",), ("2024-01-01 00:00:00",), ("2024-01-01",), ("x",)], "t string")
     parsed = [r[0] for r in texts.select(coerce.timestamp("t")).collect()]
     assert parsed == [at(250), START + dt.timedelta(microseconds=1), START, START, None]
+
+
+def test_sums_are_rounded_like_sql(spark, compare):
+    rng = random.Random(2)
+    events = [(i, START + dt.timedelta(seconds=i), i % 40, "view", rng.randrange(56000) / 100, 1) for i in range(2400)]
+    got, want = compare("metric_modes", events)
+    assert got == want and len(got) == 80
+    values = spark.createDataFrame([(1.005, 1), (1.015, 1), (2.675, 1), (-0.125, 1), (2.5, 1)], "v double, k int")
+    want = [float(r[0]) for r in duckdb.sql("select round(v, 2) from (values (1.005::double), (1.015), (2.675), (-0.125), (2.5)) t(v)").fetchall()]
+    assert [r[0] for r in values.select(coerce.rounded(F.col("v"), 2)).collect()] == want
+    terms = spark.createDataFrame([(1, 1e16), (2, 1.0), (3, -1e16), (4, None)], "at int, v double").orderBy(F.desc("at"))
+    assert terms.agg(rollups.ordered_sum(F.col("v"), F.col("at"))).first()[0] == 0.0
+    assert terms.where("v is null").agg(rollups.ordered_sum(F.col("v"), F.col("at"))).first()[0] is None

@@ -31,6 +31,12 @@ def whole_or(c: Column | str, default: int) -> Column:
     return F.coalesce(F.bround(number(c)).try_cast("int"), F.lit(default))
 
 
+def rounded(v: Column, places: int) -> Column:
+    """A DOUBLE rounded half away from zero by its binary value, as engines of SQL round; ``F.round`` goes by the shortest decimal text that stands for it."""
+    scale = F.lit(10.0**places)
+    return F.round(v * scale) / scale
+
+
 def flag(c: Column | str, rule: str = "validity", default: bool = False) -> Column:
     """A BOOLEAN by the words of ``rule``; the rule ``cell`` gives ``default`` for words that it doesn't know."""
     word = F.lower(F.trim((F.col(c) if isinstance(c, str) else c).cast("string")))

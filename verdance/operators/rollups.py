@@ -15,6 +15,12 @@ def last_known(v: Column, order: Column) -> Column:
     return F.max_by(v, F.when(v.isNotNull(), order))
 
 
+def ordered_sum(v: Column, order: Column) -> Column:
+    """The sum of the known values added in ``order``, so that its last bits are the same in every run; null without any."""
+    terms = F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(order.alias("at"), v.cast("double").alias("v")))))
+    return F.when(F.size(terms) > 0, F.aggregate(terms, F.lit(0.0), lambda total, term: total + term["v"]))
+
+
 def metric_columns(metric: str, order: Column) -> list[Column]:
     """First, final and largest value of a metric and its change from first to final."""
     v = F.col(metric)

@@ -298,7 +298,8 @@ def metric_modes(spark, d):
     out = None
     for mode in ("no such mode", " Primary "):
         detail = exports.mask_total_bundle(rows, mode, ["PetriDish"], F.struct("Timestamp", "SourceFile"))["detail"]
-        part = detail.groupBy(F.col("selected_root_metric_mode").alias("mode"), F.lit("frames").alias("part"), F.col("PetriDish").alias("petri")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("selected_root_length_mm"), 2).alias("length"))
+        length = rollups.ordered_sum(F.col("selected_root_length_mm"), F.col("SourceFile"))
+        part = detail.groupBy(F.col("selected_root_metric_mode").alias("mode"), F.lit("frames").alias("part"), F.col("PetriDish").alias("petri")).agg(F.count(F.lit(1)).alias("n"), coerce.rounded(length, 2).alias("length"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -4,10 +4,11 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from verdance.functions import coerce
-from verdance.operators import rollups
+from verdance.operators import rollups, tracking
 from verdance.plans import catalog
 
 START = dt.datetime(2024, 1, 1)
@@ -51,3 +52,39 @@ def test_sums_are_rounded_like_sql(spark, compare):
     terms = spark.createDataFrame([(1, 1e16), (2, 1.0), (3, -1e16), (4, None)], "at int, v double").orderBy(F.desc("at"))
     assert terms.agg(rollups.ordered_sum(F.col("v"), F.col("at"))).first()[0] == 0.0
     assert terms.where("v is null").agg(rollups.ordered_sum(F.col("v"), F.col("at"))).first()[0] is None
+
+
+def test_groups_of_touching_boxes_against_brute_force(spark):
+    rng = random.Random(3)
+    columns, everything = "frame int, plant string, bbox_x double, bbox_y double, bbox_w double, bbox_h double", []
+    for frame in range(12):
+        step = rng.choice([1.0, 0.25])
+        for _ in range(40):
+            x, y, w, h = (rng.randrange(round(most / step)) * step for most in (60, 60, 9, 14))
+            everything.append((frame, rng.choice([f"p{rng.randrange(60):02}", None, f"q{rng.randrange(10**6)}"]), x, y, w, h))
+    want = set()
+    for frame in range(12):
+        known = [r for r in everything if r[0] == frame and r[1] is not None and r[4] > 0 and r[5] > 0]
+        label = {r[1]: r[1] for r in known}
+        pairs = [(a[1], b[1]) for a in known for b in known if a[1] < b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]]
+        for _ in label:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        sizes = [*label.values()]
+        want |= {(frame, p, g, sizes.count(g)) for p, g in label.items() if sizes.count(g) > 1}
+    boxes = spark.createDataFrame(everything, columns)
+    got = [tuple(r) for r in tracking.conflict_groups(boxes, ["frame"], "plant").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert tracking.conflict_groups(boxes.limit(0), ["frame"], "plant").count() == 0
+
+
+def test_a_crowded_frame_makes_no_pairs():
+    n = 100_000
+    i = np.arange(n)
+    x, y = (i % 97).astype(float), (i % 89).astype(float)
+    assert not tracking.touching_components(x, y, x + 6, y + 4, i).any()
+
+
+def test_crowded_frames_make_no_join(spark):
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 2, 2)], "frame int, plant int, bbox_x int, bbox_y int, bbox_w int, bbox_h int")
+    assert "Join" not in tracking.conflict_groups(boxes, ["frame"], "plant")._jdf.queryExecution().toString()

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import Box
+
 
 @dataclass(frozen=True)
 class TipLinks:
@@ -147,35 +149,65 @@ def link_branches(branches: DataFrame, plant: list[str], frame: str = "frame", m
     return branches.select(*columns).groupBy(*plant).applyInPandas(link, fields)
 
 
+def touching_components(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """For each box the least box that it reaches through boxes that overlap; boxes of one number in ``same`` belong together.
+
+    Boxes enter from left to right. Each strip between two neighbouring edges remembers the box of those that cover it which ends last: if that one
+    has ended, so have all others, and if not, all that still lie there are joined with it already. So no pair is written down.
+    """
+    n = len(left)
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def join(i: int, j: int) -> None:
+        i, j = root(i), root(j)
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+
+    edges = np.unique(np.concatenate([top, bottom]))
+    first, end = np.searchsorted(edges, top).tolist(), np.searchsorted(edges, bottom).tolist()
+    enters, ends = left.tolist(), right.tolist()
+    latest, until = [0] * len(edges), [float("-inf")] * len(edges)
+    for i in np.argsort(left, kind="stable").tolist():
+        x, stop, met = enters[i], ends[i], -1
+        for strip in range(first[i], end[i]):
+            if until[strip] > x and latest[strip] != met:
+                met = latest[strip]
+                join(i, met)
+            if until[strip] < stop:
+                latest[strip], until[strip] = i, stop
+    order = np.argsort(same, kind="stable")
+    for i, j in zip(order[:-1][same[order][1:] == same[order][:-1]].tolist(), order[1:][same[order][1:] == same[order][:-1]].tolist(), strict=True):
+        join(i, j)
+    return np.array([root(i) for i in range(n)], int)
+
+
 def conflict_groups(boxes: DataFrame, frame: list[str], plant: str) -> DataFrame:
     """``*frame, plant, group, size``: plants whose boxes touch, directly or through others, in one frame; the group is its least plant.
 
-    Labels spread along touching pairs; a frame holds few plants, so a fixed number of rounds by pointer doubling
-    is replaced by closing the pairs of one frame in one task for each frame.
+    One task for each frame sweeps over its boxes without making pairs: time and memory grow with boxes (and the edges that a tall one crosses).
     """
-    from .joins import touching_pairs
-
-    pairs = touching_pairs(boxes, frame, plant)
+    box = Box.of()
     kind = boxes.schema[plant].dataType.simpleString()
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.select(*frame).schema), f"`{plant}` {kind}, `group` {kind}, size int"])
+    sides = ["__left", "__top", "__right", "__bottom"]
 
     def close(rows: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        for a, b in sorted(zip(rows["a"], rows["b"], strict=True)):
-            a, b = sorted((root(a), root(b)))
-            parent[b] = a
-        members = sorted(parent)
-        groups = [root(m) for m in members]
-        sizes = pd.Series(groups).value_counts()
-        return pd.DataFrame({**{c: rows[c].iloc[0] for c in frame}, plant: members, "group": groups, "size": [int(sizes[g]) for g in groups]})
-
-    return pairs.groupBy(*frame).applyInPandas(close, fields)
+        rows = rows[np.isfinite(rows[sides].to_numpy(float)).all(axis=1)].sort_values(plant, kind="stable")
+        name = rows[plant].to_numpy()
+        number = np.cumsum(np.concatenate([[False], name[1:] != name[:-1]])[: len(name)])  # of the plant, in order
+        group = number[touching_components(*(rows[c].to_numpy(float) for c in sides), number)]
+        once = np.flatnonzero(np.concatenate([[True], np.diff(number) > 0])[: len(name)])
+        size = np.bincount(group[once], minlength=len(once))[group[once]]
+        shown = once[size > 1]
+        return pd.DataFrame({**{c: rows[c].iloc[shown] for c in frame}, plant: name[shown], "group": name[once[group[shown]]], "size": size[size > 1]})
+
+    known = boxes.where(box.exists).dropna(subset=[*frame, plant]).select(*frame, plant, *(v.alias(c) for c, v in zip(sides, (box.x, box.y, box.x + box.w, box.y + box.h), strict=True)))
+    return known.groupBy(*frame).applyInPandas(close, fields)
 
 
 def conflict_timeline(pairs: DataFrame, plate: list[str], frame: str) -> DataFrame:

@@ -30,8 +30,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE_MODEL = 1, 2
 #: Characters encoded in one call; bounds the memory that the library's results take.
 CALL_CHARS = 1 << 19
-#: A word with the marked spaces before it, and different words kept with their ids.
-WORDS, KNOWN_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"), 500_000
+#: A word with the marked spaces before it, different words kept with their ids, and new words joined for one call of the library.
+WORDS, KNOWN_WORDS, JOINED_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"), 150_000, 100
 #: Threads of the library in one Python worker; more than the cores of an executor only wait for each other.
 THREADS = 2
 
@@ -187,21 +187,39 @@ class Encoder:
             within = _byte_cut(model)
             self.tokenizer.normalizer = normalizers.Sequence([])
             self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(within), "isolated")] if within else [])
-        self.known: dict[str, list[int]] = {}
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # Where every marked space is a piece's own start, such pieces tell where joined words begin.
+        marked = [piece.startswith(MARK) and kind == NORMAL for piece, _, kind in model.pieces]
+        self.starts = np.array(marked) if self.by_word and model.model_type == BPE_MODEL and (MARK, NORMAL) in {(p, kind) for p, _, kind in model.pieces} else None
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of 32-bit numbers."""
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of one marked space and more are joined: no piece runs on past a space, so they keep their own pieces."""
+        single, rest = [], words if self.starts is None else []
+        for w in words if self.starts is not None else ():
+            (single if w[0] == MARK and w[1:2] not in ("", MARK) else rest).append(w)
+        for at in range(0, len(single), KNOWN_WORDS):
+            some = single[at : at + KNOWN_WORDS]
+            data = b"".join(self._library(["".join(some[k : k + JOINED_WORDS]) for k in range(0, len(some), JOINED_WORDS)]))
+            cuts = [*(4 * np.flatnonzero(self.starts[np.frombuffer(data, np.int32)])).tolist(), len(data)]
+            self.known.update((w, data[a:b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
+        self.known.update(zip(rest, self._library(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._library(texts)
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         words = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({w for some in words for w in some if w not in self.known})
-        self.known.update(zip(new, self._library(new), strict=True))
+        self._learn(list({w for some in words for w in some if w not in self.known}))
         known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, some))) for some in words]
+        return [b"".join(map(known, some)) for some in words]
 
 
 def piece_bytes(model: PieceModel) -> list[bytes]:
@@ -228,6 +246,14 @@ def decode_ids(ids: list[int], table: list[bytes], add_dummy_prefix: bool) -> st
     return joined([table[i] for i in ids], add_dummy_prefix)
 
 
+def _round_trips(ids: np.ndarray, offsets: np.ndarray, texts: list[str], table: pa.Array, add_dummy_prefix: bool) -> list[bool]:
+    """Whether the ids between two offsets decode to their text."""
+    pieces = table.take(pa.array(ids))
+    ends = np.frombuffer(pieces.buffers()[1], np.int32)[offsets].tolist() if len(ids) else [0] * len(offsets)
+    data = pieces.buffers()[2].to_pybytes() if len(ids) else b""
+    return [joined([data[a:b]], add_dummy_prefix) == t for a, b, t in zip(ends, ends[1:], texts, strict=False)]
+
+
 def _calls(texts: list[str]) -> Iterator[list[str]]:
     call, size = [], 0
     for t in texts:
@@ -247,7 +273,7 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
     """
     os.environ["RAYON_NUM_THREADS"] = str(THREADS)  # read when the library first starts its threads
     parsed = parse_model(model_bytes)
-    encoder, table = Encoder(parsed), np.array(piece_bytes(parsed), object)
+    encoder, table = Encoder(parsed), pa.array(piece_bytes(parsed), pa.binary())
     judge = None
     if verify:
         import sentencepiece
@@ -256,22 +282,20 @@ def encode_batches(model_bytes: bytes, batches: Iterator[pa.RecordBatch], verify
     for batch in batches:
         start = 0
         for call in _calls([t or "" for t in batch.column(1).to_pylist()]):
-            ids = encoder.encode(call)
-            lengths = np.array([len(x) for x in ids], np.int32)
+            ids = encoder.encode_bytes(call)
             parity: list[bool | None] = [None] * len(call)
             if judge is not None:
                 n = len(call) if verify < 0 else min(verify, len(call))
-                parity[:n] = [a == b for a, b in zip(ids, judge.encode(call[:n], num_threads=1), strict=False)]
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            pieces, ends = table[flat].tolist(), offsets.tolist()
-            back = [joined(pieces[a:b], parsed.add_dummy_prefix) for a, b in zip(ends, ends[1:], strict=False)]
+                parity[:n] = [a == judge.encode_as_numpy(t).astype(np.int32, copy=False).tobytes() for a, t in zip(ids, call[:n], strict=False)]
+            flat = np.frombuffer(b"".join(ids), np.int32)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+            lengths = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(start, len(call)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     pa.array(lengths),
-                    pa.array([a == b for a, b in zip(back, call, strict=True)]),
+                    pa.array(_round_trips(flat, offsets, call, table, parsed.add_dummy_prefix)),
                     pa.array(parity, pa.bool_()),
                 ],
                 ["doc_id", "ids", "n_ids", "round_trip", "parity"],

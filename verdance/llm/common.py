@@ -65,6 +65,8 @@ class Scratch:
         place = f"{self.folder}/{self.written}"
         self.written += 1
         df.write.parquet(place)
+        # What the driver holds of it and its shuffle files go now, not when the driver happens to be short of heap.
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(place), place
 
     def drop(self, place: str | None = None) -> None:

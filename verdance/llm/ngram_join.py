@@ -354,9 +354,10 @@ def _rarest(postings: DataFrame, percent: int) -> DataFrame:
     return placed.where(F.col("place") <= F.col("m") - least_shared(F.col("n"), percent) + 1).select("ord", "token", "d1", "n", "df")
 
 
-def _own(rarest: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``block``: those of which two classes have a token of one order in common."""
-    return rarest.join(blocks.select("d1", "block").distinct(), "d1").groupBy("token", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block").distinct()
+def _own(rarest: DataFrame, blocks: DataFrame, orders: list[int]) -> DataFrame:
+    """``block``: those of which, under every order, two classes have a token in common."""
+    each = rarest.join(blocks.select("d1", "block").distinct(), "d1").groupBy("ord", "token", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return each.groupBy("block").agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("seen")).where(F.col("seen") == sum(1 << which for which in orders)).select("block")
 
 
 def _unit_pairs(rarest: DataFrame, units: DataFrame) -> DataFrame:
@@ -445,9 +446,7 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
             return out[0].unionAll(out[1])
 
         # Within blocks, and the parts of split ones with one class that stands for all of them.
-        own = _own(rarest, blocks)
-        for which in range(1, ORDERS):
-            own = own.join(_own(order(which), blocks), "block", "left_semi")
+        own = _own(rarest.unionAll(later), blocks, list(range(ORDERS)))
         split = blocks.where("split")
         own = own.unionAll(split.select("block")).distinct()
         hubs = split.groupBy("home").agg(F.min(F.struct("id", "d1", "block")).alias("hub"))

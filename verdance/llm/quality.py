@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, ship_by_value, text_slices
+from .common import map_arrow, release_memory, ship_by_value, text_slices
 from .linear import ftrl, labelled_ids, remainder, sample, sigmoid
 from .textkernel import SPACE, mix, words
 
@@ -129,6 +129,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     score of the bias; repeated rows get equal scores; an empty table gives no rows; a null id is kept.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows, text, row_id).astype(np.float32))
+    release_memory()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,6 +148,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     of both kinds all rows stay, or none if all labels are 0.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows).astype(np.float32))
+    release_memory()
     place = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

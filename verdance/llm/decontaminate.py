@@ -43,6 +43,8 @@ LONG_WORD, UNSPACED = 24, 0x0E00
 LEAST_CHARS = 10
 #: Bits of a run's hash; runs of items looked up at once; votes held at once.
 BITS, PART_RUNS, VOTES = 20, 1 << 17, 4_000_000
+#: Characters of the runs that a piece of text must share with an item before their edit distance is taken.
+GRAM = 3
 #: Items and their characters sent to the executors at once; bytes of text worked on at once.
 BLOCK_ITEMS, BLOCK_CHARS, SLICE = 4096, 400_000, 1 << 20
 
@@ -99,6 +101,8 @@ class Item:
     edits: int
     votes: int
     masks: dict[str, int]
+    grams: list[str]
+    shared: int
 
 
 class Part:
@@ -201,9 +205,9 @@ def embed(kinds: np.ndarray, starts: np.ndarray, walk: int, steps: int, ends: np
     return out, within
 
 
-def samples(emitted: np.ndarray, coordinates: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The last coordinate and the hashes of each sample, a sample being two of the halves."""
-    halves = []
+def halves(emitted: np.ndarray, coordinates: np.ndarray) -> list[np.ndarray]:
+    """The hashes of each half sample."""
+    out = []
     for places in coordinates:
         h = emitted[places[0]].copy()
         for k in places[1:]:
@@ -211,10 +215,15 @@ def samples(emitted: np.ndarray, coordinates: np.ndarray) -> Iterator[tuple[int,
             h += emitted[k]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
-        halves.append(h)
+        out.append(h)
+    return out
+
+
+def samples(parts: list[np.ndarray], coordinates: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The last coordinate and the hashes of each sample, a sample being two of the halves."""
     for i in range(HALVES):
         for j in range(i):
-            h = halves[i] * np.uint32(0x9E3779B1) + halves[j]
+            h = parts[i] * np.uint32(0x9E3779B1) + parts[j]
             yield int(max(coordinates[i][-1], coordinates[j][-1])), h ^ (h >> np.uint32(16))
 
 
@@ -244,12 +253,21 @@ class Windows:
         #: Of the hashes of a text, all but one in thirty or so that are none of the items' are ruled out by their first bits.
         self.bits = min(max(int(starts.size * 32).bit_length(), 12), 20)
         self.tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+        #: A window agrees in a sample only if both its halves are some item's: small tables of halves rule out most windows before any sample is made.
+        self.half_bits = min(max(int(starts.size * 16).bit_length(), 12), 18)
+        self.sieves: list[list[np.ndarray]] = []
         for w in range(self.walks):
             emitted, within = embed(kinds, starts, w, self.steps, starts - self.offsets + self.chars)
             self.emitted.append((emitted >> np.uint32(24)).astype(np.uint8))
             self.within.append(within)
-            tables = []
-            for last, h in samples(emitted, self.coordinates[w]):
+            tables, sieves = [], []
+            parts = halves(emitted, self.coordinates[w])
+            for places, h in zip(self.coordinates[w], parts, strict=True):
+                sieve = np.zeros(1 << self.half_bits, np.uint8)
+                sieve[h[within > places[-1]] >> np.uint32(32 - self.half_bits)] = 1
+                sieves.append(sieve)
+            self.sieves.append(sieves)
+            for last, h in samples(parts, self.coordinates[w]):
                 whole = np.flatnonzero(within > last)
                 order = whole[np.argsort(h[whole], kind="stable")]
                 maybe = np.zeros(1 << self.bits, bool)
@@ -259,11 +277,19 @@ class Windows:
 
     def agreeing(self, emitted: np.ndarray, walk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``(window, entry)``: windows of a text, by what the walk emits from them, that are candidates for windows of items."""
-        for (_, h), (hashes, entries, maybe) in zip(samples(emitted, self.coordinates[walk]), self.tables[walk], strict=True):
+        parts = halves(emitted, self.coordinates[walk])
+        known = np.zeros(emitted.shape[1], np.uint8)
+        for h, sieve in zip(parts, self.sieves[walk], strict=True):
+            known += sieve.take(h >> np.uint32(32 - self.half_bits))
+        left = np.flatnonzero(known > 1)
+        parts = [h[left] for h in parts]
+        for (_, h), (hashes, entries, maybe) in zip(samples(parts, self.coordinates[walk]), self.tables[walk], strict=True):
             hit = np.flatnonzero(maybe.take(h >> np.uint32(32 - self.bits)))
+            if not len(hit):
+                continue
             low, high = np.searchsorted(hashes, h[hit]), np.searchsorted(hashes, h[hit], "right")
             found = np.flatnonzero(high > low)
-            hit, low, counts = hit[found], low[found], (high - low)[found]
+            hit, low, counts = left[hit[found]], low[found], (high - low)[found]
             done = np.cumsum(counts)
             a = 0
             while a < len(hit):  # bounded pieces, whatever is repeated
@@ -294,7 +320,7 @@ class ItemIndex:
             if not n or n < LEAST_CHARS and len(text.split()) < 4:
                 continue
             q, votes = short_plan(n, similarity)
-            item = Item(i, text, allowed(n, similarity), votes, places_of(text))
+            item = Item(i, text, edits := allowed(n, similarity), votes, places_of(text), grams_of(text), n - GRAM + 1 - edits * GRAM)
             if n >= SHORT:
                 classes[max(k for k, (least, *_) in enumerate(CLASSES) if n >= least)].append((len(self.items), item))
             else:
@@ -320,7 +346,7 @@ class ItemIndex:
             mine = starts[a : a + WINDOWS]
             piece = kinds[mine[0] : mine[-1] + steps]
             for walk in range(max(x.walks for x in self.windows)):
-                emitted, _ = embed(piece, mine - mine[0], walk, steps)
+                emitted, _ = embed(piece, mine - mine[0], walk, max(x.steps for x in self.windows if walk < x.walks))
                 for k, x in enumerate(self.windows):
                     for window, entry in x.agreeing(emitted, walk) if walk < x.walks else ():
                         if len(window):
@@ -348,6 +374,16 @@ def places_of(item: str) -> dict[str, int]:
     return masks
 
 
+def grams_of(text: str) -> list[str]:
+    """The runs of ``GRAM`` characters at all places."""
+    return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+
+def may_hold(item: Item, text: str) -> bool:
+    """Whether ``text`` has as many runs of the item as no allowed edits can take away: an edit takes ``GRAM`` of them at most."""
+    return item.shared <= 0 or sum(map(set(grams_of(text)).__contains__, item.grams)) >= item.shared
+
+
 def fit_distance(item: str, text: str, most: int, masks: dict[str, int] | None = None) -> int:
     """The least edit distance between ``item`` and any piece of ``text``, or ``most + 1`` if that is larger.
 
@@ -400,8 +436,8 @@ def leaks(data: np.ndarray, offsets: np.ndarray, index: ItemIndex, first_only: b
         r = bisect.bisect_left(ends, first)
         while r < len(ends) and (begin := ends[r - 1] + 1 if r else 0) < last:
             if not (first_only and r in done or best.get((r, k)) == 0):
-                distance = fit_distance(item.text, text[max(first, begin) : min(last, ends[r])], item.edits, item.masks)
-                if distance <= item.edits:
+                piece = text[max(first, begin) : min(last, ends[r])]
+                if may_hold(item, piece) and (distance := fit_distance(item.text, piece, item.edits, item.masks)) <= item.edits:
                     best[r, k] = min(distance, best.get((r, k), distance))
                     done.add(r)
             r += 1

@@ -11,12 +11,15 @@ only what passes all filters is verified:
 3. of what a class shares only its rarest tokens are needed, as many as are sure to hold one of those in common. Classes form
    blocks by the most common of them; large ones are split into parts;
 4. blocks are compared within themselves, parts of a split one also with one class that stands for all parts. Blocks that are of one
-   component by then count as one, and of two of these that meet one block each is compared first: what is linked already is not compared again, so a
-   group of near copies takes time in proportion to its size;
-5. blocks (or components) that share a token under every order are paired. The sets of a pair's classes are sent once; of their pairs, those
-   that share enough prefix tokens under every order are verified. What each comparison connects goes on to the connected components as a star.
-
-No step expands the pairs of a group: groups meet as pairs of blocks of bounded size, whatever token or copy they share.
+   component by then count as one unit, any other block as a unit of its own: what is linked already is not compared again, so a group of
+   near copies takes time in proportion to its size;
+5. units that share a token under every order are paired. They are sent in tiles: those that meet the same large unit lie together, and a component of
+   many blocks is cut into tiles of its own, of which one goes first. A set is sent once for each pair of tiles, however many units it meets
+   there; of the pairs of sets, those that share enough prefix tokens under every order are verified. What each comparison connects goes on
+   to the connected components as a star.
+
+No step expands the pairs of a group. Tiles grow with the root of a group beyond ``TILE_COUNT`` of them, so what is sent of a group of ``g`` classes without links
+among them grows less than with its square, as ``g ** 1.5``; within a task tiles are compared piece by piece.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ SLICE, COUNTED_TOKENS, FREQUENT, FREQUENT_SHARE = 1 << 20, 4_000_000, 4, 1 / 500
 MOST_FREQUENT, BROADCAST_IDS = 1 << 20, 1_000_000
 #: Classes in a block at most, on average. Pairs of blocks are compared in dense columns of so many tokens.
 BLOCK, COLUMNS = 64, 8192
+#: Classes in a tile, on average, until so many tiles of one key are reached (beyond, tiles and their number grow alike), and tokens in a tile.
+TILE, TILE_COUNT, TILE_TOKENS = 256, 16, 1 << 21
+#: Classes, and tokens, that are compared at once with as many others.
+PIECE, PIECE_TOKENS = 128, 1 << 20
 ORDERS = 3
 #: Classes of a frequent token that are dealt together, about.
 HOT = 100_000
@@ -305,8 +312,21 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _pieces(sets: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, np.ndarray]]]:
+    """Runs of ``PIECE`` sets and ``PIECE_TOKENS`` tokens at most; a larger set comes alone."""
+    out: list[list[tuple[int, np.ndarray]]] = []
+    total = 0
+    for x in sets:
+        total += len(x[1])
+        if not out or len(out[-1]) >= PIECE or total > PIECE_TOKENS:
+            out.append([])
+            total = len(x[1])
+        out[-1].append(x)
+    return out
+
+
 def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int, orders: Orders) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pair of blocks ``(p, q, side, id, tokens)``; a pair may go on in the next batch."""
+    """Rows sorted by pair of blocks or tiles ``(p, q, side, id, tokens)``; a pair may go on in the next batch."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     key: tuple[str, str] | None = None
     sides: list[list[tuple[int, np.ndarray]]] = [[], []]
@@ -314,10 +334,12 @@ def _compare_pairs(batches: Iterator[pa.RecordBatch], percent: int, orders: Orde
 
     def finish() -> None:
         if key is not None and sides[0]:
-            if key[0] == key[1]:
-                out.extend(compare(sides[0], None, percent, orders))
-            elif sides[1]:
-                out.extend(compare(sides[0], sides[1], percent, orders))
+            left, right = _pieces(sides[0]), _pieces(sides[1])
+            for i, piece in enumerate(left):
+                if key[0] == key[1]:
+                    out.extend(compare(piece, None, percent, orders))
+                for other in left[i + 1 :] if key[0] == key[1] else right:
+                    out.extend(compare(piece, other, percent, orders))
 
     for batch in batches:
         p, q, side, ids = (batch.column(i).to_pylist() for i in range(4))
@@ -377,7 +399,42 @@ def _units(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.withColumn("block", F.when(F.col("split") & several, F.concat("block", F.lit("="), F.col("component").cast("string"))).otherwise(F.col("block")))
     pure = known.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     unit = F.when(F.col("low") == F.col("high"), F.concat(F.lit("="), F.col("low").cast("string"))).otherwise(F.col("block"))
-    return known.join(pure, "block").withColumn("unit", unit)
+    return known.join(pure, "block").withColumn("unit", unit).drop("low", "high")
+
+
+def _apart(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """``p, q`` and ``c, tokens, several`` of both units: the pairs but those within one block, which has been compared. ``several``: blocks, more than one."""
+    of_unit = units.groupBy("unit").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("tokens"), F.min("base").alias("base"), F.max("base").alias("top"))
+    side = lambda s: of_unit.select(F.col("unit").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in ("c", "tokens", "base")), (F.col("base") != F.col("top")).alias(f"several_{s}"))
+    return pairs.join(side("p"), "p").join(side("q"), "q").where("several_p OR several_q OR base_p <> base_q").drop("base_p", "base_q")
+
+
+def _tiled(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """``id, d1, n, component, unit, tile`` of the classes of units that meet others.
+
+    A unit of several blocks has tiles of its own, by class. Another goes whole to one of the tiles that belong to the largest unit it meets, so that units that
+    meet the same ones lie together.
+    """
+    end = lambda s, o: pairs.select(F.col(s).alias("unit"), *(F.col(f"{x}_{s}").alias(x) for x in ("c", "tokens", "several")), F.struct(f"c_{o}", o).alias("other"))
+    of_unit = end("p", "q").unionAll(end("q", "p").toDF("unit", "c", "tokens", "several", "other"))
+    of_unit = of_unit.groupBy("unit", "c", "tokens", "several").agg(F.max("other").alias("other"))
+    host = F.col("other").getField("q")
+    of_unit = of_unit.select("unit", "c", "tokens", "several", F.when(F.col("several"), F.col("unit")).otherwise(F.concat(F.lit(">"), host)).alias("key"))
+    share = F.sum("c") / TILE
+    tiles = F.ceil(F.greatest(F.least(share, F.sqrt(share * TILE_COUNT)), F.sum("tokens") / TILE_TOKENS))
+    of_unit = of_unit.join(of_unit.groupBy("key").agg(tiles.alias("tiles")), "key").select("unit", "key", "several", "tiles")
+    dealt = F.pmod(F.when(F.col("several"), F.xxhash64("d1")).otherwise(F.xxhash64("unit")), "tiles")
+    return units.join(of_unit, "unit").select("id", "d1", "n", "component", "unit", F.concat_ws("/", "key", dealt.cast("string")).alias("tile"))
+
+
+def _sent(members: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """``id, d1, p, q, side``: for each pair of tiles the classes whose size suits some size on the other side, and that aren't of one component with all of it."""
+    end = lambda s, o: met.select(F.col(s).alias("unit"), F.col(f"tile_{s}").alias("tile"), F.col(f"tile_{o}").alias("with"), *(F.col(f"{x}_{o}").alias(x) for x in ("least", "most", "low", "high")))
+    others = end("p", "q").unionAll(end("q", "p")).groupBy("unit", "tile", "with").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
+    suits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+    linked = (F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))
+    sides = (F.least("tile", "with").alias("p"), F.greatest("tile", "with").alias("q"), F.when(F.col("tile") <= F.col("with"), 0).otherwise(1).alias("side"))
+    return others.join(members, ["unit", "tile"]).where(suits & ~linked).select("id", "d1", *sides)
 
 
 def _joined(units: DataFrame, links: DataFrame) -> DataFrame:
@@ -423,27 +480,19 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
             links, _ = scratch.keep(map_arrow(dealt, lambda b: _compare_pairs(b, percent, orders.value), "a long, b long"))
             return links
 
-        def between(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-            """The units that known components make, and the pairs of their blocks that may hold further links: ``p, q`` and what is known of both blocks."""
+        def between(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+            """The units that known components make, their classes by tile, and what may hold further links: ``p, q``, a tile of each and what is known of both."""
             units, _ = scratch.keep(_units(blocks, labels))
             pairs = _unit_pairs(rarest, units)
             for which in range(1, ORDERS):
                 pairs = pairs.join(_unit_pairs(order(which), units), ["p", "q"], "left_semi")
-            of_block = [F.min("n").alias("least"), F.max("n").alias("most"), *(F.first(c).alias(c) for c in ("low", "high", "base"))]
-            ranges = units.groupBy("unit", "block").agg(*of_block)
-            side = lambda s: ranges.select(F.col("unit").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most", "low", "high", "base")))
-            met, _ = scratch.keep(pairs.join(side("p"), "p").join(side("q"), "q").where("base_p <> base_q"))
-            return units, met
-
-        def sent(units: DataFrame, met: DataFrame) -> DataFrame:
-            """For each pair of blocks the classes whose size suits some size of the other side, and that aren't of one component with all of it."""
-            out = []
-            for number, (mine, other) in enumerate((("p", "q"), ("q", "p"))):
-                suits = (F.col("n") * 100 >= F.col(f"least_{other}") * percent) & (F.col(f"most_{other}") * 100 >= F.col("n") * percent)
-                linked = (F.col(f"low_{other}") == F.col(f"high_{other}")) & (F.col(f"low_{other}") == F.col("component"))
-                members = met.join(units.select("id", "d1", "n", "component", F.col("block").alias(f"block_{mine}")), f"block_{mine}").where(suits & ~linked)
-                out.append(members.select("id", "d1", F.col("block_p").alias("p"), F.col("block_q").alias("q"), F.lit(number).alias("side")))
-            return out[0].unionAll(out[1])
+            pairs, _ = scratch.keep(_apart(pairs, units))
+            members, _ = scratch.keep(_tiled(pairs, units))
+            of_tile = [F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")]
+            ranges = members.groupBy("unit", "tile").agg(*of_tile)
+            side = lambda s: ranges.select(F.col("unit").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "least", "most", "low", "high")))
+            met, _ = scratch.keep(pairs.select("p", "q").join(side("p"), "p").join(side("q"), "q"))
+            return units, members, met
 
         # Within blocks, and the parts of split ones with one class that stands for all of them.
         own = _own(rarest.unionAll(later), blocks, list(range(ORDERS)))
@@ -456,12 +505,12 @@ def linked_classes(docs: DataFrame, size: int, percent: int, text: str = "text",
 
         # Between blocks that share a token under every order; what is linked by now counts as one. The class that stands for a home has its least id, so
         # what is linked to it has one label in all parts.
-        units, met = between(first.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")))
-        # Where components of many blocks meet, one block of each goes first: mostly that links them, and the others needn't meet.
+        units, members, met = between(first.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")))
+        # Where components of many tiles meet, one tile of each goes first: mostly that links them, and the others needn't meet.
         many = met.groupBy("p", "q").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*met.columns)).alias("one")).where("c > 1").select("one.*")
-        some = verified(sent(units, many))
-        units, met = between(_joined(units, some))
-        links = cut(first.unionAll(some).unionAll(verified(sent(units, met))))
+        some = verified(_sent(members, many, percent))
+        _, members, met = between(_joined(units, some))
+        links = cut(first.unionAll(some).unionAll(verified(_sent(members, met, percent))))
     found = components(links, "a", "b")
     return meta, found.select(F.col("node").alias("id"), "component")
 

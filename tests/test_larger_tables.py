@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from verdance.functions import coerce
-from verdance.operators import rollups, tracking
+from verdance.operators import joins, rollups, tracking
 from verdance.plans import catalog
 
 START = dt.datetime(2024, 1, 1)
@@ -88,3 +88,55 @@ def test_a_crowded_frame_makes_no_pairs():
 def test_crowded_frames_make_no_join(spark):
     boxes = spark.createDataFrame([(1, 1, 0, 0, 2, 2)], "frame int, plant int, bbox_x int, bbox_y int, bbox_w int, bbox_h int")
     assert "Join" not in tracking.conflict_groups(boxes, ["frame"], "plant")._jdf.queryExecution().toString()
+
+
+def _boxes(rng, n, whole):
+    """Random boxes in three frames; plants repeat, and some boxes lack a value or have no size."""
+    at = lambda most: rng.randrange(most) if whole else rng.randrange(4 * most) / 4
+    rows = [[f"f{rng.randrange(3)}", f"p{rng.randrange(n)}", float(at(60) - 9), float(at(50)), float(at(9)), float(at(14))] for _ in range(n)]
+    for k in range(1, 6):
+        rows[k][k] = None
+    rows[6][4] = rows[7][2] = float("nan")
+    return [tuple(r) for r in rows]
+
+
+def _meeting(rows):
+    """Pairs by plain Python; NaN is over all numbers, as in SQL."""
+    over = lambda v: float("inf") if v != v else v
+    known = [r for r in rows if None not in r and r[2] == r[2] and over(r[4]) > 0 and r[5] > 0]
+    close = lambda a, b, k: a[k] < over(b[k] + b[k + 2]) and b[k] < over(a[k] + a[k + 2])
+    return sorted((a[0], a[1], b[1]) for a in known for b in known if a[0] == b[0] and a[1] < b[1] and close(a, b, 2) and close(a, b, 3))
+
+
+@pytest.mark.parametrize("part", [7, 60, 1 << 16])
+def test_touching_pairs_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(joins, "PART", part)
+    monkeypatch.setattr(joins, "ROWS", 5)
+    monkeypatch.setattr(joins, "OTHERS", 11)
+    rng = random.Random(part)
+    for cell, whole in ((16, True), (200, False)):
+        rows = [r for r in _boxes(rng, 240, whole) if cell == 200 or r[4] == r[4]]
+        boxes = spark.createDataFrame(rows, "frame string, plant string, bbox_x double, bbox_y double, bbox_w double, bbox_h double")
+        got = sorted(tuple(r) for r in joins.touching_pairs(boxes, ["frame"], "plant", cell).collect())
+        assert got == _meeting(rows) and len(got) > 100
+        assert joins.touching_pairs(boxes.limit(0), ["frame"], "plant", cell).count() == 0
+
+
+def test_touching_pairs_of_a_busy_day_against_sql(compare):
+    events = [(i, START + dt.timedelta(seconds=i), i % 40, "view", 1.0, 1) for i in range(6000)]
+    got, want = compare("touching_pairs", events)
+    assert got == want and len(got) > 15_000
+
+
+def test_touching_boxes_are_swept_and_not_joined(spark):
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 2, 2)], "frame int, plant int, bbox_x int, bbox_y int, bbox_w int, bbox_h int")
+    assert "Join Inner" not in joins.touching_pairs(boxes, ["frame"], "plant")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_crowded_cell_is_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART", 50)
+    boxes = spark.range(0, 400, 1, 1).selectExpr("1 frame", "id plant", "cast(id % 8 as int) bbox_x", "cast(id % 9 as int) bbox_y", "3 bbox_w", "3 bbox_h")
+    pairs = joins.touching_pairs(boxes, ["frame"], "plant").withColumn("task", F.spark_partition_id())
+    assert pairs.select("task").distinct().count() > 1
+    rows = [(1, i, i % 8, i % 9, 3, 3) for i in range(400)]
+    assert sorted(tuple(r)[:3] for r in pairs.collect()) == _meeting(rows)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], tie: str) -> DataFrame:
@@ -88,23 +94,113 @@ def lane_centres(df: DataFrame, plate: list[str], plant: str, x: str, lanes: int
     return found.select(*plate, F.when(F.size("found") == lanes, F.col("found")).otherwise(even).alias("lane_centres"))
 
 
+#: Boxes of one grid cell that are compared at once (a cell of more is dealt to tiles, each two parts of it), and boxes compared with others in one array.
+PART, ROWS, OTHERS = 1 << 16, 64, 1 << 11
+
+
+def touching_runs(tile: np.ndarray, side: np.ndarray, seeks: np.ndarray, name: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, inside: np.ndarray, above: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Boxes of different names that overlap within a tile, each pair once: numbers of boxes, of how many others each meets, and of those in turn.
+
+    Boxes are swept from left to right: those that start within a box are a run of the order. ``inside`` and ``above`` tell whether a box has its left
+    and top edge in the tile's cell; the pair's later edges must. A box meets only those of the ``side`` that it ``seeks``.
+    """
+    at = np.lexsort((right, left, tile))  # at one place those of no width first, as nothing that starts there meets them
+    places, heights = np.unique(left), np.unique(np.concatenate([top, bottom]))
+    tile, side, seeks, name, left, right, inside, above = (v[at] for v in (tile, side, seeks, name, left, right, inside, above))
+    top, bottom = (np.searchsorted(heights, v[at]).astype(np.int32) for v in (top, bottom))
+    starts, first = np.flatnonzero(inside), np.cumsum(inside, dtype=np.int32)
+    place = tile * (len(places) + 1)
+    end = np.searchsorted((place + np.searchsorted(places, left))[starts], place + np.searchsorted(places, right)).astype(np.int32)
+    number = np.arange(len(starts), dtype=np.int32)
+    tests = [(np.less_equal, first, number), (np.greater, end, number), (np.less, top, bottom[starts]), (np.greater, bottom, top[starts])]
+    if not above.all():
+        tests.append((np.logical_or, above, above[starts]))
+    if (side != seeks).any():
+        tests.append((np.equal, seeks, side[starts]))
+    if len(np.unique(name)) < len(name):
+        tests.append((np.not_equal, name, name[starts]))
+    others = at[starts]
+    for a in range(0, len(at), ROWS):
+        b = min(a + ROWS, len(at))
+        for low in range(int(first[a]), int(end[a:b].max()), OTHERS):
+            high = min(low + OTHERS, int(end[a:b].max()))
+            meet = reduce(np.logical_and, (test(mine[a:b, None], theirs[low:high]) for test, mine, theirs in tests))
+            times = np.count_nonzero(meet, axis=1)
+            shown = np.flatnonzero(times)
+            if len(shown):
+                yield at[a:b][shown], times[shown], others[np.flatnonzero(meet) - np.repeat(shown * (high - low) - low, times[shown])]
+
+
 def touching_pairs(boxes: DataFrame, frame: list[str], plant: str, cell: int = 64) -> DataFrame:
     """``a, b``: plants whose boxes meet in a frame, ``a`` before ``b``.
 
-    Boxes are dealt to the grid cells that they cover, so only neighbours meet; a pair is reported from the first cell that both cover.
+    Boxes are dealt to the grid cells that they cover, so only neighbours meet; a pair is reported from the first cell that both cover. Each cell is swept
+    in a kernel that gives the others that a box meets as arrays, ``OTHERS`` at most in one; crowded cells are shared out to more tasks in tiles.
     """
     from ..functions.geometry import Box
 
-    box = Box.of()
-    cells = lambda low, size: F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
-    placed = boxes.where(box.exists).withColumn("__cx", F.explode(cells(box.x, box.w))).withColumn("__cy", F.explode(cells(box.y, box.h)))
-    a, b = placed.alias("a"), placed.alias("b")
-    on = F.lit(True)
-    for k in [*frame, "__cx", "__cy"]:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    first = lambda c, k: F.floor(F.greatest(F.col(f"a.bbox_{c}"), F.col(f"b.bbox_{c}")) / cell) == F.col(f"a.{k}")
-    pairs = a.join(b, on & (F.col(f"a.{plant}") < F.col(f"b.{plant}"))).where(Box.of(alias="a").meets(Box.of(alias="b")) & first("x", "__cx") & first("y", "__cy"))
-    return pairs.select(*(F.col(f"a.{k}").alias(k) for k in frame), F.col(f"a.{plant}").alias("a"), F.col(f"b.{plant}").alias("b"))
+    box, cells = Box.of(), [*frame, "__cx", "__cy"]
+    cut = lambda low, size: F.sequence(F.floor(low / cell), F.greatest(F.floor(low / cell), F.floor((low + size) / cell)))
+    known = boxes.where(box.exists & ~F.isnan(box.x) & ~F.isnan(box.y)).dropna(subset=[*frame, plant])
+    sides = {"__left": box.x, "__top": box.y, "__right": box.x + box.w, "__bottom": box.y + box.h}
+    placed = known.withColumn("__cx", F.explode(cut(box.x, box.w))).withColumn("__cy", F.explode(cut(box.y, box.h)))
+    placed = placed.select(*cells, F.col(plant).alias("__plant"), *(v.alias(c) for c, v in sides.items()), (F.floor(box.x / cell) == F.col("__cx")).alias("__inside"), (F.floor(box.y / cell) == F.col("__cy")).alias("__above"))
+    crowded = placed.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("__parts")).where("__parts > 1")
+    # The part is found from the box's values, so a task that is run again deals alike.
+    parts = placed.join(F.broadcast(crowded), cells, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    parts = parts.withColumn("__part", F.pmod(F.xxhash64("__plant", *sides), F.col("__parts")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    tiles = [*cells, "__p", "__q"]
+    dealt = parts.select(*cells, F.least("__part", "__other").alias("__p"), F.greatest("__part", "__other").alias("__q"), "__plant", *sides, "__inside", "__above", (F.col("__part") > F.col("__other")).alias("__side"))
+    # By number, as adaptive execution would join partitions by their bytes: it doesn't know that pairs grow with the square.
+    dealt = dealt.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *tiles).sortWithinPartitions(*tiles, "__plant")
+    kind = boxes.schema[plant].dataType
+    fields = StructType([*(StructField(c, boxes.schema[c].dataType) for c in frame), StructField("__plant", kind), StructField("__others", ArrayType(kind))])
+
+    def changes(rows: pa.Table, columns: list[str]) -> np.ndarray:
+        """Whether a row differs from the one before in any of the columns."""
+        out = np.zeros(rows.num_rows, bool)
+        for c in columns:
+            out[1:] |= np.diff(rows[c].combine_chunks().dictionary_encode().indices.to_numpy()) != 0
+        return out
+
+    def met(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        number = lambda c: rows[c].to_numpy()
+        end = lambda c: np.where(np.isnan(v := number(c)), np.inf, v)  # noqa: E731  NaN is over all numbers, as in SQL
+        tile, name, side = np.cumsum(changes(rows, tiles)), np.cumsum(changes(rows, [*tiles, "__plant"])), number("__side").astype(np.int8)
+        seeks = np.where(number("__p") < number("__q"), 1 - side, side)
+        known = rows.select([*frame, "__plant"]).combine_chunks()
+        plants = known["__plant"].combine_chunks()
+
+        def shown(found: list[tuple[np.ndarray, ...]]) -> list[pa.RecordBatch]:
+            one, times, others = map(np.concatenate, zip(*found, strict=True))
+            runs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)), pa.int32()), plants.take(pa.array(others)))
+            return pa.table([*known.take(pa.array(one)).columns, runs], fields.names).to_batches()
+
+        found, pairs = [], 0
+        for run in touching_runs(tile, side, seeks, name, number("__left"), number("__top"), end("__right"), end("__bottom"), number("__inside"), number("__above")):
+            found.append(run)
+            pairs += len(run[2])
+            if pairs > PART:
+                yield from shown(found)
+                found, pairs = [], 0
+        if found:
+            yield from shown(found)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, unseen = [], 0
+        for batch in batches:
+            held.append(batch)
+            unseen += batch.num_rows
+            if unseen > PART:
+                rows, unseen = pa.Table.from_batches(held), 0
+                last = int(np.flatnonzero(changes(rows, tiles))[-1:].sum())  # the tile that begins there may go on
+                held = rows.slice(last).to_batches()
+                yield from met(rows.slice(0, last))
+        if held:
+            yield from met(pa.Table.from_batches(held))
+
+    runs = dealt.mapInArrow(sweep, fields).select(*frame, "__plant", F.explode("__others").alias("__other"))
+    return runs.select(*frame, F.least("__plant", "__other").alias("a"), F.greatest("__plant", "__other").alias("b"))
 
 
 def first_existing_file(wanted: DataFrame, key: str, candidates: str, files: DataFrame, path: str) -> DataFrame:

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import evaluation, plants, raster, selection, signal, trackers, tracking
+from ..operators import evaluation, joins, plants, raster, selection, signal, trackers, tracking
 from ..sources import files
 from ..streaming import carry
 from . import plant_queries, rule_queries, selection_queries, series_queries, table_queries
 
 # Kernels travel with their closures, so executors need no installed copy of the library.
-for _module in (evaluation, plants, raster, selection, signal, trackers, tracking, files, carry, rule_queries):
+for _module in (evaluation, joins, plants, raster, selection, signal, trackers, tracking, files, carry, rule_queries):
     cloudpickle.register_pickle_by_value(_module)
 
 
